@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm import decontaminate, quality_rules, secrets, sharding
+from weftlink.llm import decontaminate, pii, quality_rules, secrets, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", "host_rate", "host_rejected")
 
 
-QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_secret_scan, op6_virtual_slots, op7_quality_rules)}
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_benchmark_decontamination, op4_secret_scan, op6_virtual_slots, op7_quality_rules, op9_pii)}
 ORACLE_SQL: dict[str, str] = {}
