@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftlink.llm import tokens
+from weftlink.llm import runs, tokens
 from weftlink.llm.components import connected_components
 from weftlink.session import checkpointed
 
@@ -83,96 +83,18 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
-RUN = 1 << 22  # n-grams sorted at once
+def _counter(join: Join, buckets: int):
+    """Runs of n-gram keys, each document counted once."""
+    shift = np.uint64(64 - join.key_bits)
 
-
-def _pack(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences in byte planes, whose upper planes compress to little."""
-    gaps = np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-    return np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8).T).tobytes()
-
-
-def _unpack(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(packed, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").reshape(-1), dtype=np.uint64)
-
-
-def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.concatenate(keys), np.concatenate(counts)
-    order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
-    begin = np.flatnonzero(np.append(True, k[1:] != k[:-1])) if len(k) else np.zeros(0, np.int64)
-    return k[begin], np.add.reduceat(c, begin) if len(k) else c
-
-
-RUNS = "bucket int, keys binary, counts binary"
-
-
-def _rows(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([_pack(r[1]) for r in rows], pa.binary()), pa.array([_pack_counts(r[2]) for r in rows], pa.binary())], names=["bucket", "keys", "counts"])
-
-
-def _pack_counts(c: np.ndarray) -> bytes:
-    return np.ascontiguousarray(c.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def _unpack_counts(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").reshape(-1).astype(np.int64)
-
-
-def _counter(n: int, bits: int, buckets: int):
-    """Sorted runs of n-gram keys, cut by key range."""
-    shift, width = np.uint64(64 - bits), np.uint64((1 << bits) // buckets)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            keys, counts = np.unique(np.concatenate(held), return_counts=True)
-            cuts = np.searchsorted(keys, np.arange(buckets + 1, dtype=np.uint64) * width)
-            return _rows([(b, keys[lo:hi], counts[lo:hi]) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo])
-
-        for batch in batches:
-            for s in shingle_sets(batch.column(0), n):
-                held.append(s >> shift)
-                size += len(s)
-                if size >= RUN:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    return run
-
-
-def _merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shared keys only: those of two documents or more."""
-    held: dict[int, list[tuple[bytes, bytes]]] = {}
-    for batch in batches:
-        for b, k, c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-            held.setdefault(b, []).append((k, c))
-    for b in sorted(held):
-        parts = held.pop(b)
-        keys, counts = _merged([_unpack(k) for k, _ in parts], [_unpack_counts(c) for _, c in parts])
-        if (shared := counts >= 2).any():
-            yield _rows([(b, keys[shared], counts[shared])])
-
-
-def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for c in batch.column(2).to_pylist():
-            value, n = np.unique(_unpack_counts(c), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value, pa.int64()), pa.array(n, pa.int64())], names=["value", "n"])
-
-
-def _above(cut: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = runs.Counter(join.key_bits, buckets)
         for batch in batches:
-            for b, k, c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
-                counts = _unpack_counts(c)
-                if (own := counts >= cut).any():
-                    yield _rows([(b, _unpack(k)[own], counts[own])])
+            for s in shingle_sets(batch.column(0), join.n):
+                if (full := held.add(s >> shift)) is not None:
+                    yield full
+        if (rest := held.flush()) is not None:
+            yield rest
 
     return run
 
@@ -184,21 +106,10 @@ def frequent(texts: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray, bool
     largest counts first: that bounds what reaches the driver and is broadcast.
     """
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 1 << (2 * parts - 1).bit_length()
-    runs = texts.mapInArrow(_counter(join.n, join.key_bits, buckets), RUNS)
-    shared = checkpointed(runs.repartition(parts, "bucket").mapInArrow(_merger, RUNS))
-    sizes = shared.mapInArrow(_histogram, "value long, n long").groupBy(F.least("value", F.lit(100_000)).alias("value")).agg(F.sum("n").alias("n")).orderBy(F.desc("value")).collect()
-    cut, total, complete = 2, 0, True
-    for r in sizes:  # at most 100,000 rows
-        if total + r["n"] > join.table_size:
-            cut, complete = r["value"] + 1, False
-            break
-        total += r["n"]
-    rows = shared.mapInArrow(_above(cut), RUNS).collect()
-    if not rows:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), complete
-    keys, counts = _merged([_unpack(r["keys"]) for r in rows], [_unpack_counts(r["counts"]) for r in rows])
-    return keys, counts.astype(np.int32), complete
+    found = texts.mapInArrow(_counter(join, 1 << (2 * parts - 1).bit_length()), runs.SCHEMA)
+    shared = checkpointed(found.repartition(parts, "bucket").mapInArrow(runs.merger(2), runs.SCHEMA))
+    keys, counts, cut = runs.top(shared, runs.totals(shared), join.table_size, 2)
+    return keys, counts.astype(np.int32), cut == 2
 
 
 SETS = "doc_id {id}, n_shingles long, key long, live boolean, grams array<long>, lone int, cold int, first int, prefix int, matches int"
