@@ -24,6 +24,15 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g")
     )
 
 
+def ready(spark: SparkSession) -> SparkSession:
+    """Lets Python workers import this package wherever the driver has it on its path."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    if root not in path.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster; a temporary one only for a local master.
 
