@@ -8,13 +8,14 @@ plus candidates to verify, of which a longer prefix with more matches leaves few
 
 Steps, none of which sees all pairs of a group:
 
-1. Count the documents of every n-gram (sorted runs of hashes, delta coded, merged by
-   hash range). The ``table_size`` most frequent shared n-grams are broadcast; an n-gram
-   outside a complete table occurs once and can match nothing.
-2. Turn each document into its ordered set. With a complete table, a document with too
-   few shared n-grams is alone and leaves here. Equal sets collapse into one class.
-3. N-grams of at most ``hot`` documents join as prefixes: at most ``hot`` partners for
-   each row. Others are reached only by sets that consist of such n-grams almost wholly:
+1. Sieve: in hash order, each document deals the n-grams of a long prefix out by n-gram
+   and asks for a tenth of its set to be shared with any other document. Those that get
+   fewer can link to none and leave here, without their text or set being moved.
+2. The others become sets; equal ones collapse into one class. N-grams are counted over
+   the classes, and the ``table_size`` most frequent ones are broadcast: they give the
+   common order, in which all others, seen less often than any of them, come first.
+3. N-grams of at most ``hot`` classes join as prefixes: at most so many partners for each
+   row. Others are reached only by sets that consist of such n-grams almost wholly:
    members of large groups of near copies. Each is described by its difference from a
    virtual centre of its group, which is much smaller than the set. Members link to the
    member nearest to the centre when both differences are small enough together; for the
@@ -48,10 +49,10 @@ class Join:
     n: int = 5
     percent: int = 80
     #: Entries of the broadcast table of frequent n-grams, 12 bytes each.
-    table_size: int = 6_000_000
+    table_size: int = 3_000_000
     #: Bits of a hash that counting looks at.
     key_bits: int = 44
-    #: Documents of an n-gram from which on it counts as hot.
+    #: An n-gram of more sets than these is hot.
     hot: int = 48
     max_matches: int = 4
     #: Cost of verifying a candidate, in posting entries.
@@ -83,15 +84,113 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+#: A reference to a row in the sieve: 40 bits of its hash, and the matches it asks for, rounded down.
+REF_BITS = 40
+_STEPS = np.unique(np.concatenate([np.arange(1, 40), np.geomspace(40, 1 << 24, 216).astype(np.int64)]))[:255]
+#: Rows of a broadcast table of references, 16 bytes each.
+BROADCAST_REFS = 2_000_000
+
+
+def _planes(x: np.ndarray, width: int) -> bytes:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _joined(planes: bytes, width: int) -> np.ndarray:
+    out = np.zeros((len(planes) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, -1).T
+    return out.view("<u8").reshape(-1)
+
+
+def _dealer(join: Join, parts: int):
+    """Prefixes in hash order, each n-gram with a reference to its row, by n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, int]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            grams = np.concatenate([g for g, _ in held])
+            refs = np.repeat(np.array([r for _, r in held], np.uint64), [len(g) for g, _ in held])
+            part = (grams & np.uint64(0xFFFFF)) % np.uint64(parts)
+            order = np.lexsort((grams, part))
+            grams, refs, part = grams[order] >> np.uint64(20), refs[order], part[order]
+            cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
+            found = [(b, runs.pack(grams[lo:hi]), _planes(refs[lo:hi], 6)) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary())], names=["bucket", "keys", "refs"])
+
+        for batch in batches:
+            for s, ref in zip(shingle_sets(batch.column(0), join.n), batch.column(1).to_pylist(), strict=True):
+                n = len(s)
+                if not n:
+                    continue
+                matches = max(1, n // 10)
+                code = int(np.searchsorted(_STEPS, matches, "right")) - 1
+                held.append((s[: n - join.needed(n) + matches], (ref << 8) | code))
+                size += len(held[-1][0])
+                if size >= runs.RUN // 2:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many n-grams of this range each row shares with another row."""
+    keys, refs = [], []
+    for batch in batches:
+        keys += [runs.unpack(k) for k in batch.column(1).to_pylist()]
+        refs += [_joined(r, 6) for r in batch.column(2).to_pylist()]
+    if not keys:
+        return
+    k, r = np.concatenate(keys), np.concatenate(refs)
+    del keys, refs
+    order = np.argsort(k, kind="stable")
+    k, r = k[order], r[order]
+    same = k[1:] == k[:-1]
+    ref, n = np.unique(r[np.append(same, False) | np.append(False, same)], return_counts=True)
+    yield pa.RecordBatch.from_arrays([pa.array(ref.view(np.int64)), pa.array(n, pa.int64())], names=["ref", "met"])
+
+
+def sieved(docs: DataFrame, join: Join) -> DataFrame:
+    """(ref): the rows that share enough of their prefix in hash order with other rows.
+
+    If two sets link, their l-prefixes share l n-grams; here l is a tenth of the set. A
+    row that does not share l of its l-prefix with all other rows together links to none.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.select("text", "ref").mapInArrow(_dealer(join, parts), "bucket int, keys binary, refs binary")
+    met = dealt.repartition(parts, "bucket").mapInArrow(_met, "ref long, met long").groupBy("ref").agg(F.sum("met").alias("met"))
+    asked = F.get(F.split(F.lit(",".join(map(str, _STEPS.tolist()))), ",").cast("array<bigint>"), F.col("ref").bitwiseAND(255).cast("int"))
+    return met.where(F.col("met") >= asked).select(F.shiftright("ref", 8).alias("ref"), F.lit(True).alias("live")).distinct()
+
+
+def _sets(join: Join):
+    """Sets of the rows that are live, as sorted hashes, and a hash of each set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, key, grams = [], [], []
+            for s, live in zip(shingle_sets(batch.column(1), join.n), batch.column(2).to_pylist(), strict=True):
+                n.append(len(s))
+                live = live and len(s) > 0
+                key.append(int(tokens.mixed(s + np.arange(len(s), dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)) if live else None)
+                grams.append(s.view(np.int64) if live else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(key, pa.int64()), pa.array(grams, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "key", "grams"])
+
+    return run
+
+
 def _counter(join: Join, buckets: int):
-    """Runs of n-gram keys, each document counted once."""
+    """Runs of n-gram keys, each set counted once."""
     shift = np.uint64(64 - join.key_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = runs.Counter(join.key_bits, buckets)
         for batch in batches:
-            for s in shingle_sets(batch.column(0), join.n):
-                if (full := held.add(s >> shift)) is not None:
+            for s in batch.column(0):
+                if (full := held.add(s.values.to_numpy().view(np.uint64) >> shift)) is not None:
                     yield full
         if (rest := held.flush()) is not None:
             yield rest
@@ -99,67 +198,62 @@ def _counter(join: Join, buckets: int):
     return run
 
 
-def frequent(texts: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Sorted keys of the most frequent shared n-grams, their documents, and whether that is all of them.
+def frequent(grams: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted keys of the most frequent n-grams, their sets, and the count from which on all are there.
 
-    All documents are counted. The table has ``table_size`` entries at most, the
-    largest counts first: that bounds what reaches the driver and is broadcast.
+    All sets are counted. The table has ``table_size`` entries at most, the largest
+    counts first: that bounds what reaches the driver and is broadcast.
     """
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = texts.mapInArrow(_counter(join, 1 << (2 * parts - 1).bit_length()), runs.SCHEMA)
+    parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = grams.mapInArrow(_counter(join, 1 << (2 * parts - 1).bit_length()), runs.SCHEMA)
     shared = checkpointed(found.repartition(parts, "bucket").mapInArrow(runs.merger(2), runs.SCHEMA))
     keys, counts, cut = runs.top(shared, runs.totals(shared), join.table_size, 2)
-    return keys, counts.astype(np.int32), cut == 2
+    return keys, counts.astype(np.int32), cut
 
 
-SETS = "doc_id {id}, n_shingles long, key long, live boolean, grams array<long>, lone int, cold int, first int, prefix int, matches int"
+ORDERED = "key long, root {id}, n long, grams array<long>, lone int, cold int, first int, prefix int, matches int"
 
 
 def _preparer(join: Join, shared):
-    """Ordered sets of the documents that may link to another.
+    """Sets in the common order, and the prefix with the least estimated cost.
 
     lone: n-grams in front that occur once; cold: those that are not hot; first: length
-    of the 1-prefix; prefix: of the prefix taken; matches: what it asks for.
+    of the 1-prefix; prefix: of the prefix taken; matches: what it asks for. Sets with too
+    few n-grams that others have are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts, complete = shared.value
+        table, counts, cut = shared.value
+        unknown = 1 if cut <= 2 else 2
         shift = np.uint64(64 - join.key_bits)
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("n", "key", "live", "grams", "lone", "cold", "first", "prefix", "matches")}
-            for s in shingle_sets(batch.column(1), join.n):
+            rows, out = [], {c: [] for c in ("n", "grams", "lone", "cold", "first", "prefix", "matches")}
+            for row, found in enumerate(batch.column(2)):
+                s = found.values.to_numpy().view(np.uint64)
                 n = len(s)
-                out["n"].append(n)
-                if len(table) and n:
+                if len(table):
                     k = s >> shift
                     at = np.minimum(np.searchsorted(table, k), len(table) - 1)
-                    df = np.where(table[at] == k, counts[at], 1 if complete else 2)
+                    df = np.where(table[at] == k, counts[at], unknown)
                 else:
-                    df = np.full(n, 1 if complete else 2)
+                    df = np.full(n, unknown)
                 need = join.needed(n)
-                live = n > 0 and int((df > 1).sum()) >= need
-                out["live"].append(live)
-                if not live:
-                    for c in ("key", "grams", "lone", "cold", "first", "prefix", "matches"):
-                        out[c].append(None)
+                if int((df > 1).sum()) < need:
                     continue
-                order = np.argsort(df, kind="stable")  # by documents, then by hash
+                order = np.lexsort((s, df))
                 df = df[order]
                 lone, cold = int(np.searchsorted(df, 1, "right")), int(np.searchsorted(df, join.hot, "right"))
                 first = n - need + 1
-                most = max(1, min(join.max_matches, need, cold - (n - need)))  # longer prefixes stay cold
-                if first > cold:
-                    most = 1
+                most = 1 if first > cold else max(1, min(join.max_matches, need, cold - (n - need)))  # longer prefixes stay cold
                 reads = np.cumsum(df - 1)
                 cost = [reads[n - need + m - 1] * (1 + join.verify_cost / m) for m in range(1, most + 1)]
                 m = 1 + int(np.argmin(cost))
-                out["key"].append(int(tokens.mixed(s + np.arange(n, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64)))
-                out["grams"].append(s[order].view(np.int64))
-                for c, v in (("lone", lone), ("cold", cold), ("first", first), ("prefix", n - need + m), ("matches", m)):
+                rows.append(row)
+                for c, v in (("n", n), ("grams", s[order].view(np.int64)), ("lone", lone), ("cold", cold), ("first", first), ("prefix", n - need + m), ("matches", m)):
                     out[c].append(v)
-            kinds = {"n": pa.int64(), "key": pa.int64(), "live": pa.bool_(), "grams": pa.list_(pa.int64())}
-            names = ["doc_id", "n_shingles", "key", "live", "grams", "lone", "cold", "first", "prefix", "matches"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(v, kinds.get(c, pa.int32())) for c, v in out.items()]], names=names)
+            take = pa.array(rows, pa.int64())
+            kinds = {"n": pa.int64(), "grams": pa.list_(pa.int64())}
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(v, kinds.get(c, pa.int32())) for c, v in out.items()]], names=["key", "root", *out])
 
     return run
 
@@ -171,8 +265,8 @@ def _sized(join: Join, a: str, b: str):
 def cold_candidates(classes: DataFrame, join: Join) -> DataFrame:
     """Pairs (a, b) that share enough n-grams of their prefixes, none of them hot.
 
-    An n-gram that is not hot has at most ``hot`` documents, so a row meets at most so
-    many others. A longer prefix is taken only where it has no hot n-gram; a set whose
+    An n-gram that is not hot has at most ``hot`` sets (or fewer than the least count in
+    a full table, if that is more), so a row meets at most so many others. A longer prefix is taken only where it has no hot n-gram; a set whose
     prefix has some asks for one match.
     """
     end = F.least("prefix", "cold")
@@ -272,13 +366,18 @@ def linked_documents(df: DataFrame, join: Join = Join(), key: str = "doc_id", te
     is never the smallest, so a component of such rows alone has none. Other columns
     are not read. An empty table gives no rows.
     """
-    docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    table = df.sparkSession.sparkContext.broadcast(frequent(docs.select("text"), join))
+    docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).bitwiseAND((1 << REF_BITS) - 1).alias("ref"))
+    share = df.sparkSession.sparkContext.broadcast
+    live = checkpointed(sieved(docs, join))
+    if live.count() <= BROADCAST_REFS:  # beyond it, rows are shuffled by reference
+        live = F.broadcast(live)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = checkpointed(docs.mapInArrow(_preparer(join, table), SETS.format(id=kind)))
-    live = sets.where("live")
-    first = lambda c: F.first(c).alias(c)
-    classes = checkpointed(live.groupBy("key").agg(F.min("doc_id").alias("root"), F.first("n_shingles").alias("n"), *[first(c) for c in ("grams", "lone", "cold", "first", "prefix", "matches")]))
+    sets = docs.join(live, "ref", "left").select("doc_id", "text", "live").mapInArrow(_sets(join), f"doc_id {kind}, n_shingles long, key long, grams array<long>")
+    sets = checkpointed(sets)
+    rows = sets.where("key is not null").select("doc_id", "n_shingles", "key")
+    found = checkpointed(sets.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("root"), F.first("grams").alias("grams")))
+    table = share(frequent(found.select("grams"), join))
+    classes = checkpointed(found.mapInArrow(_preparer(join, table), ORDERED.format(id=kind)))
     hot = classes.where(F.col("first") > F.col("cold"))
     member = grouped(hot, join)
     candidates = checkpointed(cold_candidates(classes, join).union(cross_candidates(hot, member, join)).distinct())
@@ -287,6 +386,6 @@ def linked_documents(df: DataFrame, join: Join = Join(), key: str = "doc_id", te
     named = parts.join(classes.select(F.col("key").alias("node"), "root"), "node")
     lowest = named.groupBy("component").agg(F.min("root").alias("component_id"))
     moved = named.join(lowest, "component").select(F.col("node").alias("key"), "component_id")
-    of_class = classes.select("key", "root").join(moved, "key", "left").select("key", F.coalesce("component_id", "root").alias("component_id"))
-    done = live.select("doc_id", "n_shingles", "key").join(of_class, "key").select("doc_id", "n_shingles", "component_id")
-    return done.union(sets.where("not live").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    of_class = found.select("key", "root").join(moved, "key", "left").select("key", F.coalesce("component_id", "root").alias("component_id"))
+    done = rows.join(of_class, "key").select("doc_id", "n_shingles", "component_id")
+    return done.union(sets.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from weftlink.llm import decontaminate, ngram_join, pii, quality_rules, secrets, sharding
 
+from weftlink.session import ready
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ready(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
