@@ -24,8 +24,14 @@ def get_spark(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g")
     )
 
 
+#: Rows of an Arrow batch: whole texts are long, and a batch is held twice, in the JVM and in Python.
+BATCH_ROWS = 1000
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package wherever the driver has it on its path."""
+    """Lets Python workers import this package wherever the driver has it on its path, and keeps batches small."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     path = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if root not in path.split(os.pathsep):
