@@ -1,28 +1,83 @@
-"""Corpus pipeline: named stages, each written as Parquet and read again by the next."""
+"""Corpus pipeline: named stages, each written as Parquet and read again by the next.
+
+The texts that reach the end passed the quality rules, are the first of their group of
+near copies, hold no benchmark passage worth mention, and fill the target mixture; the
+last stage deals them to shards.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftlink.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
+from weftlink.session import checkpointed, ready, shared_dir
 
-from weftlink.llm import quality_rules, sharding
+#: Ids of removed copies up to this number are broadcast, 16 bytes each.
+BROADCAST_IDS = 2_000_000
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that break a rule go (see ``quality_rules.judge``)."""
+    ready(spark)
     return quality_rules.kept_documents(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays, once.
+
+    Five-word n-grams, Jaccard similarity of 0.8 or more. Rows of one id are all kept or
+    all removed, but for rows equal in every column, of which one stays. Rows without an
+    id stay.
+    """
+    ready(spark)
+    found = ngram_join.linked_documents(docs)
+    copies = checkpointed(found.where("doc_id <> component_id").select("doc_id").distinct())
+    if copies.count() <= BROADCAST_IDS:  # beyond it, both sides are shuffled by id
+        copies = F.broadcast(copies)
+    left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+    repeated = checkpointed(docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if repeated.count() == 0:
+        return left
+    once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).distinct()
+    return left.join(repeated, "doc_id", "left_anti").select(*docs.columns).union(once)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with benchmark windows in 5 % of their words or more go."""
+    return decontaminate.clean_documents(docs, ready(spark).read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Half of the tokens, by target weights; no document twice."""
+    ready(spark)
+    return mixing.mix(docs, mixing.LEVELS, mixing.LANGUAGES).select(*docs.columns)
+
+
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of each document in one of eight shards."""
+    ready(spark)
     return sharding.shard(docs)[0]
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("quality_rules", quality), ("sharding", shards)]
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality),
+    ("ngram_jaccard_join", near_duplicates),
+    ("benchmark_decontamination", decontaminated),
+    ("target_mixture", mixed),
+    ("sharding", shards),
+]
+#: The mixture's seeded order and the CRC are not SQL that DuckDB knows.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The rows of the last stage; the result of each is written to the shared folder and read again."""
+    docs = ready(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    place = f"{shared_dir(spark).rstrip('/')}/pipeline-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{place}/{name}")
+        docs = spark.read.parquet(f"{place}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

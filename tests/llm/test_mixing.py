@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from weftlink.llm import mixing
 from weftlink.llm.mixing import Mixture, budgets
 
-LEVELS = {"domain": F.col("domain"), "lang": F.col("lang"), "source": F.col("source")}
+LEVELS = {"domain": "domain", "lang": "lang", "source": "source"}
 
 
 def test_siblings_before_ancestors():

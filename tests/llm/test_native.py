@@ -122,7 +122,7 @@ def test_weak_parts_need_each_other(spark):
         "far": "user: alice" + " x" * 300 + " pwd: hunter2",
         "scopes": "user: alice\n\npwd: hunter2",
         "url": "see https://db.example.org for more",
-        "three": 'host=db.example.org\nuser=bob\npassword="correcthorse"',
+        "three": 'host=db.example.org\nuser=bobby\npassword="correcthorse"',
     }
     df = spark.createDataFrame(list(texts.items()), "doc_id string, text string")
     got = {x.doc_id: [s.split(":")[0] for s in x.spans.split(",") if s] for x in secrets.scan(df).collect()}

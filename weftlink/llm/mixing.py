@@ -80,11 +80,11 @@ def _order(columns: Sequence[Column], seed: int, epoch: Column) -> Column:
     return F.xxhash64(F.lit(seed), epoch.cast("int"), *columns)
 
 
-def mix(df: DataFrame, levels: Mapping[str, Column], mixture: Mixture = Mixture(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(df: DataFrame, levels: Mapping[str, str], mixture: Mixture = Mixture(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that the mixture takes, once for each epoch that takes them.
 
     Adds ``epoch`` (0 for the first) and ``n_tokens`` to the columns of ``df``, in place
-    of columns of these names. ``levels`` names the tree from the root down; nulls are a
+    of columns of these names. ``levels`` names the tree from the root down, each level as an SQL expression; nulls are a
     branch of their own. Null and empty texts have no tokens and are taken with the
     prefix that they fall in. Repeated rows stand side by side in the order and may be
     cut apart only by the budget. An empty table gives no rows.
@@ -93,7 +93,7 @@ def mix(df: DataFrame, levels: Mapping[str, Column], mixture: Mixture = Mixture(
     names = list(levels)
     rows = df.select(
         F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"),
-        *[F.coalesce(c.cast("string"), F.lit("")).alias(f"l{i}") for i, c in enumerate(levels.values())],
+        *[F.coalesce(F.expr(c).cast("string"), F.lit("")).alias(f"l{i}") for i, c in enumerate(levels.values())],
         F.size(words(F.col(f"`{text}`"))).cast("long").alias("n"),
         F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("id"),
     )
@@ -125,9 +125,8 @@ def mix(df: DataFrame, levels: Mapping[str, Column], mixture: Mixture = Mixture(
     return pick(whole).union(pick(early)).union(pick(last))
 
 
-def tree_levels() -> dict[str, Column]:
-    """Domain (the letters that begin the source), language and source of ``documents``."""
-    return {"domain": F.regexp_extract("source", "^[A-Za-z]*", 0), "lang": F.col("lang"), "source": F.col("source")}
+#: The tree of ``documents``: the domain is the letters that begin the source.
+LEVELS = {"domain": "regexp_extract(source, '^[A-Za-z]*', 0)", "lang": "lang", "source": "source"}
 
 
 #: Targets for the languages of ``documents``; sources of a language weigh alike.

@@ -127,7 +127,7 @@ def _dealer(join: Join, parts: int):
                 code = int(np.searchsorted(_STEPS, matches, "right")) - 1
                 held.append((s[: n - join.needed(n) + matches], (ref << 8) | code))
                 size += len(held[-1][0])
-                if size >= runs.RUN // 2:
+                if size >= runs.RUN:
                     yield flush()
                     held, size = [], 0
         if size:

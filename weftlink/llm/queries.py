@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftlink.llm import decontaminate, ngram_join, pii, quality_rules, secrets, sharding
+from weftlink.llm import decontaminate, langid, lattice_lm, mixing, ngram_join, pii, quality_rules, secrets, sharding, toxicity
 
 from weftlink.session import ready
 
@@ -23,10 +23,19 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated", "longest")
 
 
+def op3_target_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix(docs, mixing.LEVELS, mixing.LANGUAGES).select("doc_id", "lang", "source", "epoch", "n_tokens")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(table(spark, sf_dir, "documents"))
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))[0]
 
@@ -35,9 +44,37 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), keep=("doc_id",)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "soft_failed", "host_rate", "host_rejected")
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_benchmark_decontamination, op4_secret_scan, op6_virtual_slots, op7_quality_rules, op9_pii)}
+#: In the order of the chain.
+CATEGORIES = {"low_quality": "quality = 0", "toxic": "toxic = 1", "toxic_spam": "toxic = 1 and quality = 0"}
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels"), CATEGORIES))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_benchmark_decontamination,
+        op3_target_mixture,
+        op4_secret_scan,
+        op5_lattice_lm,
+        op6_virtual_slots,
+        op7_quality_rules,
+        op8_language_id,
+        op9_pii,
+        op10_toxicity,
+    )
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes worked on at once; one longer text is worked on alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _MIX = np.array([0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53], dtype=np.uint64)
 
 

@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import tokens
@@ -166,14 +166,14 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), *batch.columns[1:]], names=["words", *batch.schema.names[1:]])
 
 
-def train(df: DataFrame, labels: DataFrame, categories: Mapping[str, Column], key: str = "doc_id", text: str = "text", t: Training = Training()) -> Chain:
-    """A chain from the rows of ``df`` that ``labels`` names; ``categories``: a condition on its columns for each.
+def train(df: DataFrame, labels: DataFrame, categories: Mapping[str, str], key: str = "doc_id", text: str = "text", t: Training = Training()) -> Chain:
+    """A chain from the rows of ``df`` that ``labels`` names; ``categories``: an SQL condition on its columns for each.
 
     The sample is the ``t.rows`` labelled ids with the least hashes, of all of them. Ids
     without a text, texts without a label and null conditions are left out.
     """
     names = list(categories)
-    known = labels.where(F.col(key).isNotNull()).select(key, *[c.cast("int").alias(f"_y{i}") for i, c in enumerate(categories.values())]).dropna()
+    known = labels.where(F.col(key).isNotNull()).select(key, *[F.expr(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories.values())]).dropna()
     known = known.orderBy(F.xxhash64(F.lit(t.seed), key), *[f"_y{i}" for i in range(len(names))]).limit(t.rows)
     rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")).join(F.broadcast(known), key).where("_text is not null").limit(2 * t.rows)
     y = [f"_y{i}" for i in range(len(names))]
