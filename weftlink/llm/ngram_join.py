@@ -136,34 +136,56 @@ def _dealer(join: Join, parts: int):
     return run
 
 
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many n-grams of this range each row shares with another row."""
-    keys, refs = [], []
+def _met(parts: int):
+    """How many n-grams of this range each row shares with another row, by reference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, refs = [], []
+        for batch in batches:
+            keys += [runs.unpack(k) for k in batch.column(1).to_pylist()]
+            refs += [_joined(r, 6) for r in batch.column(2).to_pylist()]
+        if not keys:
+            return
+        k, r = np.concatenate(keys), np.concatenate(refs)
+        del keys, refs
+        order = np.argsort(k, kind="stable")
+        k, r = k[order], r[order]
+        same = k[1:] == k[:-1]
+        ref, n = np.unique(r[np.append(same, False) | np.append(False, same)], return_counts=True)
+        part = (ref >> np.uint64(8)) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        ref, n = ref[order], n[order]
+        cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64)).tolist()
+        found = [(b, ref[lo:hi], n[lo:hi]) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([runs.pack(f[1]) for f in found], pa.binary()), pa.array([runs.pack_counts(f[2]) for f in found], pa.binary())], names=["bucket", "keys", "refs"])
+
+    return run
+
+
+def _enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The references whose rows share as many n-grams as they ask for."""
+    refs, counts = [], []
     for batch in batches:
-        keys += [runs.unpack(k) for k in batch.column(1).to_pylist()]
-        refs += [_joined(r, 6) for r in batch.column(2).to_pylist()]
-    if not keys:
+        refs += [runs.unpack(k) for k in batch.column(1).to_pylist()]
+        counts += [runs.unpack_counts(c) for c in batch.column(2).to_pylist()]
+    if not refs:
         return
-    k, r = np.concatenate(keys), np.concatenate(refs)
-    del keys, refs
-    order = np.argsort(k, kind="stable")
-    k, r = k[order], r[order]
-    same = k[1:] == k[:-1]
-    ref, n = np.unique(r[np.append(same, False) | np.append(False, same)], return_counts=True)
-    yield pa.RecordBatch.from_arrays([pa.array(ref.view(np.int64)), pa.array(n, pa.int64())], names=["ref", "met"])
+    ref, n = runs.summed(refs, counts)
+    live = np.unique(ref[n >= _STEPS[(ref & np.uint64(255)).astype(np.int64)]] >> np.uint64(8))
+    yield pa.RecordBatch.from_arrays([pa.array(live.view(np.int64)), pa.array(np.ones(len(live), bool))], names=["ref", "live"])
 
 
 def sieved(docs: DataFrame, join: Join) -> DataFrame:
-    """(ref): the rows that share enough of their prefix in hash order with other rows.
+    """(ref, live): the rows that share enough of their prefix in hash order with other rows.
 
     If two sets link, their l-prefixes share l n-grams; here l is a tenth of the set. A
     row that does not share l of its l-prefix with all other rows together links to none.
     """
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.select("text", "ref").mapInArrow(_dealer(join, parts), "bucket int, keys binary, refs binary")
-    met = dealt.repartition(parts, "bucket").mapInArrow(_met, "ref long, met long").groupBy("ref").agg(F.sum("met").alias("met"))
-    asked = F.get(F.split(F.lit(",".join(map(str, _STEPS.tolist()))), ",").cast("array<bigint>"), F.col("ref").bitwiseAND(255).cast("int"))
-    return met.where(F.col("met") >= asked).select(F.shiftright("ref", 8).alias("ref"), F.lit(True).alias("live")).distinct()
+    schema = "bucket int, keys binary, refs binary"
+    dealt = docs.select("text", "ref").mapInArrow(_dealer(join, parts), schema)
+    met = dealt.repartition(parts, "bucket").mapInArrow(_met(parts), schema)
+    return met.repartition(parts, "bucket").mapInArrow(_enough, "ref long, live boolean")
 
 
 def _sets(join: Join):
@@ -323,8 +345,10 @@ def group_links(member: DataFrame, join: Join) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("hub", "key").orderBy(F.desc("c"), F.desc("gram")))  # from the most frequent on
     # the overlap that the set needs with any partner; all but that many less one n-grams, rarest first, are its prefix
     need = F.greatest(F.lit(1), F.ceil((F.col("f") + F.when(F.col("linked"), F.col("low")).otherwise(F.least("best_f", "low"))) / (2 * p)))
-    at = at.withColumn("place", place).where(F.col("place") >= need).select("hub", "gram", "key", "linked")
-    pairs = at.where(~F.col("linked")).select("hub", "gram", F.col("key").alias("a")).join(at.select("hub", "gram", F.col("key").alias("b"), F.col("linked").alias("b_linked")), ["hub", "gram"])
+    at = at.withColumn("place", place).where(F.col("place") >= need).select("hub", "gram", "key", "linked", "f", "place")
+    pairs = at.where(~F.col("linked")).select("hub", "gram", F.col("key").alias("a"), F.col("f").alias("f_a"), F.col("place").alias("at_a")).join(at.select("hub", "gram", F.col("key").alias("b"), F.col("linked").alias("b_linked"), F.col("f").alias("f_b"), F.col("place").alias("at_b")), ["hub", "gram"])
+    # no n-gram before the rarest shared one is shared, so from it on there are enough for the overlap
+    pairs = pairs.where(2 * p * F.least("at_a", "at_b") >= F.col("f_a") + F.col("f_b"))
     pairs = pairs.where((F.col("a") < F.col("b")) | (F.col("b_linked") & (F.col("a") != F.col("b")))).select("a", "b").distinct()
     sets = rows.select("key", "n", "diff")
     both = pairs.join(sets.select(F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("diff").alias("diff_a")), "a").join(sets.select(F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("diff").alias("diff_b")), "b")
