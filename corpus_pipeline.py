@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftlink.llm import decontaminate, mixing, ngram_join, quality_rules, sharding
-from weftlink.session import checkpointed, ready, shared_dir
+from weftlink.llm.text import small_side
+from weftlink.session import ready, shared_dir
 
 #: Ids of removed copies up to this number are broadcast, 16 bytes each.
 BROADCAST_IDS = 2_000_000
@@ -34,11 +35,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     ready(spark)
     found = ngram_join.linked_documents(docs)
-    copies = checkpointed(found.where("doc_id <> component_id").select("doc_id").distinct())
-    if copies.count() <= BROADCAST_IDS:  # beyond it, both sides are shuffled by id
-        copies = F.broadcast(copies)
+    copies = small_side(found.where("doc_id <> component_id").select("doc_id").distinct(), BROADCAST_IDS)
     left = docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
-    repeated = checkpointed(docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    repeated = small_side(docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), BROADCAST_IDS)
     if repeated.count() == 0:
         return left
     once = left.join(repeated, "doc_id", "left_semi").select(*docs.columns).distinct()

@@ -32,7 +32,7 @@ VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 #: The key of the end token; no word hashes to it but by chance.
 END = tokens.mixed(np.array([0x5EED0FE7D], np.uint64))
 #: Distinct words scored at once, and kept scores of one task.
-WORDS, KEPT = 1 << 16, 1 << 20
+WORDS, KEPT, HELD = 1 << 16, 1 << 20, 1 << 20
 PIECE_RANGES = 64
 
 
@@ -181,6 +181,23 @@ def _gather(lattice, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Lattice = lattice.value
         counter, expected = runs.Counter(64, buckets), np.zeros(len(model.pieces))
+        held: list[tuple[np.ndarray, ...]] = []  # words seen so far, each worth one look whatever its count
+        size = 0
+
+        def learn() -> pa.RecordBatch | None:
+            nonlocal held, size
+            if not held:
+                return None
+            flat, key, count, n = (np.concatenate([x[i] for x in held]) for i in range(4))
+            held, size = [], 0
+            begin = np.cumsum(n) - n
+            keys, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+            total = np.bincount(inverse, count).astype(np.int64)
+            for block in blocks_of(begin[first], begin[first] + n[first]):
+                at = first[block]
+                expected[:] += model.forward(*laid_out(flat, begin[at], begin[at] + n[at]), total[block])[1]
+            return counter.add(keys, total)
+
         for batch in batches:
             texts = batch.column(1).filter(pa.array(~held_out_ids(batch.column(0))))
             if not len(texts):
@@ -192,14 +209,16 @@ def _gather(lattice, buckets: int):
                 body = tokens.LOWER[body]
                 h, _, starts, ends = tokens.hashed_words(body, offsets, tokens.NON_BLANK, lower=False)
                 keys, first, count = np.unique(h, return_index=True, return_counts=True)
-                for block in blocks_of(starts[first], ends[first]):
-                    expected += model.forward(*laid_out(body, starts[first[block]], ends[first[block]]), count[block])[1]
-                out = counter.add(keys, count)
+                n = ends[first] - starts[first]
+                place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                held.append((body[np.repeat(starts[first], n) + place], keys, count, n))
+                size += len(keys)
+                out = learn() if size >= HELD else None
                 if out is not None:
                     yield out
-        out = counter.flush()
-        if out is not None:
-            yield out
+        for out in (learn(), counter.flush()):
+            if out is not None:
+                yield out
         if expected.any():
             parts = np.array_split(expected, PIECE_RANGES)
             yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in range(PIECE_RANGES)], pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([b""] * PIECE_RANGES, pa.binary())], names=["bucket", "keys", "counts"])

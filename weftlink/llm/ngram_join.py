@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from weftlink.llm import runs, tokens
 from weftlink.llm.components import connected_components
+from weftlink.llm.text import small_side
 from weftlink.session import checkpointed
 
 
@@ -87,6 +88,8 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 #: A reference to a row in the sieve: 40 bits of its hash, and the matches it asks for, rounded down.
 REF_BITS = 40
 _STEPS = np.unique(np.concatenate([np.arange(1, 40), np.geomspace(40, 1 << 24, 216).astype(np.int64)]))[:255]
+#: Centres of groups that are broadcast, some kilobytes each; with more, sets are shuffled by group.
+PIVOT_SETS = 5_000
 #: Rows of a broadcast table of references, 16 bytes each.
 BROADCAST_REFS = 2_000_000
 
@@ -313,12 +316,12 @@ def grouped(hot: DataFrame, join: Join) -> DataFrame:
     votes = probe.join(of_gram, "gram").groupBy("key", "hub").agg(F.count("*").alias("votes")).where("votes >= 5")
     hub = votes.groupBy("key").agg(F.min_by("hub", F.struct(-F.col("votes"), F.col("hub"))).alias("hub"))
     centre = pivot.select(F.col("key").alias("hub"), F.col("grams").alias("centre"))
-    member = hot.select("key", "n", "grams").join(hub, "key").join(centre, "hub")
+    member = hot.select("key", "n", "grams").join(hub, "key").join(small_side(centre, PIVOT_SETS), "hub")
     other = lambda a, b: F.concat(F.array_except(a, b), F.array_except(b, a))
     member = checkpointed(member.select("key", "n", "hub", other(F.col("grams"), F.col("centre")).alias("diff")))
     size = member.groupBy("hub").agg(F.count("*").alias("size"))
-    common = member.select("hub", F.explode("diff").alias("gram")).groupBy("hub", "gram").agg(F.count("*").alias("c")).join(size, "hub").where("2 * c > size").groupBy("hub").agg(F.collect_list("gram").alias("flip"))
-    moved = member.join(common, "hub", "left")
+    common = member.select("hub", F.explode("diff").alias("gram")).groupBy("hub", "gram").agg(F.count("*").alias("c")).join(small_side(size), "hub").where("2 * c > size").groupBy("hub").agg(F.collect_list("gram").alias("flip"))
+    moved = member.join(small_side(common, PIVOT_SETS), "hub", "left")
     return checkpointed(moved.select("key", "n", "hub", F.when(F.col("flip").isNull(), F.col("diff")).otherwise(other(F.col("diff"), F.col("flip"))).alias("diff")))
 
 
@@ -335,10 +338,10 @@ def group_links(member: DataFrame, join: Join) -> DataFrame:
     f = (p * F.size("diff") - q * F.col("n")).cast("long")
     rows = member.withColumn("f", f)
     best = rows.groupBy("hub").agg(F.min(F.struct("f", "key")).alias("best"))
-    rows = rows.join(best, "hub").withColumn("linked", (F.col("f") + F.col("best.f") <= 0) | (F.col("key") == F.col("best.key")))
+    rows = rows.join(small_side(best), "hub").withColumn("linked", (F.col("f") + F.col("best.f") <= 0) | (F.col("key") == F.col("best.key")))
     star = rows.where(F.col("linked") & (F.col("key") != F.col("best.key"))).select(F.col("key").alias("a"), F.col("best.key").alias("b"))
     least = rows.where(~F.col("linked")).groupBy("hub").agg(F.min("f").alias("low"))
-    rows = checkpointed(rows.join(least, "hub"))  # groups with a member that is not linked
+    rows = checkpointed(rows.join(small_side(least), "hub"))  # groups with a member that is not linked
     grams = rows.select("hub", F.explode("diff").alias("gram")).groupBy("hub", "gram").agg(F.count("*").alias("c"))
     at = rows.select("hub", "key", "n", "f", "linked", F.col("best.f").alias("best_f"), "low", F.size("diff").alias("d"), F.explode("diff").alias("gram")).join(grams, ["hub", "gram"])
     at = at.where("c > 1").withColumn("lone", F.lit(0))
@@ -392,9 +395,7 @@ def linked_documents(df: DataFrame, join: Join = Join(), key: str = "doc_id", te
     """
     docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).bitwiseAND((1 << REF_BITS) - 1).alias("ref"))
     share = df.sparkSession.sparkContext.broadcast
-    live = checkpointed(sieved(docs, join))
-    if live.count() <= BROADCAST_REFS:  # beyond it, rows are shuffled by reference
-        live = F.broadcast(live)
+    live = small_side(sieved(docs, join), BROADCAST_REFS)
     kind = docs.schema["doc_id"].dataType.simpleString()
     sets = docs.join(live, "ref", "left").select("doc_id", "text", "live").mapInArrow(_sets(join), f"doc_id {kind}, n_shingles long, key long, grams array<long>")
     sets = checkpointed(sets)

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftlink.llm.text import WORD_CHAR, sum_of, words
+from weftlink.llm.text import WORD_CHAR, small_side, sum_of, words
 from weftlink.session import checkpointed
 
 SYMBOLS = "#*$%&|<>"
@@ -121,9 +121,7 @@ def kept_documents(df: DataFrame, r: Rules = Rules(), text: str = "text", host:
     columns = df.columns
     own = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("_row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("_text"))
     m = measured(own, "_text").drop("_text").withColumns({"base_failed": base_failed(r), "soft_failed": soft_failed(r), "failed": base_failed(r) | soft_failed(r), "_part": F.spark_partition_id()})
-    verdicts = checkpointed(host_verdicts(m.select("host", "failed"), r).where("host_rejected").select("host", "host_rejected"))
-    if verdicts.count() <= BROADCAST_HOSTS:  # beyond it, both sides are shuffled by host
-        verdicts = F.broadcast(verdicts)
+    verdicts = small_side(host_verdicts(m.select("host", "failed"), r).where("host_rejected").select("host", "host_rejected"), BROADCAST_HOSTS)
     # a condition on the partition keeps Spark from moving the filter below the measures, which it would then repeat for every word
     out = m.join(verdicts, "host", "left").where((F.col("_part") >= 0) & ~F.col("base_failed") & ~(F.coalesce("host_rejected", F.lit(False)) & F.col("soft_failed")))
     return out.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(columns)])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftlink.session import checkpointed
+
 #: The six ASCII blanks between words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD_CHAR = r"[^\x20\x09-\x0D]"
@@ -17,3 +19,9 @@ def words(text: Column) -> Column:
 
 def sum_of(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
+
+
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df`` written down, and marked for broadcast if it has no more than ``rows`` rows; beyond that a join shuffles."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= rows else df
