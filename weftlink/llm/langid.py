@@ -154,13 +154,13 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Features of each sampled text and of a short piece from its middle, as short texts look different."""
     for batch in batches:
         out: list[tuple] = []
-        for lang, text, held in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
+        for lang, text, held, h in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             w = text.split()
             short = " ".join(w[len(w) // 2 : len(w) // 2 + 8])
             for piece in (text, short):
                 at, v = features(piece)
-                out.append((lang, at, v, held))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.float32())), pa.array([x[3] for x in out], pa.bool_())], names=["lang", "at", "v", "held"])
+                out.append((lang, at, v, held, h))
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.float32())), pa.array([x[3] for x in out], pa.bool_()), pa.array([x[4] for x in out], pa.int64())], names=["lang", "at", "v", "held", "h"])
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", t: Training = Training()) -> Model | None:
@@ -176,9 +176,18 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
         return None
     held = F.pmod(F.xxhash64("h"), F.lit(1000)) < int(1000 * t.calibration)
     sample = rows.where(F.col("h") <= least).limit(2 * t.rows)  # equal rows have equal hashes
-    found = sample.select("lang", "text", held.alias("held")).mapInArrow(_examples, "lang string, at array<int>, v array<float>, held boolean").collect()
-    found.sort(key=lambda x: (x["lang"], len(x["at"]), x["at"]))
-    return fit([(x["lang"], np.array(x["at"], np.int32), np.array(x["v"], np.float32), x["held"]) for x in found], t)
+    found = sample.select("lang", "text", held.alias("held"), "h").mapInArrow(_examples, "lang string, at array<int>, v array<float>, held boolean, h long").toArrow()
+    found = found.sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
+    at, v = (column(found, c) for c in ("at", "v"))
+    return fit(list(zip(found["lang"].to_pylist(), at, v, found["held"].to_pylist(), strict=True)), t)
+
+
+def column(found: pa.Table, name: str) -> list[np.ndarray]:
+    """A list column of a table as one numpy array for each row, without copies."""
+    rows = found[name].combine_chunks()
+    rows = rows.chunk(0) if isinstance(rows, pa.ChunkedArray) else rows
+    values, ends = rows.values.to_numpy(zero_copy_only=False), rows.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 def crc(key):

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import tokens
+from weftlink.llm.langid import column
 
 
 @dataclass(frozen=True)
@@ -177,9 +178,9 @@ def train(df: DataFrame, labels: DataFrame, categories: Mapping[str, str], key:
     known = known.orderBy(F.xxhash64(F.lit(t.seed), key), *[f"_y{i}" for i in range(len(names))]).limit(t.rows)
     rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")).join(F.broadcast(known), key).where("_text is not null").limit(2 * t.rows)
     y = [f"_y{i}" for i in range(len(names))]
-    found = rows.select("_text", *y).mapInArrow(_examples, "words array<long>, " + ", ".join(f"{c} int" for c in y)).collect()
-    found.sort(key=lambda r: (len(r["words"]), r["words"]))
-    return fit(names, [np.array(r["words"], np.int64).view(np.uint64) for r in found], np.array([[r[c] for c in y] for r in found]).reshape(len(found), len(names)), t)
+    found = rows.select("_text", F.xxhash64(key, "_text").alias("id"), *y).mapInArrow(_examples, "words array<long>, id long, " + ", ".join(f"{c} int" for c in y)).toArrow()
+    found = found.sort_by([("id", "ascending"), *[(c, "ascending") for c in y]])
+    return fit(names, [w.view(np.uint64) for w in column(found, "words")], np.stack([found[c].to_numpy() for c in y], axis=1) if found.num_rows else np.zeros((0, len(names))), t)
 
 
 def _predictor(shared):
