@@ -223,8 +223,8 @@ def _counter(join: Join, buckets: int):
     return run
 
 
-def frequent(grams: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted keys of the most frequent n-grams, their sets, and the count from which on all are there.
+def frequent(grams: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of the most frequent n-grams, and the number of sets that have each.
 
     All sets are counted. The table has ``table_size`` entries at most, the largest
     counts first: that bounds what reaches the driver and is broadcast.
@@ -232,53 +232,48 @@ def frequent(grams: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray, int]
     parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = grams.mapInArrow(_counter(join, 1 << (2 * parts - 1).bit_length()), runs.SCHEMA)
     shared = checkpointed(found.repartition(parts, "bucket").mapInArrow(runs.merger(2), runs.SCHEMA))
-    keys, counts, cut = runs.top(shared, runs.totals(shared), join.table_size, 2)
-    return keys, counts.astype(np.int32), cut
+    keys, counts, _ = runs.top(shared, runs.totals(shared), join.table_size, 2)
+    return keys, counts.astype(np.int32)
 
 
-ORDERED = "key long, root {id}, n long, grams array<long>, lone int, cold int, first int, prefix int, matches int"
+ORDERED = "key long, root {id}, n long, grams array<long>, cold int, first int, prefix int, matches int"
 
 
 def _preparer(join: Join, shared):
     """Sets in the common order, and the prefix with the least estimated cost.
 
-    lone: n-grams in front that occur once; cold: those that are not hot; first: length
-    of the 1-prefix; prefix: of the prefix taken; matches: what it asks for. Sets with too
-    few n-grams that others have are left out.
+    cold: n-grams that are not hot; first: length of the 1-prefix; prefix: of the prefix
+    taken; matches: what it asks for. An n-gram outside the table counts as one of two sets,
+    whether or not the table has all that are shared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts, cut = shared.value
-        unknown = 1 if cut <= 2 else 2
+        table, counts = shared.value
         shift = np.uint64(64 - join.key_bits)
         for batch in batches:
-            rows, out = [], {c: [] for c in ("n", "grams", "lone", "cold", "first", "prefix", "matches")}
-            for row, found in enumerate(batch.column(2)):
+            out: dict[str, list] = {c: [] for c in ("n", "grams", "cold", "first", "prefix", "matches")}
+            for found in batch.column(2):
                 s = found.values.to_numpy().view(np.uint64)
                 n = len(s)
                 if len(table):
                     k = s >> shift
                     at = np.minimum(np.searchsorted(table, k), len(table) - 1)
-                    df = np.where(table[at] == k, counts[at], unknown)
+                    df = np.where(table[at] == k, counts[at], 2)
                 else:
-                    df = np.full(n, unknown)
+                    df = np.full(n, 2)
                 need = join.needed(n)
-                if int((df > 1).sum()) < need:
-                    continue
                 order = np.lexsort((s, df))
                 df = df[order]
-                lone, cold = int(np.searchsorted(df, 1, "right")), int(np.searchsorted(df, join.hot, "right"))
+                cold = int(np.searchsorted(df, join.hot, "right"))
                 first = n - need + 1
                 most = 1 if first > cold else max(1, min(join.max_matches, need, cold - (n - need)))  # longer prefixes stay cold
                 reads = np.cumsum(df - 1)
                 cost = [reads[n - need + m - 1] * (1 + join.verify_cost / m) for m in range(1, most + 1)]
                 m = 1 + int(np.argmin(cost))
-                rows.append(row)
-                for c, v in (("n", n), ("grams", s[order].view(np.int64)), ("lone", lone), ("cold", cold), ("first", first), ("prefix", n - need + m), ("matches", m)):
+                for c, v in (("n", n), ("grams", s[order].view(np.int64)), ("cold", cold), ("first", first), ("prefix", n - need + m), ("matches", m)):
                     out[c].append(v)
-            take = pa.array(rows, pa.int64())
             kinds = {"n": pa.int64(), "grams": pa.list_(pa.int64())}
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[pa.array(v, kinds.get(c, pa.int32())) for c, v in out.items()]], names=["key", "root", *out])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(v, kinds.get(c, pa.int32())) for c, v in out.items()]], names=["key", "root", *out])
 
     return run
 
@@ -295,7 +290,7 @@ def cold_candidates(classes: DataFrame, join: Join) -> DataFrame:
     prefix has some asks for one match.
     """
     end = F.least("prefix", "cold")
-    rows = classes.where(end > F.col("lone")).select("key", "n", "matches", F.explode(F.slice("grams", F.col("lone") + 1, end - F.col("lone"))).alias("gram"))
+    rows = classes.where(end > 0).select("key", "n", "matches", F.explode(F.slice("grams", F.lit(1), end)).alias("gram"))
     left, right = rows.select("gram", *[F.col(c).alias(f"{c}_a") for c in ("key", "n", "matches")]), rows.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "matches")])
     pairs = left.join(right, "gram").where((F.col("key_a") < F.col("key_b")) & _sized(join, "n_a", "n_b"))
     met = pairs.groupBy(F.col("key_a").alias("a"), F.col("key_b").alias("b")).agg(F.count("*").alias("met"), F.least(F.first("matches_a"), F.first("matches_b")).alias("least"))
