@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftlink.llm import decontaminate, langid, lattice_lm, mixing, ngram_join, pii, quality_rules, secrets, sharding, toxicity
 
+from weftlink.llm.sql import ORACLE_SQL as ORACLE_SQL
 from weftlink.session import ready
 
 
@@ -77,4 +78,3 @@ QUERIES = {
         op10_toxicity,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
