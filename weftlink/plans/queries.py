@@ -227,7 +227,7 @@ def candidate_report(spark, sf):
     return blocking.candidate_report(B.pairs(spark, sf), B.truth(spark, sf), B.anchors(spark, sf), n)
 
 
-@query(f"WITH {S.SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY p DESC, target_id) AS place FROM scored) SELECT anchor_id, target_id, p, place FROM r WHERE place <= 8")
+@query(f"WITH {S.SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY p DESC, target_id) AS place FROM scored) SELECT anchor_id, target_id, p, place::INTEGER AS place FROM r WHERE place <= 8")
 def topk_candidates(spark, sf):
     return blocking.top_k(B.scored(spark, sf), "p", 8).select("anchor_id", "target_id", "p", "place")
 
