@@ -51,6 +51,8 @@ def test_end_to_end(spark, demo, tmp_path):
     assert truth.join(pairs, ["anchor_id", "target_id"], "left_anti").count() <= 2
     chosen = linkage.select_model(spark, linkage.feat.gathered(pairs, a, t), truth, anchors, s)
     assert len(chosen.rows) == 4 and 0 <= chosen.threshold <= 1.01
+    chosen.save(spark, str(tmp_path / "chosen"))
+    chosen = linkage.Chosen.load(spark, str(tmp_path / "chosen"))
     matches, scored = linkage.link(a, t, chosen, s)
     assert metrics.entity_report(matches, truth, anchors, t.count()).first().f05 > 0.8
     m, c = tables.match_lists(matches, anchors), tables.match_lists(scored, anchors, "candidate_entity_ids", by=None)
@@ -62,6 +64,15 @@ def test_end_to_end(spark, demo, tmp_path):
     assert sorted(map(tuple, tables.match_lists(again, anchors).collect())) == sorted(map(tuple, m.collect()))
 
 
+def test_settings():
+    s = linkage.Settings.load('{"limit": 9, "kinds": ["forest"]}')
+    assert s.limit == 9 and linkage.Settings.load(s.dump()).k == s.k
+    with pytest.raises(ValueError, match="unknown"):
+        linkage.Settings.load('{"limits": 9}')
+    with pytest.raises(ValueError, match="range"):
+        linkage.Settings(k=0)
+
+
 def test_faults_are_found(spark):
     a = spark.createDataFrame([("S1-1",), ("S1-2",)], "anchor_id string")
     t = spark.createDataFrame([("S2-1",), ("S3-1",)], "entity_id string")

@@ -59,3 +59,7 @@ INDIC_LETTERS = {
 LATIN_FOLDS = {"a": "ÀÁÂÃÄÅàáâãäå", "e": "ÈÉÊËèéêë", "i": "ÌÍÎÏìíîï", "o": "ÒÓÔÕÖòóôõö", "u": "ÙÚÛÜùúûü", "c": "Çç"}
 # consonants that count as one, in order
 DIGRAPHS = {"ph": "f", "bh": "b", "dh": "d", "th": "t", "kh": "k", "sh": "s", "w": "v"}
+# contacts: an address with its local part and domain, a link, a labelled telephone number
+EMAIL = r"(?<![\w.+-])([\w.!#$%&'*+/=?^`{|}~-]+)@([\w-]+(?:\.[\w-]+)+)"
+LINK = r"(?:https?://|www\.)[^\s<>|]+"
+TELEPHONE = r"\b(?:tel(?:ephone)?|phone|mobile|mob)\s*[:=]\s*(\+?[\d() .-]{7,25})"

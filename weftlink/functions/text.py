@@ -137,12 +137,12 @@ def address_parts(c: Column, ascii_only: bool = False) -> dict[str, Column]:
 def contacts(c: Column) -> dict[str, Column]:
     """The first e-mail address, its domain, the first host, and the first labelled phone number."""
     text = F.coalesce(c, F.lit(""))
-    mail = r"(?U)(?<![\w.+-])([\w.!#$%&'*+/=?^`{|}~-]+)@([\w-]+(?:\.[\w-]+)+)"
+    mail = f"(?U){C.EMAIL}"
     domain = F.lower(F.regexp_extract(text, mail, 2))
-    url = F.regexp_extract(text, r"(?i)(?:https?://|www\.)[^\s<>|]+", 0)
+    url = F.regexp_extract(text, f"(?i){C.LINK}", 0)
     host = F.lower(F.regexp_extract(F.regexp_replace(url, r"(?i)^https?://", ""), r"^(?:[^/?#@]*@)?([^/?#:]*)", 1))
     host = F.regexp_replace(F.regexp_replace(host, r"[.,;)\"']+$", ""), r"^www\.", "")
-    phone = F.trim(F.regexp_extract(text, r"(?i)\b(?:tel(?:ephone)?|phone|mobile|mob)\s*[:=]\s*(\+?[\d() .-]{7,25})", 1))
+    phone = F.trim(F.regexp_extract(text, f"(?i){C.TELEPHONE}", 1))
     digits = F.regexp_replace(phone, r"\D", "")
     return {
         "email": F.when(domain != "", F.concat(F.regexp_extract(text, mail, 1), F.lit("@"), domain)).otherwise(""),

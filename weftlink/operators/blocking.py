@@ -160,6 +160,23 @@ def gap(raw: DataFrame, retained: DataFrame, truth: DataFrame) -> DataFrame:
     return t.groupBy(F.when(F.col("k"), "retained").when(F.col("r"), "capped").otherwise("never").alias("state")).agg(F.count("*").alias("n"))
 
 
+def rank_positions(pairs: DataFrame, truth: DataFrame, score: str, k: int) -> DataFrame:
+    """(anchor_id, target_id, place): true pairs that a cut at ``k`` drops, and where they stand."""
+    ranked = pairs.withColumn("place", F.row_number().over(Window.partitionBy("anchor_id").orderBy(F.desc(score), "target_id")))
+    return truth.join(ranked.select("anchor_id", "target_id", "place").where(F.col("place") > k), ["anchor_id", "target_id"])
+
+
+def channel_what_if(missed: DataFrame, anchors: DataFrame, targets: DataFrame, channels: dict[str, Column]) -> DataFrame:
+    """(channel, n): missed pairs whose records share a key of a channel, and of any."""
+    names = list(channels)
+    side = lambda x, key, s: x.select(F.col("entity_id").alias(key), *[c.alias(f"{s}{i}") for i, c in enumerate(channels.values())])
+    both = missed.join(side(anchors, "anchor_id", "a"), "anchor_id").join(side(targets, "target_id", "t"), "target_id")
+    hits = [F.coalesce(F.arrays_overlap(f"a{i}", f"t{i}"), F.lit(False)) for i in range(len(names))]
+    found = F.filter(F.array(*[F.when(h, F.lit(n)) for h, n in zip(hits, names, strict=True)]), lambda x: x.isNotNull())
+    each = both.select(F.explode(F.when(F.size(found) > 0, F.concat(found, F.array(F.lit("any")))).otherwise(F.array(F.lit("none")))).alias("channel"))
+    return each.groupBy("channel").agg(F.count("*").alias("n"))
+
+
 def alias_pairs(scored: DataFrame, targets: DataFrame, threshold: float = 0.95, limit: int = 20) -> DataFrame:
     """New pairs (anchor_id, target_id): targets that share name and country with one that an anchor surely has.
 

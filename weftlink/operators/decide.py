@@ -85,6 +85,15 @@ def winners(pairs: DataFrame, won: DataFrame) -> DataFrame:
     return pairs.join(won.select("anchor_id", "target_id"), ["anchor_id", "target_id"], "left_semi")
 
 
+def arbitration_comparison(pairs: DataFrame, threshold: float, cap: int = 1) -> DataFrame:
+    """(policy, n_pairs, n_targets, max_claims, n_duplicates) without arbitration, by target, and with a cap for each source."""
+    out = None
+    for name, kept in (("none", pairs), ("target", arbitrated(pairs)), ("capped", arbitrated_capped(pairs, cap))):
+        one = claims_report(thresholded(kept, threshold)).select(F.lit(name).alias("policy"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def claims_report(pairs: DataFrame) -> DataFrame:
     """(n_pairs, n_targets, max_claims, n_duplicates): how targets are claimed."""
     per = pairs.groupBy("target_id").agg(F.count("*").alias("c"))

@@ -121,6 +121,11 @@ def model_changes(pairs: DataFrame, before: str, after: str, threshold: float) -
     return pairs.select(kind.alias("slice")).dropna().groupBy("slice").agg(F.count("*").alias("n"))
 
 
+def top_changes(pairs: DataFrame, before: str, after: str, n: int = 12) -> DataFrame:
+    """The ``n`` pairs whose probability changes most."""
+    return pairs.withColumn("change", F.abs(F.col(after) - F.col(before))).orderBy(F.desc("change"), "anchor_id", "target_id").limit(n)
+
+
 def bootstrap_interval(deltas: DataFrame, column: str, rounds: int = 2000, seed: int = 7) -> tuple[float, float, float]:
     """(mean, low, high): the mean of a column and its 95 % interval over resamples.
 

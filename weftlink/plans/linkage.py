@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,21 @@ class Settings:
     trees: int = 20
     depth: int = 5
 
+    def __post_init__(self):
+        if self.limit < 1 or self.wide < 1 or self.k < 1 or not 0 <= self.delta <= 1 or not set(self.kinds) <= set(models.KINDS):
+            raise ValueError("a setting is out of range")
+
+    @classmethod
+    def load(cls, text: str) -> Settings:
+        """From JSON; keys that are no settings are refused."""
+        given = json.loads(text)
+        if unknown := set(given) - {f.name for f in fields(cls)}:
+            raise ValueError(f"unknown settings: {sorted(unknown)}")
+        return cls(**given)
+
+    def dump(self) -> str:
+        return json.dumps(asdict(self), indent=1)
+
 
 @dataclass
 class Chosen:
@@ -43,6 +59,16 @@ class Chosen:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "kind string, calibrated boolean, threshold double, precision double, recall double, f05 double")
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """The model beside a small table of what else a run needs."""
+        self.model.write().overwrite().save(f"{path}/model")
+        spark.createDataFrame([(self.kind, self.slope, self.offset, self.threshold)], "kind string, slope double, offset double, threshold double").coalesce(1).write.mode("overwrite").parquet(f"{path}/chosen")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Chosen:
+        row = spark.read.parquet(f"{path}/chosen").first()
+        return cls(row["kind"], PipelineModel.load(f"{path}/model"), row["slope"], row["offset"], row["threshold"])
+
     def score(self, df: DataFrame) -> DataFrame:
         return models.calibrated(models.predict(self.model, df), self.slope, self.offset)
 

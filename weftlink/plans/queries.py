@@ -76,6 +76,11 @@ def ngram_sets(spark, sf):
     return B.records(spark, sf).select("entity_id", F.size(g(3)).cast("long").alias("n3"), F.size(g(4)).cast("long").alias("n4"), F.array_join(F.array_sort(g(5)), " ").alias("g5"))
 
 
+@query(f"WITH {S.REC} SELECT entity_id, length(name_norm) AS n_name, strlen(address_norm) AS n_bytes FROM rec")
+def name_lengths(spark, sf):
+    return B.records(spark, sf).select("entity_id", F.length("name_norm").cast("long").alias("n_name"), F.octet_length("address_norm").cast("long").alias("n_bytes"))
+
+
 _CODES = "string_split(translate(regexp_replace(upper(w), '[^BFPVCGJKQSXZDTLMNR]', '0', 'g'), 'BFPVCGJKQSXZDTLMNR', '111122222222334556'), '')"
 
 
@@ -245,6 +250,20 @@ def reserved_topk(spark, sf):
     return blocking.reserved_top_k(B.scored(spark, sf), "p", 8, "address", 2, 0.1)
 
 
+@query(f"WITH {S.SCORED}, r AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY p DESC, target_id) AS place FROM scored) SELECT anchor_id, target_id, place::INTEGER AS place FROM truth JOIN r USING (anchor_id, target_id) WHERE place > 4")
+def dropped_rank_positions(spark, sf):
+    return blocking.rank_positions(B.scored(spark, sf), B.truth(spark, sf), "p", 4)
+
+
+@query(
+    f"""WITH {S.SCORED}, m AS (SELECT anchor_id, target_id FROM truth ANTI JOIN pairs USING (anchor_id, target_id)), f AS (SELECT len(list_intersect({S.words('a.name_norm')}, {S.words('t.name_norm')})) > 0 AS name_word, len(list_intersect(regexp_extract_all(a.address_norm, '[0-9]+'), regexp_extract_all(t.address_norm, '[0-9]+'))) > 0 AS number FROM m JOIN rec a ON a.entity_id = anchor_id JOIN rec t ON t.entity_id = target_id)
+    SELECT channel, count(*) AS n FROM (SELECT 'name_word' AS channel FROM f WHERE name_word UNION ALL SELECT 'number' FROM f WHERE number UNION ALL SELECT 'any' FROM f WHERE name_word OR number UNION ALL SELECT 'none' FROM f WHERE NOT name_word AND NOT number) GROUP BY 1"""
+)
+def channel_what_if(spark, sf):
+    channels = {"name_word": X.split_words(F.col("name_norm")), "number": keys.digit_runs(F.col("address_norm"))}
+    return blocking.channel_what_if(blocking.missed_pairs(B.pairs(spark, sf), B.truth(spark, sf)), *B.sides(spark, sf), channels)
+
+
 @query(f"WITH {S.SCORED} SELECT anchor_id, target_id FROM truth ANTI JOIN pairs USING (anchor_id, target_id)")
 def missed_pairs(spark, sf):
     return blocking.missed_pairs(B.pairs(spark, sf), B.truth(spark, sf))
@@ -509,6 +528,17 @@ def model_change_slices(spark, sf):
     return metrics.model_changes(x, "p", "p2", 0.7)
 
 
+@query(f"WITH {S.LABELLED} SELECT anchor_id, target_id, round(p * p, 6) AS p2, round(p - p * p, 6) AS change FROM labelled ORDER BY p - p * p DESC, anchor_id, target_id LIMIT 12")
+def top_changes(spark, sf):
+    x = metrics.top_changes(_labelled(spark, sf).withColumn("p2", F.col("p") * F.col("p")), "p", "p2")
+    return x.select("anchor_id", "target_id", F.round("p2", 6).alias("p2"), F.round("change", 6).alias("change"))
+
+
+@query()
+def arbitration_comparison(spark, sf):
+    return decide.arbitration_comparison(B.scored(spark, sf), 0.6)
+
+
 @query()
 def bootstrap_interval(spark, sf):
     x = metrics.per_anchor(decide.thresholded(B.scored(spark, sf), 0.7), B.truth(spark, sf), B.anchors(spark, sf))
