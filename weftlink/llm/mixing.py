@@ -80,16 +80,16 @@ def _order(columns: Sequence[Column], seed: int, epoch: Column) -> Column:
     return F.xxhash64(F.lit(seed), epoch.cast("int"), *columns)
 
 
-def mix(df: DataFrame, levels: Mapping[str, str], mixture: Mixture = Mixture(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def mix(df: DataFrame, levels: Mapping[str, str], mixture: Mixture = Mixture(), key: str = "doc_id", text: str = "text", added: tuple[str, str] = ("epoch", "n_tokens")) -> DataFrame:
     """The rows of ``df`` that the mixture takes, once for each epoch that takes them.
 
-    Adds ``epoch`` (0 for the first) and ``n_tokens`` to the columns of ``df``, in place
-    of columns of these names. ``levels`` names the tree from the root down, each level as an SQL expression; nulls are a
+    Adds the epoch (0 for the first) and the tokens to the columns of ``df``, in place of
+    columns of the names ``added``. ``levels`` names the tree from the root down, each level as an SQL expression; nulls are a
     branch of their own. Null and empty texts have no tokens and are taken with the
     prefix that they fall in. Repeated rows stand side by side in the order and may be
     cut apart only by the budget. An empty table gives no rows.
     """
-    columns = [c for c in df.columns if c not in ("epoch", "n_tokens")]
+    columns = [c for c in df.columns if c not in added]
     names = list(levels)
     rows = df.select(
         F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"),
@@ -103,7 +103,7 @@ def mix(df: DataFrame, levels: Mapping[str, str], mixture: Mixture = Mixture(),
         raise ValueError(f"a mixture has at most {MAX_LEAVES} leaves")
     supply = {tuple(r[c] for c in leaf): r["n"] for r in supply_rows}
     if not supply:
-        return df.select(*columns).withColumns({"epoch": F.lit(0), "n_tokens": F.lit(0).cast("long")}).limit(0)
+        return df.select(*columns).withColumns({added[0]: F.lit(0), added[1]: F.lit(0).cast("long")}).limit(0)
     given = budgets(supply, mixture, mixture.share * sum(supply.values()))
     plan = [(*k, int(b // supply[k]) if supply[k] else 0, int(b - b // supply[k] * supply[k]) if supply[k] else 0) for k, b in given.items()]
     schema = ", ".join(f"{c} string" for c in leaf) + ", whole int, rest long"
@@ -121,7 +121,7 @@ def mix(df: DataFrame, levels: Mapping[str, str], mixture: Mixture = Mixture(),
     last = dealt.where(F.col("bucket") == F.col("cut"))
     running = F.sum("n").over(Window.partitionBy(*leaf).orderBy("u", "id").rowsBetween(Window.unboundedPreceding, 0))
     last = last.withColumn("running", F.col("before") + running).where(F.col("running") <= F.col("rest")).withColumn("epoch", F.col("whole"))
-    pick = lambda x: x.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)], F.col("epoch").cast("int").alias("epoch"), F.col("n").alias("n_tokens"))
+    pick = lambda x: x.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)], F.col("epoch").cast("int").alias(added[0]), F.col("n").alias(added[1]))
     return pick(whole).union(pick(early)).union(pick(last))
 
 
