@@ -166,9 +166,9 @@ def ngrams(c: Column, n: int) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """0 where either set is empty."""
+    """Of two sets (arrays without repeats); 0 where either is empty."""
     both = F.size(F.array_intersect(a, b))
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(F.array_distinct(a)) + F.size(F.array_distinct(b)) - both))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
 def levenshtein_similarity(a: Column, b: Column) -> Column:

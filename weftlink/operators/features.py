@@ -60,11 +60,18 @@ def text_features() -> dict[str, Column]:
     return out
 
 
-def ngram_features() -> dict[str, Column]:
-    a, t = both("name_norm")
-    out = {f"name_char_{n}gram_similarity": X.jaccard(X.ngrams(a, n), X.ngrams(t, n)) for n in (3, 4, 5)}
-    a, t = both("address_norm")
-    return out | {"address_char_ngram_similarity": X.jaccard(X.ngrams(a, 3), X.ngrams(t, 3))}
+GRAMS = {"name_char_3gram_similarity": ("name_norm", 3), "name_char_4gram_similarity": ("name_norm", 4), "name_char_5gram_similarity": ("name_norm", 5), "address_char_ngram_similarity": ("address_norm", 3)}
+
+
+def with_grams(records: DataFrame) -> DataFrame:
+    """The n-gram sets of a record, made once instead of for each of its pairs."""
+    return records.withColumns({f"{f}_{n}": X.ngrams(F.col(f), n) for f, n in GRAMS.values()})
+
+
+def ngram_features(made: bool = False) -> dict[str, Column]:
+    """Jaccard similarities of n-grams (4); ``made``: both sides come from ``with_grams``."""
+    sets = lambda f, n: both(f"{f}_{n}") if made else tuple(X.ngrams(c, n) for c in both(f))
+    return {name: X.jaccard(*sets(f, n)) for name, (f, n) in GRAMS.items()}
 
 
 def component_features() -> dict[str, Column]:

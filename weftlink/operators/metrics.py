@@ -75,10 +75,10 @@ def threshold_sweep(pairs: DataFrame, truth: DataFrame, anchors: DataFrame, grid
     hits = pairs.join(truth.select("anchor_id", "target_id").withColumn("_t", F.lit(1)), ["anchor_id", "target_id"], "left").withColumn("step", step).where("step >= 0")
     dealt = hits.groupBy("anchor_id", "step").agg(F.count("*").alias("n"), F.count("_t").alias("t"))
     sizes = anchors.select("anchor_id").join(truth.groupBy("anchor_id").agg(F.count("*").alias("n_true")), "anchor_id", "left").fillna(0, ["n_true"])
-    lists = dealt.groupBy("anchor_id").agg(F.collect_list(F.struct("step", "n", "t")).alias("d"))  # a row for each step at most
-    total = lambda i, c: F.aggregate(F.filter("d", lambda s: s["step"] >= i), F.lit(0).cast("long"), lambda a, s: a + s[c])
-    x = sizes.join(lists, "anchor_id", "left").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))))
-    x = x.withColumns({"n_pred": F.coalesce(total(F.col("step"), "n"), F.lit(0)), "tp": F.coalesce(total(F.col("step"), "t"), F.lit(0))})
+    steps = F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("step")
+    x = sizes.select("*", steps).join(dealt, ["anchor_id", "step"], "left")
+    above = Window.partitionBy("anchor_id").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumns({"n_pred": F.coalesce(F.sum("n").over(above), F.lit(0)), "tp": F.coalesce(F.sum("t").over(above), F.lit(0))})
     y = with_scores(x).groupBy("step").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f05")])
     return y.withColumn("threshold", F.get(marks, F.col("step"))).select("step", "threshold", "precision", "recall", "f05")
 

@@ -330,7 +330,9 @@ _NGRAM = ", ".join(f"round({S.jac(S.ngrams('a.name_norm', n), S.ngrams('t.name_n
 
 @query(f"WITH {S.PAIRS} SELECT anchor_id, target_id, {_NGRAM}, round({S.jac(S.ngrams('a.address_norm', 3), S.ngrams('t.address_norm', 3))}, 6) AS address_char_ngram_similarity FROM pairs {S.SIDES}")
 def ngram_features(spark, sf):
-    return _gathered(spark, sf).select("anchor_id", "target_id", *_rounded(feat.ngram_features()))
+    a, t = (feat.with_grams(x) for x in B.sides(spark, sf))
+    g = feat.gathered(B.pairs(spark, sf), a, t, [f"{f}_{n}" for f, n in feat.GRAMS.values()])
+    return g.select("anchor_id", "target_id", *_rounded(feat.ngram_features(made=True)))
 
 
 @query(f"WITH {S.PAIRS} SELECT anchor_id, target_id, round(jaro_winkler_similarity(a.name_norm, t.name_norm), 6) AS jw FROM pairs {S.SIDES}")
