@@ -46,6 +46,7 @@ class Lattice:
     prefixes: np.ndarray = field(init=False)
     piece_of: np.ndarray = field(init=False)
     bytes_of: np.ndarray = field(init=False)
+    place: tokens.Lookup = field(init=False)
 
     def __post_init__(self):
         found: dict[int, int] = {}
@@ -62,6 +63,7 @@ class Lattice:
                     found.setdefault(x, -1)
         self.prefixes = np.array(sorted(found), np.uint64)
         self.piece_of = np.array([found[x] for x in self.prefixes.tolist()], np.int64)
+        self.place = tokens.Lookup(self.prefixes)
 
     @classmethod
     def of_model(cls, path: str = VOCABULARY) -> Lattice:
@@ -90,35 +92,33 @@ class Lattice:
         total = p.sum() + e
         return Lattice(self.pieces, np.log(p / total), float(np.log(e / total)))
 
-    def edges(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(start node, end node, piece) of all pieces in words laid end to end; a word of n bytes has n + 1 nodes."""
+    def edges(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(start node, end node, piece, word) of all pieces in words laid end to end; a word of n bytes has n + 1 nodes."""
         word = np.repeat(np.arange(len(begin)), size)
         limit = np.repeat(begin + size, size)
         at, h = np.arange(len(flat)), np.zeros(len(flat), np.uint64)
-        starts, ends, found = [], [], []
         one = self.bytes_of[flat]
         keep = one >= 0
-        starts.append(at[keep] + word[keep])
-        ends.append(at[keep] + word[keep] + 1)
-        found.append(one[keep])
+        starts, sizes, found = [at[keep]], [np.ones(int(keep.sum()), np.int64)], [one[keep]]
         length = 0
         while len(at):
             inside = at + length < limit[at]
             at, h = at[inside], h[inside]
             h = h + tokens._BYTE[flat[at + length]] * tokens.powers(256)[length]
             length += 1
-            where = np.minimum(np.searchsorted(self.prefixes, h), len(self.prefixes) - 1)
-            known = self.prefixes[where] == h
+            where, known = self.place(h)
             at, h, piece = at[known], h[known], self.piece_of[where[known]]
             whole = piece >= 0
-            starts.append(at[whole] + word[at[whole]])
-            ends.append(at[whole] + word[at[whole]] + length)
+            starts.append(at[whole])
+            sizes.append(np.full(len(starts[-1]), length))
             found.append(piece[whole])
-        return np.concatenate(starts), np.concatenate(ends), np.concatenate(found)
+        start = np.concatenate(starts)
+        of = word[start]
+        return start + of, start + of + np.concatenate(sizes), np.concatenate(found), of
 
     def _pass(self, value: np.ndarray, source: np.ndarray, target: np.ndarray, weight: np.ndarray, step: np.ndarray) -> None:
         """value[target] = log sum exp(value[source] + weight), step by step."""
-        order = np.argsort(step * (len(value) + 1) + target, kind="stable")
+        order = np.argsort(step * (len(value) + 1) + target)
         source, target, weight, step = source[order], target[order], weight[order], step[order]
         cuts = np.append(np.flatnonzero(np.append(True, step[1:] != step[:-1])), len(step)).tolist()
         first = np.append(True, target[1:] != target[:-1])
@@ -130,9 +130,8 @@ class Lattice:
         """Log probability of each word; with ``count``, also the expected number of each piece."""
         if not len(begin):
             return np.zeros(0), None if count is None else np.zeros(len(self.pieces))
-        s, e, piece = self.edges(flat, begin, size)
+        s, e, piece, of = self.edges(flat, begin, size)
         node = begin + np.arange(len(begin))  # the first node of each word
-        of = np.searchsorted(node, s, "right") - 1
         w = self.logp[piece]
         alpha = np.full(len(flat) + len(begin), -np.inf)
         alpha[node] = 0

@@ -97,6 +97,29 @@ def hashed_words(body: np.ndarray, offsets: np.ndarray, kind: np.ndarray, lower:
     return mixed(h + size.astype(np.uint64)), before, starts, ends
 
 
+class Lookup:
+    """Places of 64-bit hashes in a sorted table, by their first bits instead of a binary search."""
+
+    def __init__(self, keys: np.ndarray, bits: int = 20):
+        self.n, self.shift = len(keys), np.uint64(64 - bits)
+        ends = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << self.shift)
+        self.begin = np.concatenate([[0], ends]).astype(np.int32)
+        self.most = int(np.diff(np.append(self.begin, self.n)).max(initial=0))
+        self.keys = np.append(keys, np.zeros(self.most + 1, np.uint64))
+
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there)."""
+        at = self.begin[(h >> self.shift).astype(np.int64)]
+        known = (self.keys[at] == h) & (at < self.n)
+        for _ in range(1, self.most):
+            rest = np.flatnonzero(~known)
+            next_ = at[rest] + 1
+            found = (self.keys[next_] == h[rest]) & (next_ < self.n)
+            at[rest] = next_
+            known[rest] = found
+        return at, known
+
+
 def hash_list(words: Sequence[str]) -> np.ndarray:
     """Hashes of single words, as ``hashed_words`` gives them."""
     texts = pa.array(list(words), pa.string())
