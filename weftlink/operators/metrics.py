@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,7 +73,7 @@ def threshold_sweep(pairs: DataFrame, truth: DataFrame, anchors: DataFrame, grid
     by the grid. Anchors without pairs are counted apart.
     """
     marks = F.array(*[F.lit(t) for t in grid])
-    step = F.size(F.filter(marks, lambda t: F.col("p") >= t)) - 1
+    step = reduce(add, [(F.col("p") >= F.lit(t)).cast("int") for t in grid]) - 1
     hits = pairs.join(truth.select("anchor_id", "target_id").withColumn("_t", F.lit(1)), ["anchor_id", "target_id"], "left").withColumn("step", step).where("step >= 0")
     dealt = hits.groupBy("anchor_id", "step").agg(F.count("*").alias("n"), F.count("_t").alias("t"))
     sizes = anchors.select("anchor_id").join(truth.groupBy("anchor_id").agg(F.count("*").alias("n_true")), "anchor_id", "left").fillna(0, ["n_true"])
