@@ -87,7 +87,7 @@ def host_verdicts(docs: DataFrame, r: Rules, host: str = "host") -> DataFrame:
     The prior is beta(a, b) with the mean and variance of the hosts' raw rates;
     where the hosts do not differ, its strength is ``prior_strength``.
     """
-    hosts = docs.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed"))
+    hosts = checkpointed(docs.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")))
     rate = F.col("n_failed") / F.col("n_docs")
     m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
     m, v = m or 0.0, v or 0.0
