@@ -90,7 +90,7 @@ REF_BITS = 40
 _STEPS = np.unique(np.concatenate([np.arange(1, 40), np.geomspace(40, 1 << 24, 216).astype(np.int64)]))[:255]
 #: Centres of groups that are broadcast, some kilobytes each; with more, sets are shuffled by group.
 PIVOT_SETS = 5_000
-#: Rows of a broadcast table of references, 16 bytes each.
+#: Rows of a broadcast table of references or classes, 16 bytes each; beyond it Spark splits the hot keys of a shuffle.
 BROADCAST_REFS = 2_000_000
 
 
@@ -407,5 +407,5 @@ def linked_documents(df: DataFrame, join: Join = Join(), key: str = "doc_id", te
     lowest = named.groupBy("component").agg(F.min("root").alias("component_id"))
     moved = named.join(lowest, "component").select(F.col("node").alias("key"), "component_id")
     of_class = found.select("key", "root").join(moved, "key", "left").select("key", F.coalesce("component_id", "root").alias("component_id"))
-    done = rows.join(of_class, "key").select("doc_id", "n_shingles", "component_id")
+    done = rows.join(small_side(of_class, BROADCAST_REFS), "key").select("doc_id", "n_shingles", "component_id")
     return done.union(sets.where("key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
