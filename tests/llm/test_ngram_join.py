@@ -67,6 +67,26 @@ def test_against_brute_force(spark, seed, join):
     assert got == brute(docs, join.n, join.percent)
 
 
+def shared_passages(r, worlds):
+    """Pairs of texts made of the same passages in another order, each passage in several other texts of its world."""
+    docs = []
+    for world in range(worlds):
+        stock = [[f"p{world}x{i}x{j}" for j in range(12)] for i in range(36)]
+        for _ in range(24):
+            base = r.sample(stock, 6)
+            for _ in range(2):
+                w = [x for p in r.sample(base, 6) for x in [*p, f"s{len(docs)}x{r.random()}"]]
+                w[r.randrange(len(w))] = f"e{len(docs)}"
+                docs.append((len(docs), " ".join(w)))
+    return docs
+
+
+def test_pivot_without_a_centre_links_to_its_own_group(spark):
+    docs = [(d, t) for d, t in shared_passages(random.Random(5), 149) if d // 48 in (60, 148)]  # worlds with such a pivot
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in linked_documents(spark.createDataFrame(docs, "doc_id long, text string"), Join(3, 60, hot=3, pivots=3)).collect()), key=str)
+    assert got == brute(docs, 3, 60)
+
+
 def test_empty_table(spark):
     assert linked_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -298,7 +298,7 @@ def cold_candidates(classes: DataFrame, join: Join) -> DataFrame:
 
 
 def grouped(hot: DataFrame, join: Join) -> DataFrame:
-    """(key, n, hub, diff) for the hot sets that have a centre: ``diff`` is the difference from it.
+    """(key, n, hub, diff) for the hot sets that have a centre, all pivots among them: ``diff`` is the difference from it.
 
     A centre starts as one of a hashed sample of the sets: of those that hold an
     n-gram, the first one counts, and a set goes where most of 16 of its n-grams
@@ -310,6 +310,7 @@ def grouped(hot: DataFrame, join: Join) -> DataFrame:
     probe = hot.select("key", F.explode(F.slice(F.array_sort(F.slice("grams", F.col("cold") + 1, F.size("grams"))), 1, 16)).alias("gram"))
     votes = probe.join(of_gram, "gram").groupBy("key", "hub").agg(F.count("*").alias("votes")).where("votes >= 5")
     hub = votes.groupBy("key").agg(F.min_by("hub", F.struct(-F.col("votes"), F.col("hub"))).alias("hub"))
+    hub = hub.union(pivot.select("key", F.col("key").alias("hub")).join(hub, "key", "left_anti"))  # a pivot without a centre is its own: no set outside a group has a hub's key
     centre = pivot.select(F.col("key").alias("hub"), F.col("grams").alias("centre"))
     member = hot.select("key", "n", "grams").join(hub, "key").join(small_side(centre, PIVOT_SETS), "hub")
     other = lambda a, b: F.concat(F.array_except(a, b), F.array_except(b, a))
