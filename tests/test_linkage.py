@@ -1,9 +1,11 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 from weftlink.operators import metrics, models
 from weftlink.operators.records import preprocess
-from weftlink.plans import linkage
+from weftlink.plans import linkage, queries
 from weftlink.sources import tables
 from weftlink.streaming import scoring
 
@@ -112,3 +114,12 @@ def test_scoring_resumes(spark, tmp_path):
         assert scoring.scores(spark, place).count() == total
     with pytest.raises(ValueError, match="other settings"):
         scoring.score_incrementally(spark, source, place, score, {"v": 2})
+
+
+@pytest.mark.parametrize("name", ["coarse_features", "fuzzy_pairs", "enhanced_features", "evidence_text_features", "detail_features", "full_base_features", "veto_features_full", "evidence_features", "peer_features"])
+def test_features_of_all_candidates(spark, name):
+    sf = "/root/testdata/sf0.001"
+    pair = lambda x: sorted(tuple(r) for r in x.select("anchor_id", "target_id").collect())
+    want = pair(queries.QUERIES["blocking_union_mask"](spark, sf))
+    assert max(Counter(a for a, _ in want).values()) > 8
+    assert pair(queries.QUERIES[name](spark, sf)) == want

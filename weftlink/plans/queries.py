@@ -342,14 +342,12 @@ def jaro_winkler_pairs(spark, sf):
 
 @query()
 def fuzzy_pairs(spark, sf):
-    g = blocking.top_k(B.scored(spark, sf), "p", 8)
-    return feat.gathered(g, *B.sides(spark, sf)).select("anchor_id", "target_id", *[F.round(similarity(k, *feat.both("name_norm")), 6).alias(k) for k in ("indel", "token_sort", "token_set", "partial", "weighted")])
+    return _gathered(spark, sf).select("anchor_id", "target_id", *[F.round(similarity(k, *feat.both("name_norm")), 6).alias(k) for k in ("indel", "token_sort", "token_set", "partial", "weighted")])
 
 
 def _grouped_features(name: str, group: Callable[[], dict]):
     def run(spark, sf):
-        top = blocking.top_k(B.scored(spark, sf), "p", 8)
-        return feat.assembled(feat.gathered(top, *B.sides(spark, sf)), [group()])
+        return feat.assembled(_gathered(spark, sf), [group()])
 
     run.__name__ = name
     QUERIES[name] = run
@@ -380,7 +378,7 @@ _grouped_features("veto_features_full", feat.veto_features)
 @query()
 def evidence_features(spark, sf):
     a, t = B.sides(spark, sf)
-    g = feat.gathered(blocking.top_k(B.scored(spark, sf), "p", 8), a, t)
+    g = feat.gathered(B.pairs(spark, sf), a, t)
     x = feat.idf_features(g.select("anchor_id", "target_id", *[f"{s}_{f}" for s in "at" for f in ("name_norm", "address_norm", "country_norm")]), feat.corpus_stats(a))
     return x.select("anchor_id", "target_id", *[c for c in x.columns if c.startswith("name_")], *_rounded(feat.evidence_set_features()))
 
@@ -423,7 +421,7 @@ def context_features(spark, sf):
 
 @query()
 def peer_features(spark, sf):
-    return feat.peer_features(blocking.top_k(B.scored(spark, sf), "p", 8).select("anchor_id", "target_id", "p"), B.sides(spark, sf)[1])
+    return feat.peer_features(B.scored(spark, sf).select("anchor_id", "target_id", "p"), B.sides(spark, sf)[1])
 
 
 @query("SELECT a.vec_id AS left_id, b.vec_id AS right_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cos FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1")
