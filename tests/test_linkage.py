@@ -123,3 +123,11 @@ def test_features_of_all_candidates(spark, name):
     want = pair(queries.QUERIES["blocking_union_mask"](spark, sf))
     assert max(Counter(a for a, _ in want).values()) > 8
     assert pair(queries.QUERIES[name](spark, sf)) == want
+
+
+def test_disk_candidates_of_keys_below_the_limit(spark, tmp_path):
+    """A name of 300 targets: more than 5 x 40, less than 5 x 240."""
+    ids = [i for i in range(11, 12000, 20) if i % 17 and i % 3]  # one country, no legal ending
+    rows = [(i, "blue steel anvil", "Brand#11", i, "PLATED") for i in [111, *ids[:300]]]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_size int, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    assert queries.QUERIES["disk_candidates"](spark, str(tmp_path)).count() == 300

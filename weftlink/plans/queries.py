@@ -168,11 +168,9 @@ def blocking_union_mask(spark, sf):
 
 
 def _disk_pairs(spark, sf):
-    a, t = B.sides(spark, sf)
-    out = []
-    for families, limit, wide in ((keys.disk_families(), B.LIMIT, {"N": 5 * B.LIMIT, "A": 5 * B.LIMIT}), (keys.supplement_families(), B.LIMIT, None)):
-        out.append(blocking.candidates(keys.key_table(a, families), blocking.limited(keys.key_table(t, families), limit, wide)))
-    return blocking.merged(*out)
+    from weftlink.plans import linkage
+
+    return linkage.retrieve(*B.sides(spark, sf), linkage.Settings())
 
 
 @query()
