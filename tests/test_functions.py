@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.plain import fuzzy as plain
 from weftlink.functions import fuzzy
 from weftlink.functions import text as X
 
@@ -93,29 +94,33 @@ def test_rule_names(spark):
     assert spark.range(1).select(X.rules_text(F.lit(33))).first()[0] == "country_name|strong_name"
 
 
-def plain_lcs(a, b):
-    row = [0] * (len(b) + 1)
-    for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
-        row = new
-    return row[-1]
+TEXTS = st.lists(st.tuples(st.text("abcé d", max_size=20), st.text("abcé d", max_size=24)), max_size=12)
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("abcé ", max_size=20), st.text("abcé ", max_size=20))
-def test_lcs(a, b):
-    assert fuzzy.lcs(a, b) == plain_lcs(a, b)
-    for f in fuzzy.KERNELS.values():
-        assert 0 <= f(a, b) <= 1 + 1e-12
-        assert a == "" or f(a, a) == pytest.approx(1) or not a.split()
+@settings(max_examples=60, deadline=None)
+@given(TEXTS)
+def test_kernels_equal_their_plain_forms(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert fuzzy.lcs(a, b).tolist() == [plain.lcs(x, y) for x, y in pairs]
+    for name, kernel in fuzzy.KERNELS.items():
+        assert kernel(a, b) == pytest.approx([getattr(plain, name)(x, y) for x, y in pairs])
+
+
+def test_long_texts_leave_the_machine_word():
+    r = random.Random(5)
+    a = ["".join(r.choice("abc \0") for _ in range(r.choice((62, 63, 64, 65, 130)))) for _ in range(40)]
+    b = [x[: r.randrange(len(x))] + "".join(r.choice("abcd ") for _ in range(r.randrange(80))) for x in a]
+    clean = [[x.replace("\0", "\uffff") for x in v] for v in (a, b)]
+    for name in fuzzy.KERNELS:
+        x, y = (a, b) if "token" not in name and name != "weighted" else clean  # NUL sorts before other letters
+        assert fuzzy.KERNELS[name](x, y) == pytest.approx([getattr(plain, name)(u, v) for u, v in zip(*clean, strict=True)])
 
 
 def test_kernels():
-    assert round(fuzzy.jaro_winkler("martha", "marhta"), 4) == 0.9611
-    assert fuzzy.token_sort("b a", "a b") == 1 and fuzzy.token_set("a b", "a b c") == 1
-    assert fuzzy.partial("abc", "xxabcxx") == 1 and fuzzy.indel("", "a") == 0
+    one = lambda kind, a, b: fuzzy.KERNELS[kind]([a], [b])[0]
+    assert round(one("jaro_winkler", "martha", "marhta"), 4) == 0.9611
+    assert one("token_sort", "b a", "a b") == 1 and one("token_set", "a b", "a b c") == 1
+    assert one("partial", "abc", "xxabcxx") == 1 and one("indel", "", "a") == 0
 
 
 def test_similarity_udf(spark):
@@ -123,4 +128,10 @@ def test_similarity_udf(spark):
     rows = [("".join(r.choice("ab ") for _ in range(8)), "".join(r.choice("ab ") for _ in range(8))) for _ in range(50)] + [(None, "a")]
     df = spark.createDataFrame(rows, "a string, b string")
     got = df.select(F.col("a"), F.col("b"), fuzzy.similarity("weighted", F.col("a"), F.col("b")).alias("s")).collect()
-    assert all(x.s == fuzzy.weighted(x.a or "", x.b or "") for x in got)
+    assert [x.s for x in got] == pytest.approx([plain.weighted(x.a or "", x.b or "") for x in got])
+
+
+def test_any_script(spark):
+    assert column(spark, X.romanized, ["कमल", "Été", "Москва", "αθήνα", None]) == ["kamala", "ete", "moskva", "athena", ""]
+    df = spark.createDataFrame([("ib", "international business"), ("ib", "indian bank ltd"), ("a", "alpha"), ("", "x y")], "a string, b string")
+    assert [r[0] for r in df.select(X.is_acronym(F.col("a"), F.col("b"))).collect()] == [False, True, False, False]

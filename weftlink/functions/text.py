@@ -9,13 +9,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from weftlink.functions import constants as C
+from weftlink.session import application
 
 EMPTY = "array<string>"
 
@@ -29,37 +30,87 @@ def raw_text(c: Column) -> Column:
     return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)^\s+|\s+$", "")
 
 
-def _mapped(name: str, f):
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(f)
+_made: dict[tuple[str, str], Callable[..., Column]] = {}
 
-    run.__name__ = name
-    return F.pandas_udf(run, "string")
+
+def _mapped(f: Callable[[str | None], str], c: Column) -> Column:
+    """``f`` over the distinct values of each batch; equal calls give equal expressions, which Spark evaluates once."""
+    key = (application(), f.__name__)
+    if key not in _made:
+
+        def run(s: pd.Series) -> pd.Series:
+            known: dict = {}
+            return pd.Series([known[x] if x in known else known.setdefault(x, f(x)) for x in s], dtype=object)
+
+        run.__name__ = f.__name__
+        _made[key] = F.pandas_udf(run, "string")
+    return _made[key](c)
+
+
+def _nfkc_casefold(x: str | None) -> str:
+    return unicodedata.normalize("NFKC", x or "").casefold()
 
 
 def nfkc_casefold(c: Column) -> Column:
-    return _mapped("nfkc_casefold", lambda x: unicodedata.normalize("NFKC", x or "").casefold())(c)
+    return _mapped(_nfkc_casefold, c)
+
+
+def _fold_accents(x: str | None) -> str:
+    if not x or x.isascii():
+        return (x or "").lower()
+    return "".join(k for k in unicodedata.normalize("NFKD", (x or "").casefold()) if not unicodedata.combining(k))
 
 
 def fold_accents(c: Column) -> Column:
     """NFKD without combining marks, case folded."""
-    return _mapped("fold_accents", lambda x: "".join(k for k in unicodedata.normalize("NFKD", (x or "").casefold()) if not unicodedata.combining(k)))(c)
+    return _mapped(_fold_accents, c)
+
+
+def _syllables(x: str | None) -> str:
+    if not x or x.isascii():
+        return x or ""
+    out = []
+    for k in x:
+        name = unicodedata.name(k, "") if "\u0900" <= k <= "\u0d7f" else ""
+        found = re.search(r"LETTER ([A-Z]+)", name) or re.search(r"VOWEL SIGN ([A-Z]+)", name)
+        out.append(found[1].lower() if found else "" if name else k)
+    return "".join(out)
 
 
 def transliterated_by_name(c: Column) -> Column:
     """Indic letters and vowel signs as the syllable in their Unicode names; other Indic signs go."""
+    return _mapped(_syllables, c)
 
-    def one(x: str | None) -> str:
-        out = []
-        for k in x or "":
-            if "ऀ" <= k <= "ൿ":
-                found = re.search(r"(?:LETTER|VOWEL SIGN) ([A-Z]+)", unicodedata.name(k, ""))
-                out.append(found[1].lower() if found else "")
-            else:
-                out.append(k)
-        return "".join(out)
 
-    return _mapped("transliterated_by_name", one)(c)
+def _romanized(x: str | None) -> str:
+    if not x or x.isascii():
+        return (x or "").lower()
+    out = []
+    for k in unicodedata.normalize("NFKD", x.casefold()):
+        if k.isascii():
+            out.append(k)
+        elif not unicodedata.combining(k) or unicodedata.name(k, "").startswith(INDIC):
+            found = re.search(r"(?:LETTER|SYLLABLE|VOWEL SIGN|LIGATURE) (?:FINAL |SHORT |HARD |SOFT |VISARGA )?([A-Z]+)", unicodedata.name(k, ""))
+            sound = found[1].lower() if found else ""
+            if unicodedata.name(k, "").startswith("GREEK"):
+                sound = GREEK.get(sound, sound[:1])
+            elif unicodedata.name(k, "").startswith(("CYRILLIC", "HEBREW", "ARABIC", "ARMENIAN", "GEORGIAN")) and len(sound) > 1:
+                sound = sound.strip("aeiou") or sound[:1]
+            out.append(sound)
+    return "".join(out)
+
+
+INDIC = ("DEVANAGARI", "BENGALI", "GURMUKHI", "GUJARATI", "ORIYA", "TAMIL", "TELUGU", "KANNADA", "MALAYALAM")
+GREEK = {"theta": "th", "phi": "f", "chi": "ch", "psi": "ps"}
+
+
+def romanized(c: Column) -> Column:
+    """Lower-case ASCII for any script whose characters are named by their sounds.
+
+    Accents go; letters and syllables become the sound in their Unicode names (of
+    alphabets its consonants). Characters without such a name, as Chinese ones, go.
+    """
+    return _mapped(_romanized, c)
 
 
 def _letter_table() -> tuple[str, str]:
@@ -190,6 +241,10 @@ def numbers(c: Column) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?U)\b\d+\b"), F.lit(0)), lambda x: x != ""))
 
 
+def hex_number(c: Column) -> Column:
+    return F.conv(c, 16, 10).cast("long")
+
+
 def soundex(c: Column) -> Column:
     """Four characters; any letter without a code, H and W included, parts two equal codes."""
     up = F.upper(c)
@@ -198,9 +253,9 @@ def soundex(c: Column) -> Column:
     return F.when(c == "", "").otherwise(F.substring(F.concat(F.substring(up, 1, 1), F.replace(F.substring(runs, 2, 1 << 20), F.lit("0"), F.lit("")), F.lit("0000")), 1, 4))
 
 
-def skeleton(c: Column) -> Column:
-    """Consonants of transliterated lower-case text, digraphs merged, repeats collapsed."""
-    v = F.lower(transliterated(c))
+def skeleton(latin: Column) -> Column:
+    """Consonants of romanised text, digraphs merged, repeats collapsed."""
+    v = F.lower(latin)
     for old, new in C.DIGRAPHS.items():
         v = F.replace(v, F.lit(old), F.lit(new))
     return F.regexp_replace(F.regexp_replace(v, "[aeiou]", ""), r"(.)\1+", "$1")
@@ -224,6 +279,15 @@ def acronym_score(a: Column, b: Column) -> Column:
     return F.greatest(one(of(a), of(b)), one(of(b), of(a)))
 
 
+def is_acronym(a: Column, b: Column) -> Column:
+    """Whether one name is a single word that stands among the initials of the other, generic words left out."""
+    stop = words_of(C.GENERIC_EVIDENCE)
+    x, y = (F.filter(split_words(c), lambda w: ~F.array_contains(stop, w)) for c in (a, b))
+    initials = lambda v: F.array_join(F.transform(v, lambda w: F.left(w, F.lit(1))), "")
+    one = lambda short, long: (F.size(short) == 1) & (F.length(F.get(short, F.lit(0))) >= 2) & F.contains(initials(long), F.get(short, F.lit(0)))
+    return F.coalesce((F.size(x) > 0) & (F.size(y) > 0) & (one(x, y) | one(y, x)), F.lit(False))
+
+
 def legal_classes(tokens: Column) -> Column:
     """The classes of legal forms among words."""
     return F.filter(F.array(*[F.when(F.arrays_overlap(tokens, words_of(w)), F.lit(k)) for k, w in C.LEGAL_FORMS.items()]), lambda x: x.isNotNull())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,6 +40,12 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def application() -> str:
+    """The id of the running application; functions made for one are of no use to the next."""
+    spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+    return spark.sparkContext.applicationId
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder of the cluster; a temporary one only for a local master.
 
@@ -48,15 +55,47 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return current.get() if current.isDefined() else tempfile.mkdtemp(prefix="weftlink-")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weftlink-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path that is free, in a shared folder of this application that goes when its driver ends."""
+    root = f"{shared_dir(spark).rstrip('/')}/weftlink-{spark.sparkContext.applicationId}"
+    where, fs = _files(spark, root)
+    if not fs.exists(where):
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)
+    return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables that nothing reads any more."""
+    for path in paths:
+        where, fs = _files(spark, path)
+        fs.delete(where, True)
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read again, which cuts its lineage.
+
+    Columns stay columns, so a reader takes only those it needs; a lost executor costs
+    nothing that was written.
+    """
+    spark = df.sparkSession
+    path = path or scratch_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder, with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
+checkpointed = written
