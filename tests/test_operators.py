@@ -1,8 +1,10 @@
+import hashlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.plain import fuzzy as plain
 from weftlink.operators import blocking, decide, features, keys, metrics, quality, splits
 from weftlink.operators.records import RECORD, preprocess
 
@@ -85,7 +87,7 @@ def test_ties_and_margins(spark):
     gated = {(r.anchor_id, r.target_id): r.p for r in decide.margin_gate(x, 0.2).collect()}
     assert gated[("a", "S2-3")] == 0 and gated[("a", "S2-2")] == 0.8 and gated[("b", "S2-3")] == 0
     s = {r.target_id: (r.best, r.second, r.ties) for r in decide.owner_stats(x).collect()}
-    assert s == {"S2-1": (0.9, 0.9, 2), "S2-2": (0.8, None, 1), "S2-3": (0.5, 0.4, 1)}
+    assert s == {"S2-1": (0.9, 0.0, 2), "S2-2": (0.8, 0.0, 1), "S2-3": (0.5, 0.4, 1)}
 
 
 def test_expected_f(spark):
@@ -172,7 +174,7 @@ def test_features_are_never_null_and_missing_is_no_match(spark):
     assert row[("S1-e", "S2-e")].name_normalized_exact == 0 and row[("S1-e", "S2-e")].address_numeric_jaccard == 1
     x = row[("S1-a", "S2-a")]
     assert x.legal_type_conflict == 1 and x.category_conflict == 1 and x.address_number_conflict == 0 and x.primary_num_diff == 87
-    assert len(features.base_features()) == 56 and len(features.coarse_features()) == 27 and len(features.veto_features()) == 14
+    assert len(features.base_features()) == 56 and len(features.coarse_features()) == 27 and len(features.veto_features()) == 14 and len(features.enhanced_features()) == 9 and len(features.detail_features()) == 42
 
 
 def test_context_and_peers(spark):
@@ -198,3 +200,57 @@ def test_quality(spark):
     r = quality.profile(df).first()
     assert (r.n_rows, r.n_ids, r.n_repeated_ids, r.missing_business_name, r.missing_business_address, r.non_ascii_names, r.without_identifiers) == (4, 3, 1, 1, 2, 1, 1)
     assert tuple(quality.repeated_records(df).first()) == (1, 2)
+
+
+def test_fallback_rank_and_indic_names(spark):
+    a = records(spark, [("S1-a", "kamala", "", "X"), ("S1-b", "Beta Alpha", "9 Oak Road", "X")])
+    t = records(spark, [("S2-a", "कमल", "9 Oak Road", "X"), ("S2-b", "Alpha Beta", "Oak Road 9", "X")])
+    p = spark.createDataFrame([("S1-a", "S2-a", 1), ("S1-b", "S2-b", 1), ("S1-a", "S2-b", 1)], "anchor_id string, target_id string, mask int")
+    g = features.gathered(p, a, t)
+    got = {(r.anchor_id, r.target_id): r for r in g.select("anchor_id", "target_id", features.fallback_rank().alias("rank"), *[c.alias(k) for k, c in features.veto_features().items()]).collect()}
+    x = got[("S1-a", "S2-a")]
+    assert x.is_indic_target == 1 and x.indic_trans_ratio == 1 and x.phonetic_soundex_match == 1 and x.rank == 0
+    name = plain.indel("beta alpha", "alpha beta")
+    assert got[("S1-b", "S2-b")].rank == pytest.approx(1 + 0.35 * name)  # the address by its words, the name as it stands
+    assert got[("S1-a", "S2-b")].rank == pytest.approx(plain.indel("kamala", "alpha beta"))
+
+
+def test_guards(spark):
+    x = spark.createDataFrame([("a", 0.5), ("b", None), ("c", float("nan")), ("d", 1.5), ("e", -0.1)], "target_id string, p double")
+    assert {(r.fault, r.n) for r in decide.probability_faults(x).collect()} == {("null", 1), ("nan", 1), ("range", 2)}
+    assert decide.thresholded(x.where("target_id = 'a'"), 0.5).count() == 1
+    for bad in "bcde":
+        with pytest.raises(Exception, match="no probability"):
+            decide.thresholded(x.where(F.col("target_id") == bad), 0.2).collect()
+
+
+@pytest.mark.parametrize("n", [12, 700])
+def test_exact_splits(spark, n):
+    df = spark.range(n).select(F.concat(F.lit("k"), "id").alias("k"), (F.col("id") % 4 == 0).cast("int").alias("flag")).repartition(5)
+    order = sorted((hashlib.md5(f"k{i}|9".encode()).hexdigest(), f"k{i}") for i in range(n))
+    got = {r.k: r.place for r in splits.placed(df, "k", 9).collect()}
+    assert got == {k: i for i, (_, k) in enumerate(order)}
+    parts = [(r.split, r.flag) for r in splits.stratified(df, "k", F.col("flag"), 9).collect()]
+    for flag, size in ((1, (n + 3) // 4), (0, n - (n + 3) // 4)):
+        held = -(-size // 5)
+        assert parts.count(("validation", flag)) == held and parts.count(("calibration", flag)) == -(-(size - held) // 4)
+    dealt = splits.dealt(df, "k", {"a": 5, "b": 3}, 9)
+    assert {r.k for r in dealt.where("split = 'b'").collect()} == {k for _, k in order[5:8]}
+    assert splits.holdout(df, dealt, "k", 4, 1).join(dealt, "k").count() == 0
+
+
+def test_too_few_to_split(spark):
+    df = spark.range(9).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("f"))
+    with pytest.raises(ValueError, match="ten"):
+        splits.stratified(df, "k", F.col("f"), 1)
+    one = spark.range(20).select(F.col("id").cast("string").alias("k"), (F.col("id") == 3).cast("int").alias("f"))
+    assert splits.stratified(one, "k", F.col("f"), 1).where("split = 'validation'").count() == 4  # one flagged key: not stratified
+
+
+def test_retrieval_of_all_rules(spark):
+    a = records(spark, [("S1-a", "Alpha Beta Ltd", "12 Oak Road, Town, State 12345", "X"), ("S1-c", "Gammadelta", "", "")])
+    t = records(spark, [("S2-a", "Alpha Beta Limited", "12 Oak Rd, Town, State 12345", "X"), ("S2-b", "Omega", "Oak Road", "X"), ("S2-c", "Gamadelta", "", "Y"), ("S3-z", "Zed", "1 Far Away", "Y")])
+    got = {(r.anchor_id, r.target_id): r.blocking_rules for r in blocking.with_rules(blocking.memory_candidates(a, t, 4)).collect()}
+    assert got[("S1-a", "S2-a")] == "country_name|city_name|postal|name_ngram|address|strong_name"
+    assert ("S1-a", "S2-b") not in got  # one shared address word is not enough
+    assert got[("S1-c", "S2-c")] == "name_ngram|strong_name" and len(got) == 2

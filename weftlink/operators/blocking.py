@@ -7,14 +7,31 @@ is a hot spot whatever the data. Counting keys is a partial aggregate.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions import constants as C
 from weftlink.functions import text as X
+from weftlink.functions.fuzzy import similarity
+from weftlink.operators import keys as K
 from weftlink.operators.keys import BIT
 
 
+@dataclass(frozen=True)
+class Retrieval:
+    """Limits of the in-memory mode: postings of a key, and what the address and n-gram rules ask for."""
+
+    max_posting: int = 5000
+    floor: int = 20
+    max_share: float = 0.2
+    address_overlap: int = 2
+    gram_overlap: int = 3
+    gram_jaccard: float = 0.12
+    strong_ratio: float = 0.88
+
+
 def frequent_keys(keys: DataFrame, limit: Column | int) -> DataFrame:
     """(key, n): keys with more postings than ``limit``."""
     return keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit)
@@ -37,6 +54,42 @@ def generic_limit(n_targets: int, max_posting: int, floor: int, max_share: float
     return min(max_posting, max(floor, int(n_targets * max_share)))
 
 
+def memory_keys(anchors: DataFrame, targets: DataFrame, n_targets: int, r: Retrieval = Retrieval()) -> tuple[DataFrame, DataFrame]:
+    """The keys of all six rules: of anchors, and of targets without the too frequent ones.
+
+    Names, cities and postal codes have the whole limit; words and n-grams a share of the targets.
+    """
+    a, t = (K.key_table(x, K.memory_families()) for x in (anchors, targets))
+    return a, limited(t, generic_limit(n_targets, r.max_posting, r.floor, r.max_share), dict.fromkeys("PNC", r.max_posting))
+
+
+def memory_candidates(anchors: DataFrame, targets: DataFrame, n_targets: int, r: Retrieval = Retrieval()) -> DataFrame:
+    """(anchor_id, target_id, mask): pairs that any of the six rules of the in-memory mode finds.
+
+    One join over all keys counts for each pair what it shares. Four rules need one key;
+    the address rule needs several words, the n-gram rule several n-grams and a Jaccard
+    similarity of the whole sets. Names that share as many n-grams and are alike enough
+    count as strong.
+    """
+    ka, kt = memory_keys(anchors, targets, n_targets, r)
+    own = lambda rule: F.col("bit") == BIT[rule]
+    met = ka.select(F.col("entity_id").alias("anchor_id"), "key").join(kt.select(F.col("entity_id").alias("target_id"), "key", "bit"), "key")
+    met = met.groupBy("anchor_id", "target_id").agg(
+        F.coalesce(F.bit_or(F.when(~own("address") & ~own("name_ngram"), F.col("bit"))), F.lit(0)).alias("mask"),
+        F.count_if(own("address")).alias("n_address"),
+        F.count_if(own("name_ngram")).alias("n_grams"),
+    )
+    near = F.col("n_grams") >= r.gram_overlap
+    met = met.where((F.col("mask") != 0) | (F.col("n_address") >= r.address_overlap) | near)
+    for key, side in (("anchor_id", anchors), ("target_id", targets)):
+        met = met.join(side.select(F.col("entity_id").alias(key), F.col("name_norm").alias(f"_{key}")), key)
+    a, t = (F.when(near, F.col(c)) for c in ("_anchor_id", "_target_id"))
+    alike = X.jaccard(K.sized_grams(a), K.sized_grams(t)) >= r.gram_jaccard
+    bit = lambda rule, c: F.when(c, F.lit(BIT[rule])).otherwise(F.lit(0))
+    mask = F.col("mask").bitwiseOR(bit("address", F.col("n_address") >= r.address_overlap)).bitwiseOR(bit("name_ngram", near & alike)).bitwiseOR(bit("strong_name", near & (similarity("indel", a, t) >= r.strong_ratio)))
+    return met.select("anchor_id", "target_id", mask.alias("mask")).where("mask <> 0")
+
+
 def candidates(anchor_keys: DataFrame, target_keys: DataFrame) -> DataFrame:
     """(anchor_id, target_id, mask): pairs that share a key, with the rules of all shared ones."""
     a = anchor_keys.select(F.col("entity_id").alias("anchor_id"), "key")
@@ -75,11 +128,11 @@ def ngram_join(anchors: DataFrame, targets: DataFrame, anchor_keys: DataFrame, t
     return pairs.withColumn("jaccard", X.jaccard(F.col("ga"), F.col("gt"))).where(F.col("jaccard") >= min_jaccard).drop("ga", "gt")
 
 
-def exact_name_join(anchors: DataFrame, targets: DataFrame) -> DataFrame:
-    """Pairs of equal, non-empty normalised names, in any country."""
-    a = anchors.where("name_norm <> ''").select(F.col("entity_id").alias("anchor_id"), "name_norm")
-    t = targets.where("name_norm <> ''").select(F.col("entity_id").alias("target_id"), "name_norm")
-    return a.join(t, "name_norm").select("anchor_id", "target_id")
+def exact_name_join(anchors: DataFrame, targets: DataFrame, limit: int = Retrieval.max_posting) -> DataFrame:
+    """Pairs of equal, non-empty normalised names, in any country; names of more than ``limit`` targets are no keys."""
+    name = lambda x: x.where("name_norm <> ''").select("entity_id", F.col("name_norm").alias("key"))
+    a, t = name(anchors).withColumnRenamed("entity_id", "anchor_id"), limited(name(targets), limit).withColumnRenamed("entity_id", "target_id")
+    return a.join(t, "key").select("anchor_id", "target_id")
 
 
 def country_only_pairs(anchors: DataFrame, targets: DataFrame) -> DataFrame:
@@ -148,6 +201,24 @@ def rule_report(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     return each.groupBy("rule").agg(F.count("*").alias("n_pairs"), F.sum("label").cast("long").alias("n_true"))
 
 
+def retrieval_audit(raw: DataFrame, retained: DataFrame, truth: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(scope, rule, n, n_true): counters of a retrieval.
+
+    For each rule the raw candidates and the true ones among raw and retained pairs; for
+    anchors how many have no, one or several candidates, and how many the cap cut.
+    """
+    kept = retained.select("anchor_id", "target_id").withColumn("_k", F.lit(1))
+    x = labelled(raw, truth).join(kept, ["anchor_id", "target_id"], "left")
+    names = F.filter(F.array(*[F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.lit(r)) for i, r in enumerate(C.RULES)], F.lit("all")), lambda r: r.isNotNull())
+    each = x.select(F.explode(names).alias("rule"), "label", "_k").groupBy("rule").agg(F.count("*").alias("n"), F.sum("label").alias("raw_true"), F.count("_k").alias("k"), F.sum(F.when(F.col("_k") == 1, F.col("label"))).alias("kept_true"))
+    rules = each.select(F.explode(F.array(F.struct(F.lit("raw").alias("scope"), F.col("n"), F.col("raw_true").alias("n_true")), F.struct(F.lit("retained").alias("scope"), F.col("k").alias("n"), F.col("kept_true").alias("n_true")))).alias("s"), "rule").select("s.scope", "rule", "s.n", F.coalesce("s.n_true", F.lit(0)).cast("long").alias("n_true"))
+    per = anchors.select("anchor_id").join(x.groupBy("anchor_id").agg(F.count("*").alias("r"), F.count("_k").alias("k")), "anchor_id", "left").fillna(0, ["r", "k"])
+    k, r = F.col("k"), F.col("r")
+    sums = per.agg(F.count("*").alias("anchors"), F.count_if(k == 0).alias("no candidate"), F.count_if(k == 1).alias("one candidate"), F.count_if(k > 1).alias("several candidates"), F.count_if(r > k).alias("cut by the cap"), F.max(r).alias("most raw candidates"), F.max(k).alias("most candidates"))
+    rows = sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, sums.columns)), F.array(*[F.col(f"`{c}`") for c in sums.columns]))).alias("rule", "n"))
+    return rules.unionByName(rows.select(F.lit("anchors").alias("scope"), "rule", F.coalesce("n", F.lit(0)).alias("n"), F.lit(0).cast("long").alias("n_true")))
+
+
 def missed_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:
     """True pairs that are not candidates."""
     return truth.join(pairs, ["anchor_id", "target_id"], "left_anti")
@@ -177,6 +248,22 @@ def channel_what_if(missed: DataFrame, anchors: DataFrame, targets: DataFrame, c
     return each.groupBy("channel").agg(F.count("*").alias("n"))
 
 
+def location_channels(missed: DataFrame, anchors: DataFrame, targets: DataFrame) -> DataFrame:
+    """(channel, n): missed pairs that two further channels would find, either of them, and all.
+
+    Phonetic: a sound of the (transliterated) name and a number or word of the address are
+    shared. Relaxed address: one country, and a number with a word, or two words.
+    """
+    generic, stop = X.words_of(C.GENERIC_VETO), X.words_of(C.GENERIC_SOUNDEX)
+    sounds = F.array_except(F.transform(F.filter(X.split_words(X.transliterated_by_name(F.col("name_norm"))), lambda w: (F.length(w) > 2) & ~F.array_contains(generic, w)), X.soundex), stop)
+    side = lambda x, key, s: x.select(F.col("entity_id").alias(key), sounds.alias(f"{s}_s"), X.numbers(F.col("address_norm")).alias(f"{s}_n"), K.address_words(F.col("address_norm")).alias(f"{s}_w"), F.col("country_norm").alias(f"{s}_c"))
+    x = missed.join(side(anchors, "anchor_id", "a"), "anchor_id").join(side(targets, "target_id", "t"), "target_id")
+    met = lambda f: F.size(F.array_intersect(f"a_{f}", f"t_{f}"))
+    one, two = (met("s") > 0) & ((met("n") > 0) | (met("w") > 0)), (F.col("a_c") == F.col("t_c")) & (((met("n") > 0) & (met("w") > 0)) | (met("w") >= 2))
+    sums = x.agg(F.count_if(one).alias("phonetic"), F.count_if(two).alias("relaxed_address"), F.count_if(one | two).alias("either"), F.count("*").alias("missed"))
+    return sums.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, sums.columns)), F.array(*sums.columns))).alias("channel", "n"))
+
+
 def alias_pairs(scored: DataFrame, targets: DataFrame, threshold: float = 0.95, limit: int = 20) -> DataFrame:
     """New pairs (anchor_id, target_id): targets that share name and country with one that an anchor surely has.
 
@@ -189,6 +276,11 @@ def alias_pairs(scored: DataFrame, targets: DataFrame, threshold: float = 0.95,
 
 
 def overlap(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id): records of two sets that agree in name, address and country."""
+    """(left_id, right_id, n_right): records of one set that another has too, by name, address and country.
+
+    ``right_id`` is the first of the ``n_right`` equal records of the other set, so a group
+    of equal rows gives one row for each left record, not all pairs.
+    """
     on = ["name_norm", "address_norm", "country_norm"]
-    return left.select(F.col("entity_id").alias("left_id"), *on).join(right.select(F.col("entity_id").alias("right_id"), *on), on).select("left_id", "right_id")
+    first = right.groupBy(*on).agg(F.min("entity_id").alias("right_id"), F.count("*").alias("n_right"))
+    return left.select(F.col("entity_id").alias("left_id"), *on).join(first, on).select("left_id", "right_id", "n_right")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.session import checkpointed
@@ -16,11 +16,22 @@ def unique_owner(pairs: DataFrame) -> DataFrame:
 
 
 def owner_stats(pairs: DataFrame) -> DataFrame:
-    """(target_id, best, second, ties) of each target; ``second`` is null with one claim."""
-    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("target_id").orderBy(F.desc("p"), "anchor_id")))
-    top = ranked.where("r <= 2").groupBy("target_id").agg(F.max(F.when(F.col("r") == 1, F.col("p"))).alias("best"), F.max(F.when(F.col("r") == 2, F.col("p"))).alias("second"))
-    ties = pairs.join(top, "target_id").where("p = best").groupBy("target_id").agg(F.count("*").alias("ties"))
-    return top.join(ties, "target_id")
+    """(target_id, best, second, ties) of each target: ``second`` is the highest p below the best, 0 without any."""
+    top = pairs.select("target_id", "p", F.max("p").over(Window.partitionBy("target_id")).alias("best"))
+    below = F.max(F.when(F.col("p") < F.col("best"), F.col("p")))
+    return top.groupBy("target_id").agg(F.max("best").alias("best"), F.coalesce(below, F.lit(0.0)).alias("second"), F.count_if(F.col("p") == F.col("best")).alias("ties"))
+
+
+def graph_audit(pairs: DataFrame, anchors: DataFrame, threshold: float, margin: float = 0.1) -> DataFrame:
+    """By the anchors' country: accepted pairs, those of unique owners, those won by a small margin, and anchors left empty.
+
+    ``anchors``: anchor_id, country_norm.
+    """
+    x = pairs.where(F.col("p") >= threshold).join(owner_stats(pairs), "target_id")
+    unique = (F.col("p") == F.col("best")) & (F.col("ties") == 1)
+    per = x.groupBy("anchor_id").agg(F.count("*").alias("n"), F.count_if(unique).alias("u"), F.count_if(unique & (F.col("p") - F.col("second") < margin)).alias("m"))
+    whole = anchors.select("anchor_id", "country_norm").join(per, "anchor_id", "left").fillna(0, ["n", "u", "m"])
+    return whole.groupBy("country_norm").agg(F.count("*").alias("n_anchors"), F.sum("n").alias("pair_matches"), F.sum("u").alias("unique_matches"), F.sum("m").alias("small_margin_unique"), F.count_if(F.col("n") == 0).alias("pair_empty"), F.count_if(F.col("u") == 0).alias("unique_empty"))
 
 
 def arbitrated(pairs: DataFrame, order: str = "anchor_id") -> DataFrame:
@@ -76,13 +87,28 @@ def expected_f_cutoff(pairs: DataFrame, multiplier: float = 1.0, temperature: fl
     return x.where((F.col("k") <= F.col("at")) & (F.col("top") > F.round("none", 12))).select(*pairs.columns, "k")
 
 
+def checked(p: Column) -> Column:
+    """p itself; the run stops at a null, a NaN, or a value outside [0, 1]."""
+    fault = F.raise_error(F.concat(F.lit("no probability: "), F.coalesce(p.cast("string"), F.lit("null"))))
+    return F.when(p.isNotNull() & ~F.isnan(p) & (p >= 0) & (p <= 1), p).otherwise(fault.cast("double"))
+
+
+def probability_faults(pairs: DataFrame) -> DataFrame:
+    """(fault, n): probabilities that are null, NaN, or outside [0, 1]; no rows if there are none."""
+    p = F.col("p")
+    kind = F.when(p.isNull(), "null").when(F.isnan(p), "nan").when((p < 0) | (p > 1), "range")
+    return pairs.select(kind.alias("fault")).where("fault is not null").groupBy("fault").agg(F.count("*").alias("n"))
+
+
 def thresholded(pairs: DataFrame, threshold: float) -> DataFrame:
-    return pairs.where(F.col("p") >= F.lit(threshold))
+    return pairs.where(checked(F.col("p")) >= F.lit(threshold))
 
 
 def winners(pairs: DataFrame, won: DataFrame) -> DataFrame:
-    """Won pairs with their probabilities."""
-    return pairs.join(won.select("anchor_id", "target_id"), ["anchor_id", "target_id"], "left_semi")
+    """All pairs with ``won`` and, for those won, their probability; 0 for the others."""
+    marks = won.select("anchor_id", "target_id").withColumn("won", F.lit(True))
+    out = pairs.join(marks, ["anchor_id", "target_id"], "left").withColumn("won", F.coalesce("won", F.lit(False)))
+    return out.withColumn("p", F.when(F.col("won"), F.col("p")).otherwise(0.0))
 
 
 def arbitration_comparison(pairs: DataFrame, threshold: float, cap: int = 1) -> DataFrame:

@@ -2,20 +2,21 @@
 
 ``gathered`` puts the normalised records of both sides beside each pair (a_*, t_*); the
 groups are then plain columns of one projection. Similarities that Spark lacks are Arrow
-UDFs and come after the top-k cut, so they run on kept pairs only. No feature is null.
+UDFs over whole batches. No feature is null.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions import constants as C
 from weftlink.functions import text as X
-from weftlink.functions.fuzzy import indel, similarity
+from weftlink.functions.fuzzy import indel, once, similarity
 
 SIDE = ("business_name", "business_address", "name_norm", "address_norm", "country_norm", "postal_code", "city", "state", "street_number", "email", "email_domain", "website_domain", "phone")
 
@@ -139,8 +140,11 @@ def coarse_features() -> dict[str, Column]:
 
 
 def fallback_rank() -> Column:
-    """The rank of a pair without a trained ranker: the better similarity and a part of the other."""
-    n, a = similarity("token_set", *both("name_norm")), similarity("token_set", *both("address_norm"))
+    """The rank of a pair without a trained ranker: the better similarity and a part of the other.
+
+    Names are compared as they stand, addresses by their words; a missing side counts 0.
+    """
+    n, a = similarity("indel", *both("name_norm")), similarity("token_set", *both("address_norm"))
     return F.greatest(n, a) + 0.35 * F.least(n, a)
 
 
@@ -158,7 +162,7 @@ def veto_features(fuzzy: bool = True) -> dict[str, Column]:
     la, lt = X.legal_classes(ta), X.legal_classes(tt)
     ka, kt = X.categories(ta), X.categories(tt)
     indic = X.nonlatin(F.col("t_name_norm"))
-    latin = F.when(indic > 0, X.transliterated(F.col("t_name_norm"))).otherwise(F.col("t_name_norm"))
+    latin = F.when(indic > 0, X.transliterated_by_name(F.col("t_name_norm"))).otherwise(F.col("t_name_norm"))
     sounds = lambda words: F.transform(F.filter(F.array_except(words, generic), lambda w: F.length(w) > 2), X.soundex)
     out = {
         "address_number_conflict": _flag(given & (shared == 0)),
@@ -178,8 +182,11 @@ def veto_features(fuzzy: bool = True) -> dict[str, Column]:
     return out | ({"indic_trans_ratio": similarity("indel", F.col("a_name_norm"), latin)} if fuzzy else {})
 
 
-def enhanced_features() -> dict[str, Column]:
-    """Missing addresses, and conflicts that strong agreement elsewhere takes back (7; margins are windows)."""
+def enhanced_features(margins: bool = False) -> dict[str, Column]:
+    """Missing addresses, conflicts that strong agreement elsewhere takes back, and margins (9).
+
+    The margins are those of ``margin_features``; without a probability they are 0 and 1.
+    """
     a, t = both("address_norm")
     no_a, no_t = F.trim(a) == "", F.trim(t) == ""
     ratio, place = similarity("indel", *both("name_norm")), F.when(no_a | no_t, 0.5).otherwise(similarity("token_set", a, t))
@@ -192,6 +199,8 @@ def enhanced_features() -> dict[str, Column]:
         "name_exact_blank_addr": _flag(no_t & (F.col("a_name_norm") == F.col("t_name_norm"))),
         "veto_num_conflict_tempered": F.when((ratio >= 0.85) & (place >= 0.80), 0.0).otherwise(v["address_number_conflict"]),
         "veto_name_conflict_tempered": F.when(place >= 0.95, 0.0).otherwise(v["core_name_conflict"]),
+        "margin_to_best": F.col("margin_to_best") if margins else F.lit(0.0),
+        "is_top": F.col("is_top") if margins else F.lit(1.0),
     }
 
 
@@ -220,8 +229,8 @@ def parts(name: Column, address: Column) -> dict[str, Column]:
 
 
 def evidence_set_features() -> dict[str, Column]:
-    """Seven word sets: shared, covered, in conflict, on one side only (42)."""
-    a, t = (parts(F.col(f"{s}_name_norm"), F.col(f"{s}_address_norm")) for s in ("a", "t"))
+    """Seven word sets of folded text: shared, covered, in conflict, on one side only (42)."""
+    a, t = (parts(*(X.fold_accents(F.col(f"{s}_{f}")) for f in ("name_norm", "address_norm"))) for s in ("a", "t"))
     out: dict[str, Column] = {}
     for f in a:
         x, y = a[f], t[f]
@@ -238,8 +247,8 @@ def evidence_set_features() -> dict[str, Column]:
 
 
 def evidence_text_features() -> dict[str, Column]:
-    n, a = both("name_norm"), both("address_norm")
-    core = [F.array_join(F.array_sort(parts(F.col(f"{s}_name_norm"), F.col(f"{s}_address_norm"))["core"]), " ") for s in ("a", "t")]
+    n, a = (tuple(X.fold_accents(c) for c in both(f)) for f in ("name_norm", "address_norm"))
+    core = [F.array_join(F.array_sort(parts(x, y)["core"]), " ") for x, y in zip(n, a, strict=True)]
     return {
         "name_fold_ratio": similarity("indel", *n),
         "name_fold_token_sort": similarity("token_sort", *n),
@@ -330,26 +339,48 @@ def peer_features(pairs: DataFrame, targets: DataFrame) -> DataFrame:
     return pairs.join(sums, ["anchor_id", "target_id"], "left").fillna(0.0, [c for c in sums.columns if c.startswith("peer_")])
 
 
-def detail_features() -> dict[str, Column]:
-    """Five views of the text, soft alignment of core words, numbers in order, lengths (42; frequencies are a join)."""
+def detail_views(side: str) -> dict[str, Column]:
+    """Five views of a record's text, its core words, and its numbers in order."""
     stop = X.words_of(C.GENERIC_EVIDENCE)
-    view: dict[str, dict[str, Column]] = {}
-    for s in ("a", "t"):
-        n, a = (F.lower(X.transliterated(F.col(f"{s}_{f}"))) for f in ("name_norm", "address_norm"))
-        core = F.filter(X.split_words(n), lambda t: ~F.array_contains(stop, t))
-        runs = F.filter(F.regexp_extract_all(a, F.lit(r"\d+"), F.lit(0)), lambda x: x != "")
-        nums = F.transform(runs, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, "^0+", ""), F.lit("")), F.lit("0")))
-        bones = F.transform(X.split_words(n), X.skeleton)
-        view[s] = {"name": n, "core": F.array_join(core, " "), "phonetic": F.array_join(bones, " "), "phonetic_core": F.array_join(F.filter(F.transform(core, X.skeleton), lambda t: ~F.array_contains(F.transform(stop, X.skeleton), t)), " "), "address": a, "nums": nums, "tokens": core}
-    x, y = view["a"], view["t"]
+    name, place = (X.romanized(F.col(f"{side}_{f}")) for f in ("name_norm", "address_norm"))
+    words = X.split_words(name)
+    core = F.filter(words, lambda t: ~F.array_contains(stop, t))
+    bones, stop_bones = F.transform(core, X.skeleton), F.transform(stop, X.skeleton)
+    runs = F.filter(F.regexp_extract_all(place, F.lit(r"\d+"), F.lit(0)), lambda x: x != "")
+    return {
+        "ascii_name": name,
+        "ascii_core": F.array_join(core, " "),
+        "phonetic_name": F.array_join(F.transform(words, X.skeleton), " "),
+        "phonetic_core": F.array_join(F.filter(bones, lambda t: ~F.array_contains(stop_bones, t)), " "),
+        "ascii_address": place,
+        "core": core,
+        "numbers": F.transform(runs, lambda x: F.coalesce(F.nullif(F.regexp_replace(x, "^0+", ""), F.lit("")), F.lit("0"))),
+    }
+
+
+VIEWS = ("ascii_name", "ascii_core", "phonetic_name", "phonetic_core", "ascii_address")
+
+
+def with_details(records: DataFrame) -> DataFrame:
+    """The views of a record, made once instead of for each of its pairs (detail_<view>)."""
+    own = records.select("*", *[F.col(f).alias(f"x_{f}") for f in ("name_norm", "address_norm")])
+    return own.withColumns({f"detail_{k}": v for k, v in detail_views("x").items()}).drop("x_name_norm", "x_address_norm")
+
+
+def detail_features(made: bool = False) -> dict[str, Column]:
+    """Five views of the text, soft alignment of core words, numbers in order, lengths (42; frequencies: ``detail_frequencies``).
+
+    ``made``: both sides come from ``with_details``.
+    """
+    x, y = ({k: F.col(f"{s}_detail_{k}") for k in (*VIEWS, "core", "numbers")} if made else detail_views(s) for s in ("a", "t"))
     out: dict[str, Column] = {}
-    for name, f in (("ascii_name", "name"), ("ascii_core", "core"), ("phonetic_name", "phonetic"), ("phonetic_core", "phonetic_core"), ("ascii_address", "address")):
-        out |= {f"detail_{name}_{short}": similarity(kind, x[f], y[f]) for short, kind in (("ratio", "indel"), ("sort", "token_sort"), ("set", "token_set"))}
-    out |= {"detail_ascii_name_partial": similarity("partial", x["name"], y["name"]), "detail_ascii_address_partial": similarity("partial", x["address"], y["address"])}
-    soft = soft_alignment(x["core"], y["core"])
+    for view in VIEWS:
+        out |= {f"detail_{view}_{short}": similarity(kind, x[view], y[view]) for short, kind in (("ratio", "indel"), ("sort", "token_sort"), ("set", "token_set"))}
+    out |= {f"detail_{view}_partial": similarity("partial", x[view], y[view]) for view in ("ascii_name", "ascii_address")}
+    soft = soft_alignment(x["ascii_core"], y["ascii_core"])
     for side in ("left", "right"):
         out |= {f"detail_soft_{side}_{m}": soft[f"{side}_{m}"] for m in ("mean", "min", "unmatched", "weighted")}
-    nx, ny = x["nums"], y["nums"]
+    nx, ny = x["numbers"], y["numbers"]
     joined = lambda v: F.array_join(v, " ")
     sx, sy = F.array_distinct(nx), F.array_distinct(ny)
     any_two = (F.size(nx) > 0) & (F.size(ny) > 0)
@@ -366,22 +397,39 @@ def detail_features() -> dict[str, Column]:
         "detail_number_subset": _flag(any_two & ((F.size(F.array_except(sx, sy)) == 0) | (F.size(F.array_except(sy, sx)) == 0))),
     }
     for side, v in (("left", x), ("right", y)):
-        out |= {f"detail_{side}_name_length": F.length(v["name"]).cast("double"), f"detail_{side}_address_length": F.length(v["address"]).cast("double"), f"detail_{side}_core_count": _count(v["tokens"])}
+        out |= {f"detail_{side}_name_length": F.length(v["ascii_name"]).cast("double"), f"detail_{side}_address_length": F.length(v["ascii_address"]).cast("double"), f"detail_{side}_core_count": _count(v["core"])}
     return out | {"detail_source3": _flag(F.col("target_id").startswith("S3"))}
 
 
+def detail_frequencies(pairs: DataFrame, counts: DataFrame) -> DataFrame:
+    """``pairs`` with the frequencies of both romanised names in their own countries (2); ``counts``: the first of ``corpus_stats``."""
+    for side, name in (("a", "left"), ("t", "right")):
+        pairs = pairs.withColumn("_n", X.romanized(F.col(f"{side}_name_norm")))
+        own = counts.select(F.col("country").alias(f"{side}_country_norm"), F.col("name").alias("_n"), F.col("n").alias("_c"))
+        pairs = pairs.join(own, [f"{side}_country_norm", "_n"], "left").withColumn(f"detail_{name}_name_frequency", F.log1p(F.coalesce("_c", F.lit(1)))).drop("_c", "_n")
+    return pairs
+
+
 def soft_alignment(a: Column, b: Column) -> dict[str, Column]:
-    """How well each of the twelve longest words of a side is met by any of the other's."""
+    """How well each of the twelve longest words of a side is met by any of the other's.
+
+    All words of a batch are compared in one call of the kernel.
+    """
+
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        rows = []
-        for p, q in zip(x, y, strict=True):
-            sides = [sorted((s or "").split(), key=lambda t: (-len(t), t))[:12] for s in (p, q)]
-            row = []
-            for own, other in (sides, sides[::-1]):
-                best = [max((indel(u, v) for v in other), default=0.0) for u in own]
-                row += [sum(best) / len(best) if best else 0.0, min(best, default=0.0), float(sum(v < 0.65 for v in best)), sum(len(u) * v for u, v in zip(own, best, strict=True)) / max(1, sum(map(len, own)))]
-            rows.append(row)
-        return pd.DataFrame(rows, columns=names, dtype="float64")
+        known: dict[str, list[str]] = {}
+        kept = lambda s: known[s] if s in known else known.setdefault(s, sorted(s.split(), key=lambda t: (-len(t), t))[:12])
+        sides = [(kept(p), kept(q)) for p, q in zip(x.fillna(""), y.fillna(""), strict=True)]
+        found = once(indel, [u for p, q in sides for u in p for _ in q], [v for p, q in sides for _ in p for v in q])
+        at, out = 0, np.zeros((len(sides), 8))
+        for i, (p, q) in enumerate(sides):
+            grid = found[at : at + len(p) * len(q)].reshape(len(p), len(q))
+            at += grid.size
+            for k, (own, best) in enumerate(((p, grid.max(axis=1, initial=0.0)), (q, grid.max(axis=0, initial=0.0)))):
+                if own:
+                    size = np.array([len(t) for t in own])
+                    out[i, 4 * k : 4 * k + 4] = best.mean(), best.min(), (best < 0.65).sum(), (size * best).sum() / max(1, size.sum())
+        return pd.DataFrame(out, columns=names)
 
     names = [f"{s}_{m}" for s in ("left", "right") for m in ("mean", "min", "unmatched", "weighted")]
     found = F.pandas_udf(run, ", ".join(f"{n} double" for n in names))(a, b)
@@ -406,21 +454,41 @@ def tfidf_fit(records: DataFrame, field: str, max_features: int) -> DataFrame:
     return totals.orderBy(F.desc("total"), "term").limit(max_features).select("term", (F.log((F.lit(1 + n)) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def tfidf_weights(records: DataFrame, field: str, idf: DataFrame) -> DataFrame:
-    """(entity_id, term, w) with unit length for each record that has a known term."""
-    terms = records.select("entity_id", F.explode(char_grams(F.col(field))).alias("term")).groupBy("entity_id", "term").agg(F.count("*").alias("tf"))
-    raw = terms.join(idf, "term").select("entity_id", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = raw.groupBy("entity_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "entity_id").select("entity_id", "term", (F.col("w") / F.col("norm")).alias("w"))
-
+def tfidf_vectors(records: DataFrame, field: str, idf: DataFrame) -> DataFrame:
+    """(entity_id, terms, weights): one sparse vector of unit length for each record that has a known term.
 
-def tfidf_cosine(pairs: DataFrame, anchor_weights: DataFrame, target_weights: DataFrame, name: str) -> DataFrame:
-    """``pairs`` with the cosine of both sides; 0 where they share no known term."""
-    a = anchor_weights.select(F.col("entity_id").alias("anchor_id"), "term", F.col("w").alias("wa"))
-    t = target_weights.select(F.col("entity_id").alias("target_id"), "term", F.col("w").alias("wt"))
-    key = ["anchor_id", "target_id"]
-    sums = pairs.select(*key).join(a, "anchor_id").join(t, ["target_id", "term"]).groupBy(*key).agg(F.sum(F.col("wa") * F.col("wt")).alias(name))
-    return pairs.join(sums, key, "left").fillna(0.0, [name])
+    Terms are 64-bit hashes, in order.
+    """
+    terms = records.select("entity_id", F.explode(char_grams(F.col(field))).alias("term")).groupBy("entity_id", "term").agg(F.count("*").alias("tf"))
+    raw = terms.join(idf, "term").select("entity_id", F.struct(F.xxhash64("term").alias("h"), (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
+    whole = raw.groupBy("entity_id").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    length = F.sqrt(F.aggregate("x", F.lit(0.0), lambda s, v: s + v["w"] * v["w"]))
+    return whole.select("entity_id", F.transform("x", lambda v: v["h"]).alias("terms"), F.transform("x", lambda v: v["w"] / length).alias("weights"))
+
+
+def _dot(a: pd.Series, wa: pd.Series, b: pd.Series, wb: pd.Series) -> pd.Series:
+    sides = []
+    for terms, weights in ((a, wa), (b, wb)):
+        rows = [np.zeros(0, np.int64) if t is None else t for t in terms]
+        row = np.repeat(np.arange(len(rows)), [len(t) for t in rows])
+        flat = np.concatenate([np.zeros(0), *[w for w in weights if w is not None]])
+        key = np.concatenate([np.zeros(0, np.int64), *rows]).astype(np.int64).view(np.uint64) + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sides.append((key, row, flat))
+    (ka, row, x), (kb, _, y) = sides
+    if not len(ka) or not len(kb):
+        return pd.Series(np.zeros(len(a)))
+    order = np.argsort(kb)
+    at = np.minimum(np.searchsorted(kb, ka, sorter=order), len(kb) - 1)
+    hit = kb[order[at]] == ka
+    return pd.Series(np.bincount(row[hit], x[hit] * y[order[at]][hit], len(a)))
+
+
+def tfidf_cosine(pairs: DataFrame, anchor_vectors: DataFrame, target_vectors: DataFrame, name: str) -> DataFrame:
+    """``pairs`` with the cosine of both sides; 0 where they share no known term. A pair is one row throughout."""
+    a = anchor_vectors.select(F.col("entity_id").alias("anchor_id"), F.col("terms").alias("_ta"), F.col("weights").alias("_wa"))
+    t = target_vectors.select(F.col("entity_id").alias("target_id"), F.col("terms").alias("_tt"), F.col("weights").alias("_wt"))
+    wide = pairs.join(a, "anchor_id", "left").join(t, "target_id", "left")
+    return wide.withColumn(name, F.pandas_udf(_dot, "double")("_ta", "_wa", "_tt", "_wt")).drop("_ta", "_wa", "_tt", "_wt")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -430,10 +498,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(size == 0, 0.0).otherwise(dot(a, b) / size)
 
 
-def assembled(df: DataFrame, groups: Iterable[dict[str, Column]], names: Iterable[str] | None = None) -> DataFrame:
-    """The pair with its features as floats, in the locked order of ``names``, or as given."""
+def assembled(df: DataFrame, groups: Iterable[dict[str, Column]], names: Iterable[str] | None = None, keep: Iterable[str] = ()) -> DataFrame:
+    """The pair and ``keep`` with its features as floats, in the locked order of ``names``, or as given."""
     all_: dict[str, Column] = {}
     for g in groups:
         all_ |= g
     names = list(names or all_)
-    return df.select("anchor_id", "target_id", *[F.coalesce(all_[n].cast("float"), F.lit(0.0).cast("float")).alias(n) for n in names])
+    return df.select("anchor_id", "target_id", *keep, *[F.coalesce(all_[n].cast("float"), F.lit(0.0).cast("float")).alias(n) for n in names])

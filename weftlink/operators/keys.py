@@ -2,7 +2,7 @@
 
 Keys are readable strings, so families cannot collide and results can be checked in SQL;
 ``hashed`` turns them into 64 bits for storage. Where a family may give more keys than
-its slots, those with the least hash stay, which is a stable pseudo-random choice.
+its slots, those with the least MD5 stay, which is a stable pseudo-random choice.
 """
 
 from __future__ import annotations
@@ -16,7 +16,9 @@ from weftlink.functions import constants as C
 from weftlink.functions import text as X
 
 BIT = {r: 1 << i for i, r in enumerate(C.RULES)}
-MINHASHES, BANDS = 16, 8
+BANDS = 8
+#: A prime above 28 bits.
+PRIME = 268_435_459
 
 
 def _prefixed(prefix: str, parts: Column, country: Column | None = None) -> Column:
@@ -30,7 +32,8 @@ def _given(country: Column, keys: Column) -> Column:
 
 
 def first_by_hash(keys: Column, n: int) -> Column:
-    return F.transform(F.slice(F.array_sort(F.transform(keys, lambda k: F.struct(F.xxhash64(k).alias("h"), k.alias("k")))), 1, n), lambda s: s["k"])
+    few = F.transform(F.slice(F.array_sort(F.transform(keys, lambda k: F.struct(F.md5(k.cast("binary")).alias("h"), k.alias("k")))), 1, n), lambda s: s["k"])
+    return F.when(F.size(keys) <= n, keys).otherwise(few)
 
 
 def _pairs(parts: Column) -> Column:
@@ -65,11 +68,15 @@ def soundexes(name: Column) -> Column:
 
 
 def minhash_bands(c: Column, field: str) -> Column:
-    """Eight bands of two minima each over 4-grams without blanks; none for an empty text."""
-    grams = X.ngrams(c, 4)
-    hashed_with = lambda j: F.array_min(F.transform(grams, lambda g: F.xxhash64(F.lit(j), g)))
-    minima = [hashed_with(j) for j in range(MINHASHES)]
-    bands = F.array(*[F.concat(F.lit(f"L{field}{b}|"), F.xxhash64(minima[2 * b], minima[2 * b + 1]).cast("string")) for b in range(BANDS)])
+    """Eight bands of two minima each over 4-grams without blanks; none for an empty text.
+
+    The hashes are x + j y modulo a prime, x and y being two parts of the gram's MD5.
+    """
+    part = lambda h, at: F.conv(F.substring(h, at, 7), 16, 10).cast("long")
+    digests = F.transform(X.ngrams(c, 4), lambda g: F.md5(g.cast("binary")))
+    grams = F.transform(digests, lambda h: F.struct(part(h, 1).alias("x"), part(h, 9).alias("y")))
+    least = lambda j: F.array_min(F.transform(grams, lambda g: (g["x"] + j * g["y"]) % PRIME))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.concat(F.lit(f"L{field}"), b, F.lit("|"), least(2 * b), F.lit("-"), least(2 * b + 1)))
     return F.when(F.size(grams) == 0, F.array().cast(X.EMPTY)).otherwise(bands)
 
 
@@ -123,6 +130,32 @@ def supplement_families() -> dict[str, list[Column]]:
     }
 
 
+def joined(*sets: dict[str, list[Column]]) -> dict[str, list[Column]]:
+    """Families of several sets under their rules."""
+    out: dict[str, list[Column]] = {}
+    for families in sets:
+        for rule, columns in families.items():
+            out.setdefault(rule, []).extend(columns)
+    return out
+
+
+def diagnostic_families() -> dict[str, list[Column]]:
+    """The wider keys in a readable form without slots: at most six address words and four numbers take part."""
+    country, address, name = F.col("country_norm"), F.col("address_norm"), F.col("name_norm")
+    generic, stop = X.words_of(C.GENERIC_VETO), X.words_of(C.GENERIC_SOUNDEX)
+    tokens = F.filter(X.split_words(X.transliterated(name)), lambda t: (F.length(t) > 2) & ~F.array_contains(generic, t))
+    sounds = F.array_sort(F.array_except(F.transform(tokens, X.soundex), stop))
+    numbers = F.array_sort(X.numbers(address))
+    place = F.filter(X.split_words(address), lambda t: (F.length(t) >= 3) & ~F.array_contains(X.words_of(C.GENERIC_KEY_ADDRESS), t) & ~t.rlike(r"^\d+$"))
+    few, own = F.slice(place, 1, 6), lambda prefix, parts: _given(country, _prefixed(prefix, parts, country))
+    later = lambda s: F.flatten(F.transform(s, lambda a, i: F.transform(F.slice(s, i + 2, F.greatest(F.size(s), F.lit(1))), lambda b: F.concat(a, F.lit("|"), b))))
+    return {
+        "name_number": [own("SXN", _product(sounds, numbers))],
+        "address_number": [own("SXW", _product(sounds, few)), own("AN", _product(F.slice(numbers, 1, 4), few)), own("AW2", later(place))],
+        "name_pair": [own("NP", later(tokens))],
+    }
+
+
 def key_table(records: DataFrame, families: dict[str, Column | list[Column]], wanted: Iterable[str] | None = None) -> DataFrame:
     """(entity_id, key, bit), one row for each distinct key of a record."""
     wanted = set(wanted or families)

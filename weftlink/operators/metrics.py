@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftlink.functions.text import fbeta
+from weftlink.session import written
 
 
 def memory_grid() -> list[float]:
@@ -68,19 +69,19 @@ def entity_report(predicted: DataFrame, truth: DataFrame, anchors: DataFrame, n_
 def threshold_sweep(pairs: DataFrame, truth: DataFrame, anchors: DataFrame, grid: Sequence[float]) -> DataFrame:
     """(step, threshold, precision, recall, f05): means over all anchors at each threshold of the grid.
 
-    A pair counts from the first step up to the last threshold that its p reaches, so it
-    is dealt to that step once and summed from there down: the pairs are not multiplied
-    by the grid. Anchors without pairs are counted apart.
+    A pair counts up to the last threshold that its p reaches, so it is dealt to that step
+    once. The counts by step are summed from there down inside the anchor's row; neither
+    pairs nor anchors are multiplied by the grid in a shuffle.
     """
     marks = F.array(*[F.lit(t) for t in grid])
     step = reduce(add, [(F.col("p") >= F.lit(t)).cast("int") for t in grid]) - 1
     hits = pairs.join(truth.select("anchor_id", "target_id").withColumn("_t", F.lit(1)), ["anchor_id", "target_id"], "left").withColumn("step", step).where("step >= 0")
-    dealt = hits.groupBy("anchor_id", "step").agg(F.count("*").alias("n"), F.count("_t").alias("t"))
-    sizes = anchors.select("anchor_id").join(truth.groupBy("anchor_id").agg(F.count("*").alias("n_true")), "anchor_id", "left").fillna(0, ["n_true"])
-    steps = F.explode(F.sequence(F.lit(0), F.lit(len(grid) - 1))).alias("step")
-    x = sizes.select("*", steps).join(dealt, ["anchor_id", "step"], "left")
-    above = Window.partitionBy("anchor_id").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumns({"n_pred": F.coalesce(F.sum("n").over(above), F.lit(0)), "tp": F.coalesce(F.sum("t").over(above), F.lit(0))})
+    dealt = hits.groupBy("anchor_id", "step").agg(F.count("*").alias("n"), F.count("_t").alias("t")).groupBy("anchor_id").agg(F.collect_list(F.struct("step", "n", "t")).alias("dealt"))
+    x = anchors.select("anchor_id").join(truth.groupBy("anchor_id").agg(F.count("*").alias("n_true")), "anchor_id", "left").join(dealt, "anchor_id", "left").fillna(0, ["n_true"])
+    own = F.coalesce("dealt", F.array().cast(dealt.schema["dealt"].dataType))
+    above = lambda i, f: F.aggregate(F.filter(own, lambda s: s["step"] >= i), F.lit(0).cast("long"), lambda v, s: v + s[f])
+    steps = F.transform(F.sequence(F.lit(0), F.lit(len(grid) - 1)), lambda i: F.struct(i.alias("step"), above(i, "n").alias("n_pred"), above(i, "t").alias("tp")))
+    x = x.select("n_true", F.explode(steps).alias("s")).select("n_true", "s.step", "s.n_pred", "s.tp")
     y = with_scores(x).groupBy("step").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("precision", "recall", "f05")])
     return y.withColumn("threshold", F.get(marks, F.col("step"))).select("step", "threshold", "precision", "recall", "f05")
 
@@ -93,13 +94,17 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def probability_report(pairs: DataFrame) -> DataFrame:
     """One row from (p, label): average precision, ROC area, Brier score and log loss.
 
-    Pairs of equal p are one step of both curves; the curves are summed over distinct
-    values of p.
+    Pairs of equal p are one step of both curves. The steps are written in ranges of p;
+    each range is summed by itself on top of the totals of those above it, so no task
+    holds the whole curve.
     """
     by = pairs.groupBy("p").agg(F.sum("label").alias("t"), F.count("*").alias("n"))
-    # few distinct values: one window over them is the size of the curve, not of the pairs
-    w = Window.orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
-    c = by.withColumns({"ct": F.sum("t").over(w), "cn": F.sum("n").over(w)})
+    by = written(by.repartitionByRange(F.desc("p")).withColumn("part", F.spark_partition_id()))
+    up = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
+    totals = by.groupBy("part").agg(F.sum("t").alias("t"), F.sum("n").alias("n"))
+    base = totals.select("part", F.coalesce(F.sum("t").over(up), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n0"))
+    w = Window.partitionBy("part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    c = by.join(base, "part").withColumns({"ct": F.col("t0") + F.sum("t").over(w), "cn": F.col("n0") + F.sum("n").over(w)})
     sums = c.agg(F.sum("t").alias("P"), F.sum("n").alias("N"), F.sum(F.col("t") * F.col("ct") / F.col("cn")).alias("ap"), F.sum((F.col("n") - F.col("t")) * (F.col("ct") - F.col("t") / 2)).alias("auc"))
     q = F.least(F.greatest("p", F.lit(1e-8)), F.lit(1 - 1e-8))
     loss = pairs.agg(F.avg(F.pow(F.col("p") - F.col("label"), 2)).alias("brier"), F.avg(-F.when(F.col("label") == 1, F.log(q)).otherwise(F.log(1 - q))).alias("log_loss"))
@@ -128,24 +133,22 @@ def top_changes(pairs: DataFrame, before: str, after: str, n: int = 12) -> DataF
     return pairs.withColumn("change", F.abs(F.col(after) - F.col(before))).orderBy(F.desc("change"), "anchor_id", "target_id").limit(n)
 
 
+#: Groups of rows that are drawn together; at most so many rows reach the driver.
+DRAWN = 8192
+
+
 def bootstrap_interval(deltas: DataFrame, column: str, rounds: int = 2000, seed: int = 7) -> tuple[float, float, float]:
     """(mean, low, high): the mean of a column and its 95 % interval over resamples.
 
-    Each round weighs every row by a seeded Poisson draw, as resampling does for many rows; the
-    rounds are summed in one pass over the data, a vector of ``rounds`` sums for each task.
+    Rows fall into ``DRAWN`` groups by their hash, whose sums are partial aggregates; each
+    round weighs every group by a seeded Poisson draw, as resampling does for many groups.
     """
     import numpy as np
-    import pandas as pd
-
-    def sums(batches):
-        w, s = np.zeros(rounds), np.zeros(rounds)
-        for pdf in batches:
-            for key, x in zip(pdf["key"], pdf["x"], strict=True):
-                k = np.random.default_rng([seed, int(key) & 0x7FFFFFFFFFFFFFFF]).poisson(1.0, rounds)
-                w += k
-                s += k * x
-        yield pd.DataFrame({"round": np.arange(rounds), "w": w, "s": s})
-
-    rows = deltas.select(F.xxhash64(*deltas.columns).alias("key"), F.col(column).cast("double").alias("x"))
-    out = rows.mapInPandas(sums, "round long, w double, s double").groupBy("round").agg((F.sum("s") / F.sum("w")).alias("m")).toPandas()["m"]
-    return deltas.agg(F.avg(column)).first()[0], float(out.quantile(0.025)), float(out.quantile(0.975))
+
+    bucket = F.pmod(F.xxhash64(F.lit(seed), *deltas.columns), F.lit(DRAWN))
+    rows = deltas.groupBy(bucket.alias("g")).agg(F.count(column).alias("n"), F.sum(F.col(column).cast("double")).alias("s")).orderBy("g").toPandas()
+    n, s = rows["n"].to_numpy(float), rows["s"].fillna(0.0).to_numpy(float)
+    draw = np.random.default_rng(seed)
+    w = [draw.poisson(1.0, (50, len(n))) for _ in range(-(-rounds // 50))]
+    means = np.concatenate([(x @ s) / np.maximum(x @ n, 1) for x in w])[:rounds]
+    return float(s.sum() / max(1.0, n.sum())), float(np.quantile(means, 0.025)), float(np.quantile(means, 0.975))
