@@ -1,4 +1,8 @@
-"""The whole linkage: from records to match lists, with learned scores."""
+"""The whole linkage: from records to match lists, with a learned ranker and learned scores.
+
+Retrieved pairs are described by cheap features and cut to the best of each anchor by a
+ranker; the rest get the rich features, in one locked order, and a calibrated model.
+"""
 
 from __future__ import annotations
 
@@ -12,9 +16,7 @@ from pyspark.sql import functions as F
 
 from weftlink.operators import blocking, decide, keys, metrics, models, splits
 from weftlink.operators import features as feat
-
-#: Features of the default model; native columns only.
-DEFAULT = ("name_levenshtein_similarity", "name_jaccard_similarity", "address_levenshtein_similarity", "address_jaccard_similarity", "name_length_ratio", "country_match", "postal_code_match", "street_number_match", "number_of_blocking_rules", "blocked_by_strong_name")
+from weftlink.session import written
 
 
 @dataclass(frozen=True)
@@ -24,10 +26,18 @@ class Settings:
     k: int = 32
     delta: float = 0.2
     kinds: Sequence[str] = models.KINDS
-    features: Sequence[str] = DEFAULT
+    #: Names of features to use; empty means all rich ones.
+    features: Sequence[str] = ()
     seed: int = 17
     trees: int = 20
     depth: int = 5
+    rank_trees: int = 160
+    rank_step: float = 0.08
+    rank_weight: float = 20.0
+    rank_anchors: int = 2000
+    rank_holdout: int = 1000
+    tfidf_terms: int = 100_000
+    tfidf_targets: int = 70_000
 
     def __post_init__(self):
         if self.limit < 1 or self.wide < 1 or self.k < 1 or not 0 <= self.delta <= 1 or not set(self.kinds) <= set(models.KINDS):
@@ -45,75 +55,140 @@ class Settings:
         return json.dumps(asdict(self), indent=1)
 
 
+RANK = "boosting"
+
+
 @dataclass
 class Chosen:
-    """The winner of a selection, with the comparison that it won."""
+    """The winner of a selection with all that a run needs, and the comparison that it won."""
 
     kind: str
     model: PipelineModel
     slope: float
     offset: float
     threshold: float
+    features: list[str]
+    ranker: PipelineModel | None = None
+    idf: dict[str, DataFrame] = field(default_factory=dict)
     rows: list[tuple] = field(default_factory=list)
+    recall: list[tuple] = field(default_factory=list)
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows, "kind string, calibrated boolean, threshold double, precision double, recall double, f05 double")
 
+    def importances(self) -> list[tuple[str, float]]:
+        """Features by weight; none for a model that has no such weights."""
+        return models.importances(self.model, self.features) if self.kind != "logistic" else []
+
     def save(self, spark: SparkSession, path: str) -> None:
-        """The model beside a small table of what else a run needs."""
+        """The models beside small tables of what else a run needs."""
         self.model.write().overwrite().save(f"{path}/model")
-        spark.createDataFrame([(self.kind, self.slope, self.offset, self.threshold)], "kind string, slope double, offset double, threshold double").coalesce(1).write.mode("overwrite").parquet(f"{path}/chosen")
+        if self.ranker is not None:
+            self.ranker.write().overwrite().save(f"{path}/ranker")
+        for name, idf in self.idf.items():
+            idf.write.mode("overwrite").parquet(f"{path}/idf_{name}")
+        row = (self.kind, self.slope, self.offset, self.threshold, self.features, self.ranker is not None, list(self.idf))
+        spark.createDataFrame([row], "kind string, slope double, offset double, threshold double, features array<string>, ranker boolean, idf array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/chosen")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Chosen:
-        row = spark.read.parquet(f"{path}/chosen").first()
-        return cls(row["kind"], PipelineModel.load(f"{path}/model"), row["slope"], row["offset"], row["threshold"])
+        r = spark.read.parquet(f"{path}/chosen").first()
+        return cls(r["kind"], PipelineModel.load(f"{path}/model"), r["slope"], r["offset"], r["threshold"], list(r["features"]), PipelineModel.load(f"{path}/ranker") if r["ranker"] else None, {n: spark.read.parquet(f"{path}/idf_{n}") for n in r["idf"]})
 
     def score(self, df: DataFrame) -> DataFrame:
         return models.calibrated(models.predict(self.model, df), self.slope, self.offset)
 
 
-def retrieve(anchors: DataFrame, targets: DataFrame, s: Settings) -> DataFrame:
-    """Candidates of both key sets."""
-    out = []
-    for families, wide in ((keys.disk_families(), {p: s.wide * s.limit for p in "NA"}), (keys.supplement_families(), None)):
-        out.append(blocking.candidates(keys.key_table(anchors, families), blocking.limited(keys.key_table(targets, families), s.limit, wide)))
-    return blocking.merged(*out)
-
+def wide_keys(records: DataFrame) -> DataFrame:
+    """Both wide key families of a record in one table; keys of the two never meet."""
+    return keys.key_table(records, keys.joined(keys.disk_families(), keys.supplement_families()))
 
-def featured(gathered: DataFrame, s: Settings) -> DataFrame:
-    return feat.assembled(gathered, [feat.base_features(fuzzy=False)], s.features)
 
-
-def select_model(spark: SparkSession, gathered: DataFrame, truth: DataFrame, anchors: DataFrame, s: Settings = Settings()) -> Chosen:
-    """Fits each learner on one part of the anchors, calibrates on another, and chooses on a third by F0.5."""
-    x = splits.split(blocking.labelled(featured(gathered, s), truth), "anchor_id", {"fit": 0.6, "calibration": 0.2, "validation": 0.2}, s.seed).cache()
-    own = splits.split(anchors.select("anchor_id"), "anchor_id", {"fit": 0.6, "calibration": 0.2, "validation": 0.2}, s.seed).where("split = 'validation'").drop("split")
-    true = truth.join(own, "anchor_id", "left_semi")
+def retrieve(anchors: DataFrame, targets: DataFrame, s: Settings) -> DataFrame:
+    """Candidates of both key sets: one table of keys for each side, one join, one union of rules."""
+    return blocking.candidates(wide_keys(anchors), blocking.limited(wide_keys(targets), s.limit, {p: s.wide * s.limit for p in "NA"}))
+
+
+def coarse(pairs: DataFrame, anchors: DataFrame, targets: DataFrame) -> DataFrame:
+    """The features of the ranker for every pair; the mask of rules stays."""
+    own = ("name_norm", "address_norm", "country_norm")
+    return feat.assembled(feat.gathered(pairs, anchors, targets, own), [feat.coarse_features()], keep=("mask",))
+
+
+def fit_ranker(described: DataFrame, truth: DataFrame, ids: DataFrame, s: Settings) -> tuple[PipelineModel, list[tuple]]:
+    """A ranker, and (k, found, recall) of held-out anchors. ``ids``: anchors whose labels may be used."""
+    placed = splits.placed(ids.select("anchor_id"), "anchor_id", s.seed + 311)
+    own = F.least(F.lit(s.rank_anchors), F.floor(F.col("size") / 2))
+    rows = blocking.labelled(described, truth).join(placed, "anchor_id")
+    names = list(feat.coarse_features())
+    model = models.fit(RANK, rows.where(F.col("place") < own), names, positive=s.rank_weight, trees=s.rank_trees, depth=5, step=s.rank_step, seed=s.seed + 2)
+    held = placed.where((F.col("place") >= own) & (F.col("place") < own + s.rank_holdout))
+    ranked = models.predict(model, described.join(held.select("anchor_id"), "anchor_id", "left_semi"))
+    curve = blocking.top_k_recall(ranked, truth.join(held.select("anchor_id"), "anchor_id", "left_semi"), "p")
+    return model, [tuple(r) for r in curve.collect()]
+
+
+def cut(pairs: DataFrame, anchors: DataFrame, targets: DataFrame, ranker: PipelineModel | None, s: Settings) -> DataFrame:
+    """(anchor_id, target_id, mask) of the best ``k`` pairs of each anchor, by the ranker or, without one, by similarity."""
+    if ranker is not None:
+        ranked = models.predict(ranker, coarse(pairs, anchors, targets)).withColumnRenamed("p", "rank")
+    else:
+        ranked = feat.gathered(pairs, anchors, targets, ("name_norm", "address_norm")).withColumn("rank", feat.fallback_rank())
+    return blocking.top_k(ranked.select("anchor_id", "target_id", "mask", "rank"), "rank", s.k).select("anchor_id", "target_id", "mask")
+
+
+def fit_terms(anchors: DataFrame, targets: DataFrame, s: Settings) -> dict[str, DataFrame]:
+    """Term weights of names and addresses, from the anchors given and a sample of the targets."""
+    own = anchors.select("entity_id", "name_norm", "address_norm").union(splits.sample(targets, "entity_id", s.tfidf_targets, s.seed).select("entity_id", "name_norm", "address_norm"))
+    return {f: written(feat.tfidf_fit(own, f"{f}_norm", s.tfidf_terms)) for f in ("name", "address")}
+
+
+def rich_groups() -> list[dict]:
+    """All rich features in their locked order: base (58 with the cosines), veto (14) and enhanced (9)."""
+    cosines = {f"{f}_tfidf_cosine": F.col(f"{f}_tfidf_cosine") for f in ("name", "address")}
+    veto = {f"veto_{k}": v for k, v in feat.veto_features().items()}
+    return [feat.base_features(), cosines, veto, feat.enhanced_features()]
+
+
+def rich(pairs: DataFrame, anchors: DataFrame, targets: DataFrame, idf: dict[str, DataFrame], s: Settings) -> DataFrame:
+    """The pairs with the features of ``s``, or all rich ones."""
+    for f, weights in idf.items():
+        vectors = [feat.tfidf_vectors(x, f"{f}_norm", weights) for x in (anchors, targets)]
+        pairs = feat.tfidf_cosine(pairs, *vectors, f"{f}_tfidf_cosine")
+    return feat.assembled(feat.gathered(pairs, anchors, targets), rich_groups(), s.features or None)
+
+
+def select_model(spark: SparkSession, anchors: DataFrame, targets: DataFrame, truth: DataFrame, s: Settings = Settings()) -> Chosen:
+    """Fits ranker, terms and each learner on one part of the anchors, calibrates on another, and chooses on a third by F0.5."""
+    flag = anchors.select(F.col("entity_id").alias("anchor_id")).join(truth.select("anchor_id").distinct().withColumn("_t", F.lit(True)), "anchor_id", "left")
+    parts = written(splits.stratified(flag, "anchor_id", F.col("_t"), s.seed).drop("_t"))
+    part = lambda name: parts.where(F.col("split") == name).select("anchor_id")
+    pairs = written(retrieve(anchors, targets, s))
+    ranker, recall = fit_ranker(written(coarse(pairs, anchors, targets)), truth, part("fit"), s)
+    idf = fit_terms(anchors.join(part("fit").withColumnRenamed("anchor_id", "entity_id"), "entity_id", "left_semi"), targets, s)
+    described = rich(cut(pairs, anchors, targets, ranker, s), anchors, targets, idf, s)
+    names = [c for c in described.columns if c not in ("anchor_id", "target_id")]
+    x = written(blocking.labelled(described, truth).join(parts, "anchor_id"))
+    own, true = part("validation"), truth.join(part("validation"), "anchor_id", "left_semi")
     rows, best = [], None
-    try:
-        for kind in s.kinds:
-            options = {} if kind == "logistic" else {"trees": s.trees, "depth": s.depth}
-            m = models.fit(kind, x.where("split = 'fit'"), s.features, **options)
-            slope, offset = models.calibration(models.predict(m, x.where("split = 'calibration'")))
-            for a, b in ((1.0, 0.0), (slope, offset)):
-                p = models.calibrated(models.predict(m, x.where("split = 'validation'")), a, b)
-                top = metrics.best_threshold(metrics.threshold_sweep(p, true, own, metrics.memory_grid())).first()
-                rows.append((kind, (a, b) != (1.0, 0.0), top["threshold"], top["precision"], top["recall"], top["f05"]))
-                rank = (top["f05"], top["precision"], top["threshold"], kind)
-                if best is None or rank > best[0]:
-                    best = (rank, Chosen(kind, m, a, b, top["threshold"]))
-    finally:
-        x.unpersist()
-    best[1].rows = rows
+    for kind in s.kinds:
+        options = {} if kind == "logistic" else {"trees": s.trees, "depth": s.depth, "seed": s.seed}
+        m = models.fit(kind, x.where("split = 'fit'"), names, stop=x.where("split = 'calibration'"), **options)
+        slope, offset = models.calibration(models.predict(m, x.where("split = 'calibration'")))
+        raw = written(models.predict(m, x.where("split = 'validation'")).select("anchor_id", "target_id", "p"))
+        for a, b in ((1.0, 0.0), (slope, offset)):
+            top = metrics.best_threshold(metrics.threshold_sweep(models.calibrated(raw, a, b), true, own, metrics.disk_grid())).first()
+            rows.append((kind, (a, b) != (1.0, 0.0), top["threshold"], top["precision"], top["recall"], top["f05"]))
+            rank = (top["f05"], top["precision"], top["threshold"], kind)
+            if best is None or rank > best[0]:
+                best = (rank, Chosen(kind, m, a, b, top["threshold"], names, ranker, idf))
+    best[1].rows, best[1].recall = rows, recall
     return best[1]
 
 
 def link(anchors: DataFrame, targets: DataFrame, chosen: Chosen, s: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(matches, candidates): retrieve, rank, score, arbitrate, gate and cut, in this order."""
-    g = feat.gathered(retrieve(anchors, targets, s), anchors, targets)
-    ranked = g.withColumn("rank", feat.X.levenshtein_similarity(*feat.both("name_norm")) + 0.35 * feat.X.levenshtein_similarity(*feat.both("address_norm")))
-    top = blocking.top_k(ranked, "rank", s.k)
-    scored = chosen.score(featured(top, s)).select("anchor_id", "target_id", "p")
-    won = decide.arbitrated(scored).withColumn("source", F.substring("target_id", 1, 2))
-    return decide.thresholded(decide.margin_gate(won, s.delta), chosen.threshold), scored
+    """(matches, candidates): retrieve, rank, describe, score, arbitrate, gate and cut, in this order."""
+    kept = cut(retrieve(anchors, targets, s), anchors, targets, chosen.ranker, s)
+    scored = written(chosen.score(rich(kept, anchors, targets, chosen.idf, s)).select("anchor_id", "target_id", "p"))
+    won = decide.winners(scored, decide.arbitrated(scored)).withColumn("source", F.substring("target_id", 1, 2))
+    return decide.thresholded(decide.margin_gate(won, s.delta), chosen.threshold).where("won"), scored
