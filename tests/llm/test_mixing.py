@@ -4,22 +4,73 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftlink.llm import mixing
-from weftlink.llm.mixing import Mixture, budgets
+from weftlink.llm.mixing import Mixture
 
 LEVELS = {"domain": "domain", "lang": "lang", "source": "source"}
 
 
-def test_siblings_before_ancestors():
+def budgets(supply, mixture, total):
+    """Plain filling, one node after another: what the levels of the tables must equal."""
+    weight = lambda p: max(0.0, mixture.weights.get(p, mixture.default))
+    nodes = {leaf[:d] for leaf in supply for d in range(len(leaf) + 1)}
+    below = {n: sorted(c for c in nodes if c[: len(n)] == n and len(c) == len(n) + 1) for n in nodes}
+
+    def room(n):
+        if n and weight(n) == 0:
+            return 0
+        return sum(map(room, below[n])) if below[n] else supply[n] * mixture.max_epochs
+
+    out = {}
+
+    def deal(n, budget):
+        if not below[n]:
+            out[n] = budget
+            return
+        open_, left, given = [c for c in below[n] if room(c) > 0], min(budget, room(n)), {c: 0 for c in below[n]}
+        while open_:
+            mass = sum(map(weight, open_))
+            full = [c for c in open_ if left * weight(c) / mass >= room(c)]
+            for c in full or open_:
+                given[c] = room(c) if full else left * weight(c) / mass
+            left -= sum(given[c] for c in full)
+            open_ = [c for c in open_ if c not in full] if full else []
+        for c, b in given.items():
+            deal(c, b)
+
+    deal((), total)
+    return out
+
+
+def by_tables(spark, supply, mixture, total):
+    names = [f"l{i}" for i in range(len(next(iter(supply))))]
+    df = spark.createDataFrame([(*k, n) for k, n in supply.items()], ", ".join(f"{c} string" for c in names) + ", n long")
+    return {tuple(r[c] for c in names): r.budget for r in mixing.leaf_budgets(df, names, mixture, total).collect()}
+
+
+def test_siblings_before_ancestors(spark):
     supply = {("web", "en", "a"): 10, ("web", "en", "b"): 1000, ("web", "de", "c"): 100, ("books", "en", "d"): 1000}
-    got = budgets(supply, Mixture({("web",): 1, ("books",): 1, ("web", "en"): 3, ("web", "de"): 1}), 800)
-    assert got[("web", "en", "a")] == 10  # all that it has
-    assert got[("web", "en", "b")] == 290  # its sibling takes the rest of the 300
-    assert got[("web", "de", "c")] == 100 and got[("books", "en", "d")] == 400
+    got = by_tables(spark, supply, Mixture({("web",): 1, ("books",): 1, ("web", "en"): 3, ("web", "de"): 1}), 800)
+    assert got == pytest.approx({("web", "en", "a"): 10, ("web", "en", "b"): 290, ("web", "de", "c"): 100, ("books", "en", "d"): 400})
     # a subtree that lacks tokens passes the rest up
-    got = budgets(supply, Mixture({("books",): 0}), 2000)
-    assert sum(v for k, v in got.items() if k[0] == "web") == 1110 and got[("books", "en", "d")] == 0
-    got = budgets(supply, Mixture(max_epochs=2), 10**6)
-    assert all(got[k] == 2 * n for k, n in supply.items())
+    got = by_tables(spark, supply, Mixture({("books",): 0}), 2000)
+    assert sum(v for k, v in got.items() if k[0] == "web") == pytest.approx(1110) and got[("books", "en", "d")] == 0
+
+
+def test_a_branch_of_weight_zero_is_no_supply(spark):
+    supply = {("a", "x"): 10, ("a", "y"): 1000, ("b", "z"): 1000}
+    got = by_tables(spark, supply, Mixture({("a", "y"): 0}), 1000)
+    assert got == pytest.approx({("a", "x"): 10, ("a", "y"): 0, ("b", "z"): 990})
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_budgets_of_any_tree(spark, seed):
+    r = random.Random(seed)
+    supply = {(r.choice("ab"), r.choice("cde"), f"h{r.randrange(40)}"): r.choice((0, 5, 5, r.randrange(1, 3000))) for _ in range(60)}
+    weights = {k[:d]: r.choice((0, 0.5, 3)) for k in supply for d in (1, 2, 3) if r.random() < 0.3}
+    for share in (0.3, 1.0):
+        m = Mixture(weights, max_epochs=1 + seed % 3)
+        total = share * sum(supply.values())
+        assert by_tables(spark, supply, m, total) == pytest.approx(budgets(supply, m, total), abs=1e-6)
 
 
 def rows(r, n):
@@ -29,32 +80,34 @@ def rows(r, n):
     return out
 
 
-@pytest.mark.parametrize(("share", "epochs", "buckets"), [(0.5, 1, 4096), (0.3, 1, 4), (1.4, 3, 4096)])
-def test_against_plain_selection(spark, monkeypatch, share, epochs, buckets):
-    data = rows(random.Random(3), 400)
+@pytest.mark.parametrize(("share", "epochs", "bits", "keep"), [(0.5, 1, 8, None), (0.3, 1, 1, ["doc_id", "lang"]), (1.4, 3, 8, None)])
+def test_against_plain_selection(spark, monkeypatch, share, epochs, bits, keep):
+    monkeypatch.setattr(mixing, "RANGE_BITS", bits)
+    data = rows(random.Random(3), 300)
+    data += [(7, "x y z", "web", "en", "s0")] * 40  # equal rows, which the budget may part
     df = spark.createDataFrame(data, "doc_id long, text string, domain string, lang string, source string").repartition(4)
     m = Mixture({("web",): 3, ("web", "en"): 2}, share=share, max_epochs=epochs)
+    size, leaf = (lambda x: len(x[1].split())), (lambda x: (x[2], x[3] or "", x[4]))
     supply = {}
-    for _, t, d, la, s in data:
-        k = (d, la or "", s)
-        supply[k] = supply.get(k, 0) + len(t.split())
-    given = budgets(supply, m, share * sum(supply.values()))
-    ids = {r.doc_id: r.id for r in df.select("doc_id", F.xxhash64("doc_id", "text").alias("id")).collect()}
+    for x in data:
+        supply[leaf(x)] = supply.get(leaf(x), 0) + size(x)
+    ids = {tuple(r)[:5]: r.id for r in df.select("*", F.xxhash64(*df.columns).alias("id")).collect()}
     expected = []
-    for k, b in given.items():
-        own = [(i, len(t.split())) for i, t, d, la, s in data if (d, la or "", s) == k]
-        whole, rest = int(b // supply[k]), int(b - b // supply[k] * supply[k])
-        for e in range(whole):
-            expected += [(i, e) for i, _ in own]
-        order = {r.doc_id: r.u for r in spark.createDataFrame([(i, ids[i]) for i, _ in own], "doc_id long, id long").select("doc_id", mixing._order([F.col("id")], m.seed, F.lit(whole)).alias("u")).collect()}
+    for k, b in budgets(supply, m, share * sum(supply.values())).items():
+        own = [x for x in data if leaf(x) == k]
+        whole = int(b / supply[k] + 1e-9) if supply[k] else 0
+        rest = int(b - whole * supply[k] + 1e-6)
+        expected += [(x[0], e) for x in own for e in range(whole)]
+        order = {r.id: r.u for r in spark.createDataFrame([(ids[x],) for x in own], "id long").select("id", mixing._order(F.col("id"), m.seed, F.lit(whole)).alias("u")).collect()}
         used = 0
-        for i, n in sorted(own, key=lambda x: (order[x[0]] & 0xFFFFFFFFFFFFFFFF) >> 52 << 64 | order[x[0]] + (1 << 63)):
-            used += n
+        for x in sorted(own, key=lambda x: order[ids[x]]):
+            used += size(x)
             if used > rest:
                 break
-            expected.append((i, whole))
-    got = mixing.mix(df, LEVELS, m)
-    assert got.columns == [*df.columns, "epoch", "n_tokens"]
+            if rest:
+                expected.append((x[0], whole))
+    got = mixing.mix(df, LEVELS, m, keep=keep)
+    assert got.columns == [*(keep or df.columns), "epoch", "n_tokens"]
     assert sorted((x.doc_id, x.epoch) for x in got.collect()) == sorted(expected)
 
 

@@ -25,8 +25,7 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_target_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    return mixing.mix(docs, mixing.LEVELS, mixing.LANGUAGES).select("doc_id", "lang", "source", "epoch", "n_tokens")
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.LEVELS, mixing.LANGUAGES, keep=("doc_id", "lang", "source"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
