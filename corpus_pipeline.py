@@ -52,7 +52,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Half of the tokens, by target weights; no document twice."""
     ready(spark)
-    return mixing.mix(docs, mixing.LEVELS, mixing.LANGUAGES, added=("_epoch", "_n_tokens")).select(*docs.columns)
+    return mixing.mix(docs, mixing.LEVELS, mixing.HALF, added=("_epoch",)).select(*docs.columns)
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
