@@ -1,15 +1,18 @@
 """Benchmark decontamination with suffix arrays of the training texts.
 
-Each run of training texts (a shard of some megabytes inside a task) gets a suffix
-array over its words, and every suffix of every test item is looked up in it by
-binary search. Ranges of the array give all verbatim occurrences, which are joined
-along diagonals into longest matches with their places. Nothing is shuffled: the
-test set travels to the texts in blocks of bounded size, and a lost executor costs
-its own tasks only.
-
-Training words that occur in no test item become separators, and a suffix enters
-the array only if its first words form a run that some test item has; both leave
-out suffixes which no test suffix could match.
+1. The windows of all test items are set as bits in a filter of bounded size, which is
+   built by tasks and is all of the test set that is broadcast.
+2. One pass over the texts hashes their words and windows. Words under windows that pass
+   the filter form regions; nothing else of a text can match.
+3. Equal regions of all texts are one row, so a passage that a third of the corpus repeats
+   is looked at once. Test items come to the regions with which they share a window.
+4. Regions are dealt to shards. Each shard sorts all whole suffixes of its regions into a
+   suffix array and looks every suffix of its test items up by binary search, which gives
+   all occurrences; each is followed to its full length: longest matches with places.
+5. The findings of a region are joined back to the texts that hold it.
+
+Neither the test set nor the texts pass through the driver, and the number of passes does
+not grow with the test set; a lost executor costs its own tasks only.
 """
 
 from __future__ import annotations
@@ -23,181 +26,343 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from weftlink.llm import tokens
+from weftlink.llm.text import small_side
+from weftlink.session import written
 
 WINDOW = 13
-#: Bytes of test texts that one block broadcasts.
-BLOCK_BYTES = 16 << 20
-
-
-class TestSet:
-    """A block of test items: word ids, all suffixes as sort keys, and their windows."""
-
-    __test__ = False  # not a pytest class
-
-    def __init__(self, items: Iterable[tuple[str, str]], window: int = WINDOW):
-        items = list(items)
-        self.window, self.names = window, [i for i, _ in items]
-        hashes: list[np.ndarray] = []
-        for _, _, body, off in tokens.chunks(pa.array([t for _, t in items], pa.string())):
-            h, before, _, _ = tokens.hashed_words(body, off, tokens.ALNUM)
-            hashes += [h[a:b] for a, b in zip(before[:-1], before[1:], strict=True)]
-        self.vocabulary = np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64)
-        ids = [np.searchsorted(self.vocabulary, h).astype(np.int64) + 1 for h in hashes]
-        # windows: (item, place in item, length, ids)
-        found = [(k, i, min(window, len(x)), x[i : i + window]) for k, x in enumerate(ids) for i in range(max(len(x) - window, 0) + 1) if len(x)]
-        self.item = np.array([f[0] for f in found], np.int64)
-        self.place = np.array([f[1] for f in found], np.int64)
-        self.length = np.array([f[2] for f in found], np.int64)
-        low, high = np.zeros((len(found), window), ">u4"), np.full((len(found), window), 0xFFFFFFFF, ">u4")
-        for r, (_, _, n, x) in enumerate(found):
-            low[r, :n] = high[r, :n] = x
-        self.low, self.high = _keys(low), _keys(high)
-        self.lead = min(3, int(self.length.min())) if found else 1
-        self.leads = np.unique(_lead(np.stack([f[3][: self.lead] for f in found]))) if found else np.zeros(0, np.uint64)
-
-    def matches(self, h: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All occurrences of windows: (place among the words ``h``, index of the window)."""
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if not len(h) or not len(self.item):
-            return none
-        at = np.searchsorted(self.vocabulary, h)
-        at[at == len(self.vocabulary)] = 0
-        known = self.vocabulary[at] == h
-        x = np.zeros(len(h) + len(before) + self.window, np.int64)  # a separator after each text
-        spot = np.arange(len(h)) + np.repeat(np.arange(len(before) - 1), np.diff(before))
-        x[spot] = np.where(known, at + 1, 0)
-        q = self.lead
-        heads = np.lib.stride_tricks.sliding_window_view(x, q)[spot]
-        live = np.flatnonzero((heads > 0).all(axis=1))
-        if not len(live):
-            return none
-        lead = _lead(heads[live])
-        where = np.minimum(np.searchsorted(self.leads, lead), len(self.leads) - 1)
-        live = live[self.leads[where] == lead]
-        if not len(live):
-            return none
-        suffixes = _keys(np.lib.stride_tricks.sliding_window_view(x, self.window)[spot[live]].astype(">u4"))
-        order = np.argsort(suffixes, kind="stable")  # the suffix array
-        ranked = suffixes[order]
-        lo, hi = np.searchsorted(ranked, self.low, "left"), np.searchsorted(ranked, self.high, "right")
-        count = np.maximum(hi - lo, 0)
-        which = np.repeat(np.arange(len(lo)), count)
-        rank = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
-        return live[order[rank]], which
-
-
-def _keys(rows: np.ndarray) -> np.ndarray:
-    """Rows of big-endian ids as byte strings, which sort as the rows do."""
-    rows = np.ascontiguousarray(rows)
-    return rows.view(f"S{rows.shape[1] * 4}").reshape(-1)
-
-
-def _lead(rows: np.ndarray) -> np.ndarray:
-    h = np.zeros(len(rows), np.uint64)
-    for j in range(rows.shape[1]):
-        h = tokens.mixed(h * np.uint64(31) + rows[:, j].astype(np.uint64))
-    return h
-
-
-ADDED = T.StructType(
-    [
-        T.StructField("n_words", T.LongType()),
-        T.StructField("n_hit", T.LongType()),
-        T.StructField("_hits", T.BinaryType()),
-        T.StructField("matches", T.ArrayType(T.StructType([T.StructField("item", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("item_at", "at", "length")]))),
-    ]
-)
-
-
-def blocks(benchmark: DataFrame, item: str, text: str, size: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str]]]:
-    """Items in blocks of about ``size`` bytes, at least one; null ids are empty names, null texts are left out."""
-    block, held, any_yet = [], 0, False
-    rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(text)).where(F.col(text).isNotNull())
-    for name, body in rows.toLocalIterator():
-        block.append((name, body))
-        held += len(body)
-        if held >= size:
-            yield block
-            block, held, any_yet = [], 0, True
-    if block or not any_yet:
-        yield block
-
-
-def _scanner(shared):
-    """A pass of one test block over Arrow batches whose first column is the text and whose last four are ``ADDED``."""
+#: Bits of the filter for each test window, the least and the most there may be (32 MB); beyond, more regions are looked at.
+FILTER_BITS, MIN_FILTER, MAX_FILTER = 128, 1 << 22, 1 << 28
+PARTS = 16
+#: Rows of findings that are broadcast; with more both sides are shuffled.
+BROADCAST_FOUND = 200_000
+_SHORT = np.uint64(0xA5A5_5A5A_0F0F_F0F1)
+
+
+def window_hashes(h: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of all windows of n words that lie inside one text."""
+    if len(h) < n:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    at = np.arange(len(h) - n + 1)
+    text = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    at = at[text[at] == text[at + n - 1]]
+    g = np.zeros(len(at), np.uint64)
+    for j in range(n):
+        g += h[at + j] * tokens.powers(64)[j + 1]
+    return at, tokens.mixed(g + _SHORT * np.uint64(n))
+
+
+def _places(g: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two bits for each hash: their bytes and values in a filter of ``size`` bytes."""
+    bits = [(g >> np.uint64(s)) & np.uint64(8 * size - 1) for s in (0, 32)]
+    return [((b >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (b & np.uint64(7)).astype(np.uint8))) for b in bits]
+
+
+def passes(held: np.ndarray, g: np.ndarray) -> np.ndarray:
+    (a, x), (b, y) = _places(g, len(held))
+    return ((held[a] & x) != 0) & ((held[b] & y) != 0)
+
+
+ITEM = "item string, ids array<long>, n int, windows array<long>"
+
+
+def _items(window: int):
+    """Words and window hashes of test items; those without words are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, rows = batch.column(0), []
+            for first, end, body, offsets in tokens.chunks(batch.column(1)):
+                h, before, _, _ = tokens.hashed_words(body, offsets, tokens.ALNUM)
+                for d in range(end - first):
+                    own = h[before[d] : before[d + 1]]
+                    if len(own):
+                        n = min(window, len(own))
+                        rows.append((names[first + d], own.view(np.int64), n, window_hashes(own, np.array([0, len(own)]), n)[1].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0].as_py() for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))], names=["item", "ids", "n", "windows"])
+
+    return run
+
+
+def _filter_parts(size: int):
+    """The bits of a task's windows in ``PARTS`` pieces; pieces without a bit are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, np.uint8)
+        for batch in batches:
+            for g in batch.column(0):
+                for where, bit in _places(g.values.to_numpy().view(np.uint64), size):
+                    np.bitwise_or.at(held, where, bit)
+        pieces = [(k, p.tobytes()) for k, p in enumerate(held.reshape(PARTS, -1)) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([p for _, p in pieces], pa.binary())], names=["part", "bits"])
+
+    return run
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, p in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            own = np.frombuffer(p, np.uint8)
+            held[k] = held[k] | own if k in held else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], names=["part", "bits"])
+
+
+def window_filter(items: DataFrame, windows: int) -> np.ndarray:
+    """Bits of all windows of ``items``, packed; ``MAX_FILTER`` bits at most reach the driver."""
+    size = min(MAX_FILTER, max(MIN_FILTER, 1 << (windows * FILTER_BITS).bit_length())) // 8
+    found = items.select("windows").mapInArrow(_filter_parts(size), "part int, bits binary")
+    rows = found.repartition(PARTS, "part").mapInArrow(_united, "part int, bits binary").collect()
+    out = np.zeros((PARTS, size // PARTS), np.uint8)
+    for r in rows:
+        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+REGION = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))]))
+
+
+def _regions(shared):
+    """Word counts of whole texts, and the regions whose windows pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests: TestSet = shared.value
+        bits, lengths = shared.value
+        kind = pa.list_(pa.struct([("at", pa.int64()), ("ids", pa.list_(pa.int64()))]))
         for batch in batches:
-            n_words, hits, matches = [], batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
+            n_words: list[int] = []
+            regions: list[list | None] = [None] * batch.num_rows
             for first, _, body, offsets in tokens.chunks(batch.column(0)):
                 h, before, _, _ = tokens.hashed_words(body, offsets, tokens.ALNUM)
                 n_words += np.diff(before).tolist()
-                at, which = tests.matches(h, before)
-                if not len(at):
-                    continue
-                row = np.searchsorted(before, at, "right") - 1
                 change = np.zeros(len(h) + 1, np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + tests.length[which], -1)
-                hit = np.cumsum(change)[:-1] > 0
-                item, diagonal = tests.item[which], at - tests.place[which]
-                order = np.lexsort((at, diagonal, item))
-                i, d, a, w = item[order], diagonal[order], at[order], which[order]
-                new = np.ones(len(a), bool)
-                new[1:] = (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1] + 1)
-                begin = np.flatnonzero(new)
-                end = np.append(begin[1:], len(a)) - 1
-                length = a[end] + tests.length[w[end]] - a[begin]
-                for b, n in zip(begin.tolist(), length.tolist(), strict=True):
-                    r = int(row[order[b]])
-                    found = {"item": tests.names[i[b]], "item_at": int(tests.place[w[b]]), "at": int(a[b] - before[r]), "length": int(n)}
-                    matches[first + r] = (matches[first + r] or []) + [found]
-                for r in np.unique(row).tolist():
-                    own = hit[before[r] : before[r + 1]]
-                    old = hits[first + r]
-                    if old is not None:
-                        own = own | np.unpackbits(np.frombuffer(old, np.uint8), count=len(own)).astype(bool)
-                    hits[first + r] = np.packbits(own).tobytes()
-            n_hit = [0 if x is None else int(np.unpackbits(np.frombuffer(x, np.uint8)).sum()) for x in hits]
-            added = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(hits, pa.binary()), pa.array(matches, batch.schema.field(batch.num_columns - 1).type)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-4], *added], names=batch.schema.names)
+                for n in lengths:
+                    at, g = window_hashes(h, before, n)
+                    at = at[passes(bits, g)]
+                    np.add.at(change, at, 1)
+                    np.add.at(change, at + n, -1)
+                if not change.any():
+                    continue
+                inside = np.cumsum(change)[:-1] > 0
+                text = np.repeat(np.arange(len(before) - 1), np.diff(before))
+                begin = np.flatnonzero(inside & np.append(True, ~inside[:-1] | (text[1:] != text[:-1])))
+                end = np.flatnonzero(inside & np.append(~inside[1:] | (text[1:] != text[:-1]), True)) + 1
+                for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+                    d = int(text[a])
+                    regions[first + d] = (regions[first + d] or []) + [{"at": a - int(before[d]), "ids": h[a:b].view(np.int64)}]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(n_words, pa.int64()), pa.array(regions, kind)], names=[*batch.schema.names[1:], "n_words", "regions"])
 
     return run
 
 
-def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: Iterable[str] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def suffix_array(x: np.ndarray) -> np.ndarray:
+    """The starts of all suffixes of ``x`` in order, by doubling the compared length."""
+    rank = np.unique(x, return_inverse=True)[1].astype(np.int64) + 1
+    n, length = len(x), 1
+    while True:
+        after = np.zeros(n, np.int64)
+        if length < n:
+            after[: n - length] = rank[length:]
+        pair = rank * (n + 2) + after
+        order = np.argsort(pair, kind="stable")
+        new = np.empty(n, np.int64)
+        new[order] = np.cumsum(np.append(True, pair[order][1:] != pair[order][:-1]))
+        rank = new
+        if n == 0 or rank.max() == n or length >= n:
+            return order
+        length *= 2
+
+
+def matches(regions: list[np.ndarray], items: list[tuple[np.ndarray, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(region, item, place in item, place in region, words) of all longest runs of an item's window or more.
+
+    Every suffix of every item is looked up in the suffix array of the regions: the range of
+    suffixes that begin as it does for one window holds all its occurrences. Those that do
+    not go on to the left are followed to the right.
+    """
+    if not regions or not items:
+        return []
+    words, flat = np.unique(np.concatenate([*regions, *[ids for ids, _ in items]]), return_inverse=True)
+    flat = flat + len(regions) + 1
+    size, long = np.array([len(r) for r in regions]), np.array([len(ids) for ids, _ in items])
+    begin = np.cumsum(size + 1) - size - 1  # a separator of its own after each region
+    x, y = np.zeros(int((size + 1).sum()), np.int64), flat[int(size.sum()) :]
+    inner = np.ones(len(x), bool)
+    inner[begin + size] = False
+    x[inner] = flat[: int(size.sum())]
+    x[begin + size] = np.arange(1, len(regions) + 1)
+    order, owner = suffix_array(x), np.repeat(np.arange(len(regions)), size + 1)
+    first = np.cumsum(long) - long
+    window = np.array([n for _, n in items])
+    item = np.repeat(np.arange(len(items)), long - window + 1)
+    start = np.arange(len(item)) - np.repeat(np.cumsum(long - window + 1) - (long - window + 1), long - window + 1) + first[item]
+    low, high = np.zeros(len(start), np.int64), np.full(len(start), len(order), np.int64)
+    for j in range(int(window.max())):  # the range of suffixes that share one more word
+        live = np.flatnonzero((window[item] > j) & (low < high))
+        word = y[start[live] + j]
+        low[live], high[live] = (_bound(x, order, j, word, low[live], high[live], side) for side in ("left", "right"))
+    count = np.maximum(high - low, 0)
+    which = np.repeat(np.arange(len(start)), count)
+    place = order[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    new = (start[which] == first[item[which]]) | (place == 0)
+    rest = np.flatnonzero(~new)
+    new[rest] = x[place[rest] - 1] != y[start[which[rest]] - 1]
+    which, place = which[new], place[new]
+    length, last = window[item[which]], (first + long)[item[which]]
+    live = np.arange(len(which))
+    while len(live):
+        a, b = start[which[live]] + length[live], place[live] + length[live]
+        ok = a < last[live]
+        ok[ok] = y[a[ok]] == x[b[ok]]
+        live = live[ok]
+        length[live] += 1
+    k = item[which]
+    return list(zip(owner[place].tolist(), k.tolist(), (start[which] - first[k]).tolist(), (place - begin[owner[place]]).tolist(), length.tolist(), strict=True))
+
+
+def _bound(x: np.ndarray, order: np.ndarray, j: int, word: np.ndarray, low: np.ndarray, high: np.ndarray, side: str) -> np.ndarray:
+    """Binary search, for all suffixes at once, for ``word`` as the word at ``j`` within [low, high)."""
+    lo, hi = low.copy(), np.maximum(high, low)
+    while True:
+        open_ = np.flatnonzero(lo < hi)
+        if not len(open_):
+            return lo
+        mid = (lo[open_] + hi[open_]) // 2
+        at = np.minimum(order[mid] + j, len(x) - 1)
+        less = x[at] < word[open_] if side == "left" else x[at] <= word[open_]
+        lo[open_[less]] = mid[less] + 1
+        hi[open_[~less]] = mid[~less]
+
+
+FOUND = "region long, n_hit long, items array<string>, longest long, matches array<struct<item:string,item_at:long,at:long,length:long>>"
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard: rows of (region, ids, items), each item with its words and window."""
+    for batch in batches:
+        regions = [np.asarray(r.values.to_numpy()) for r in batch.column(1)]
+        names: dict[str, int] = {}
+        items: list[tuple[np.ndarray, int]] = []
+        for own in batch.column(2):
+            for it in own:
+                name, ids = it["item"].as_py(), it["ids"].values.to_numpy()
+                key = (name, ids.tobytes())
+                if key not in names:
+                    names[key] = len(items)
+                    items.append((ids, it["n"].as_py()))
+        labels = [name for name, _ in names]
+        out: list[list] = [[] for _ in regions]
+        for r, k, item_at, at, length in sorted(matches(regions, items)):
+            out[r].append({"item": labels[k], "item_at": item_at, "at": at, "length": length})
+        hits = []
+        for r, own in zip(regions, out, strict=True):
+            hit = np.zeros(len(r), bool)
+            for m in own:
+                hit[m["at"] : m["at"] + m["length"]] = True
+            hits.append(int(hit.sum()))
+        kind = pa.list_(pa.struct([("item", pa.string()), ("item_at", pa.int64()), ("at", pa.int64()), ("length", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hits, pa.int64()), pa.array([sorted({m["item"] for m in own}) for own in out], pa.list_(pa.string())), pa.array([max((m["length"] for m in own), default=0) for own in out], pa.int64()), pa.array(out, kind)], names=["region", "n_hit", "items", "longest", "matches"])
+
+
+def findings(held: DataFrame, items: DataFrame) -> DataFrame:
+    """(region, n_hit, items, longest, matches) of each distinct region that holds a match.
+
+    ``held``: rows with ``regions``. Regions are told apart by a 64-bit hash of their words.
+    """
+    spark, parts = held.sparkSession, int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = held.select(F.explode("regions").alias("r")).select(region_key(F.col("r.ids")).alias("region"), F.col("r.ids").alias("ids"))
+    distinct = written(distinct.groupBy("region").agg(F.first("ids").alias("ids")))
+    lengths = sorted(r["n"] for r in items.select("n").distinct().collect())  # 13 at most
+    windows = lambda batches: _windows_of(batches, lengths)
+    of_region = distinct.mapInArrow(windows, "region long, w long")
+    of_item = items.select("item", "ids", "n", F.explode(F.array_distinct("windows")).alias("w"))
+    touched = of_region.join(of_item.select("w").distinct(), "w", "left_semi")
+    by_item = touched.join(of_item.select("w", "item", F.xxhash64("ids").alias("text")), "w").select("region", "item", "text").distinct()
+    wanted = by_item.join(items.select("item", "ids", "n", F.xxhash64("ids").alias("text")), ["item", "text"]).groupBy("region").agg(F.collect_list(F.struct("item", "ids", "n")).alias("items"))
+    shards = distinct.join(wanted, "region").select("region", "ids", "items").repartition(parts, "region")
+    return written(shards.mapInArrow(_searched, FOUND).where("n_hit > 0"))
+
+
+def _windows_of(batches: Iterator[pa.RecordBatch], lengths: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, found = [], []
+        for key, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            h = np.asarray(ids.values.to_numpy()).view(np.uint64)
+            g = np.unique(np.concatenate([window_hashes(h, np.array([0, len(h)]), n)[1] for n in lengths]))
+            keys.append(np.full(len(g), key, np.int64))
+            found.append(g.view(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*keys, np.zeros(0, np.int64)])), pa.array(np.concatenate([*found, np.zeros(0, np.int64)]))], names=["region", "w"])
+
+
+def region_key(ids):
+    return F.xxhash64(ids)
+
+
+def prepared(benchmark: DataFrame, item: str, text: str, window: int) -> DataFrame:
+    """Test items with their words and windows, written down; null ids are empty names, items without words are left out."""
+    rows = benchmark.select(F.coalesce(F.col(f"`{item}`").cast("string"), F.lit("")).alias("item"), F.col(f"`{text}`").alias("text"))
+    return written(rows.mapInArrow(_items(window), ITEM))
+
+
+def held_regions(df: DataFrame, items: DataFrame, text: str, keep: Iterable[str]) -> DataFrame:
+    """The columns ``keep`` as c0, c1, ... with n_words and the regions of each row; one pass over the texts."""
+    count, lengths = items.agg(F.coalesce(F.sum(F.size("windows")), F.lit(0)), F.collect_set("n")).first()
+    share = df.sparkSession.sparkContext.broadcast
+    rows = df.select(F.col(f"`{text}`").alias("_text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)])
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField("n_words", T.LongType()), T.StructField("regions", REGION)])
+    return rows.mapInArrow(_regions(share((window_filter(items, count), sorted(lengths)))), schema)
+
+
+def scan(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: Iterable[str] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """The columns ``keep`` of ``df`` with the words hit and the matches of every row.
 
-    Adds n_words, n_hit, items (names, sorted as strings), n_items, longest (words of
-    the longest verbatim match), contaminated (hits in 5 % of the words or more) and
-    matches: (item, place in item, place in text, length in words), one for each
-    longest run. Null and empty texts have no words. Items of one name count once.
-    An empty benchmark leaves all texts clean; an empty table gives no rows. Equal
-    rows are judged alike. Columns not in ``keep`` are not read, whatever their names.
+    Adds n_words, n_hit, n_items, items (names, sorted as strings), longest (words of the
+    longest verbatim match), contaminated (hits in 5 % of the words or more) and matches:
+    (item, place in item, place in text, length in words), one for each longest run. Null
+    and empty texts have no words; very long ones are read whole. Items of one name count
+    once. An empty benchmark leaves all texts clean; an empty table gives no rows. Equal
+    rows are judged alike, ties do not arise. Columns not in ``keep`` are not read, and
+    their names cannot clash.
     """
     keep = list(keep)
-    out = df.select(F.col(text).alias("_text"), *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)], *[F.lit(None).cast(f.dataType).alias(f.name) for f in ADDED])
-    schema = T.StructType([T.StructField(f.name, f.dataType) for f in out.schema])
-    for block in blocks(benchmark, item, item_text, block_bytes):
-        out = out.mapInArrow(_scanner(df.sparkSession.sparkContext.broadcast(TestSet(block, window))), schema)
-    items = F.array_sort(F.array_distinct(F.transform(F.coalesce("matches", F.array().cast(ADDED["matches"].dataType)), lambda m: m["item"])))
-    out = out.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], "n_words", "n_hit", items.alias("items"), "matches")
+    items = prepared(benchmark, item, item_text, window)
+    held = written(held_regions(df, items, text, keep)).withColumn("_row", F.monotonically_increasing_id())  # of a written table, so it is the same each time
+    found = findings(held.where("regions is not null"), items)
+    found = F.broadcast(found) if found.count() <= BROADCAST_FOUND else found
+    each = held.where("regions is not null").select("_row", F.explode("regions").alias("r")).select("_row", F.col("r.at").alias("base"), region_key(F.col("r.ids")).alias("region")).join(found, "region")
+    moved = F.transform("matches", lambda m: F.struct(m["item"], m["item_at"], (m["at"] + F.col("base")).alias("at"), m["length"]))
+    of_row = each.groupBy("_row").agg(F.sum("n_hit").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"), F.array_sort(F.flatten(F.collect_list(moved))).alias("matches"))
+    out = held.drop("regions").join(of_row, "_row", "left")
+    n_hit = F.coalesce("n_hit", F.lit(0))
+    items_ = F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
-        *keep,
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)],
         "n_words",
-        "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        "items",
-        F.coalesce(F.array_max(F.transform("matches", lambda m: m["length"])), F.lit(0)).cast("long").alias("longest"),
-        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        n_hit.alias("n_hit"),
+        F.size(items_).cast("long").alias("n_items"),
+        items_.alias("items"),
+        F.coalesce("longest", F.lit(0)).cast("long").alias("longest"),
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
         "matches",
     )
 
 
-def clean_documents(df: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """The rows of ``df`` that are not contaminated, with the columns of ``df``."""
-    columns = df.columns
-    rows = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("row"), F.col(f"`{text}`").alias("text"))
-    kept = scan(rows, benchmark, keep=("row",), **options).where(~F.col("contaminated"))
-    return kept.select(*[F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(columns)])
+#: Texts of contaminated rows, by two hashes, up to this number are broadcast.
+BROADCAST_TEXTS = 1_000_000
+
+
+def clean_documents(df: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``df`` that are not contaminated (see ``scan``), with the columns of ``df``.
+
+    Whether a row goes depends on its text alone, so contaminated texts are removed by two
+    64-bit hashes of them; texts without a region take no further part.
+    """
+    marks = lambda x: [F.xxhash64(x).alias("_a"), F.xxhash64(F.lit(1), x).alias("_b")]
+    rows = df.select(F.col(f"`{text}`").alias("text")).select("text", F.struct(*marks(F.col("text"))).alias("key"))
+    items = prepared(benchmark, item, item_text, window)
+    held = written(held_regions(rows, items, "text", ["key"]).where("regions is not null").groupBy("c0", "n_words").agg(F.first("regions").alias("regions")))
+    found = findings(held, items)
+    found = F.broadcast(found.select("region", "n_hit")) if found.count() <= BROADCAST_FOUND else found.select("region", "n_hit")
+    each = held.select("c0", "n_words", F.explode("regions").alias("r")).select("c0", "n_words", region_key(F.col("r.ids")).alias("region")).join(found, "region")
+    bad = each.groupBy("c0", "n_words").agg(F.sum("n_hit").alias("n_hit")).where("20 * n_hit >= n_words").select("c0._a", "c0._b")
+    wide = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)]).alias("_row"), *marks(F.col(f"`{text}`")))
+    kept = wide.join(small_side(bad, BROADCAST_TEXTS), ["_a", "_b"], "left_anti")
+    return kept.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(df.columns)])
