@@ -1,8 +1,10 @@
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
+from weftlink.llm import ngram_join, runs
 from weftlink.llm.components import connected_components
 from weftlink.llm.ngram_join import Join, linked_documents
 
@@ -87,6 +89,35 @@ def test_pivot_without_a_centre_links_to_its_own_group(spark):
     assert got == brute(docs, 3, 60)
 
 
+@pytest.mark.parametrize("join", [Join(2, 70, hot=3, pivots=2), Join(3, 80, hot=5, pivots=4, table_size=40)])
+def test_short_texts_of_few_words(spark, join):
+    """All n-grams are hot, and no set is large enough for a centre."""
+    r = random.Random(9)
+    docs = list({" ".join(r.choice("abc") for _ in range(r.randrange(3, 13))): None for _ in range(260)})
+    docs = list(enumerate(docs))
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in linked_documents(spark.createDataFrame(docs, "doc_id long, text string"), join).collect()), key=str)
+    assert got == brute(docs, join.n, join.percent)
+
+
+def test_a_passage_in_every_text_costs_one_entry_a_run():
+    texts = [" ".join(f"p{i}" for i in range(40)) + f" own{k} words{k} here{k} too{k}" for k in range(300)]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(300), pa.int64())], names=["text", "ref"])
+    out = next(ngram_join._dealer(Join(4, 85), 4)(iter([batch])))
+    grams = sum(len(runs.unpack(k)) for b, k in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True) if b < 4)
+    counted = sum(len(runs.unpack(k)) for b, k in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True) if b >= 4)
+    assert counted == 300 and grams <= 40 + 4 * 300
+    met = list(ngram_join._met(4)(iter([out])))
+    live = sorted(x for b in ngram_join._enough(iter(met)) for x in b.column(0).to_pylist())
+    assert live == list(range(300))
+
+
+def test_a_long_text(spark):
+    long = " ".join(f"w{i % 70_000}" for i in range(80_000))
+    docs = [(1, long), (2, long + " more"), (3, "w1 w2 w3 w4 w5")]
+    got = {x.doc_id: x.component_id for x in linked_documents(spark.createDataFrame(docs, "doc_id long, text string"), Join(4, 85)).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
 def test_empty_table(spark):
     assert linked_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

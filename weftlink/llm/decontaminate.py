@@ -25,14 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weftlink.llm import tokens
+from weftlink.llm import runs, tokens
 from weftlink.llm.text import small_side
 from weftlink.session import written
 
 WINDOW = 13
 #: Bits of the filter for each test window, the least and the most there may be (32 MB); beyond, more regions are looked at.
 FILTER_BITS, MIN_FILTER, MAX_FILTER = 128, 1 << 22, 1 << 28
-PARTS = 16
 #: Rows of findings that are broadcast; with more both sides are shuffled.
 BROADCAST_FOUND = 200_000
 _SHORT = np.uint64(0xA5A5_5A5A_0F0F_F0F1)
@@ -51,17 +50,6 @@ def window_hashes(h: np.ndarray, before: np.ndarray, n: int) -> tuple[np.ndarray
     return at, tokens.mixed(g + _SHORT * np.uint64(n))
 
 
-def _places(g: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Two bits for each hash: their bytes and values in a filter of ``size`` bytes."""
-    bits = [(g >> np.uint64(s)) & np.uint64(8 * size - 1) for s in (0, 32)]
-    return [((b >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (b & np.uint64(7)).astype(np.uint8))) for b in bits]
-
-
-def passes(held: np.ndarray, g: np.ndarray) -> np.ndarray:
-    (a, x), (b, y) = _places(g, len(held))
-    return ((held[a] & x) != 0) & ((held[b] & y) != 0)
-
-
 ITEM = "item string, ids array<long>, n int, windows array<long>"
 
 
@@ -83,39 +71,10 @@ def _items(window: int):
     return run
 
 
-def _filter_parts(size: int):
-    """The bits of a task's windows in ``PARTS`` pieces; pieces without a bit are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(size, np.uint8)
-        for batch in batches:
-            for g in batch.column(0):
-                for where, bit in _places(g.values.to_numpy().view(np.uint64), size):
-                    np.bitwise_or.at(held, where, bit)
-        pieces = [(k, p.tobytes()) for k, p in enumerate(held.reshape(PARTS, -1)) if p.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pieces], pa.int32()), pa.array([p for _, p in pieces], pa.binary())], names=["part", "bits"])
-
-    return run
-
-
-def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for k, p in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            own = np.frombuffer(p, np.uint8)
-            held[k] = held[k] | own if k in held else own
-    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], names=["part", "bits"])
-
-
 def window_filter(items: DataFrame, windows: int) -> np.ndarray:
-    """Bits of all windows of ``items``, packed; ``MAX_FILTER`` bits at most reach the driver."""
-    size = min(MAX_FILTER, max(MIN_FILTER, 1 << (windows * FILTER_BITS).bit_length())) // 8
-    found = items.select("windows").mapInArrow(_filter_parts(size), "part int, bits binary")
-    rows = found.repartition(PARTS, "part").mapInArrow(_united, "part int, bits binary").collect()
-    out = np.zeros((PARTS, size // PARTS), np.uint8)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(r["bits"], np.uint8)
-    return out.reshape(-1)
+    """Bits of all windows of ``items``; ``MAX_FILTER`` bits at most reach the driver."""
+    own = lambda batch: (g.values.to_numpy().view(np.uint64) for g in batch.column(0))
+    return runs.filter_of(items.select("windows"), own, runs.filter_bytes(windows, FILTER_BITS, MIN_FILTER, MAX_FILTER))
 
 
 REGION = T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("ids", T.ArrayType(T.LongType()))]))
@@ -136,7 +95,7 @@ def _regions(shared):
                 change = np.zeros(len(h) + 1, np.int64)
                 for n in lengths:
                     at, g = window_hashes(h, before, n)
-                    at = at[passes(bits, g)]
+                    at = at[runs.passes(bits, g)]
                     np.add.at(change, at, 1)
                     np.add.at(change, at + n, -1)
                 if not change.any():

@@ -14,13 +14,15 @@ Steps, none of which sees all pairs of a group:
 2. The others become sets; equal ones collapse into one class. N-grams are counted over
    the classes, and the ``table_size`` most frequent ones are broadcast: they give the
    common order, in which all others, seen less often than any of them, come first.
+   Those of more than ``hot`` classes for which the table has no room are bits of a filter.
 3. N-grams of at most ``hot`` classes join as prefixes: at most so many partners for each
    row. Others are reached only by sets that consist of such n-grams almost wholly:
    members of large groups of near copies. Each is described by its difference from a
    virtual centre of its group, which is much smaller than the set. Members link to the
    member nearest to the centre when both differences are small enough together; for the
    rest, the differences are joined by their own prefixes. Members of different groups
-   are joined as in the first case.
+   are joined as in the first case. Of these sets, small ones can differ by one or two
+   n-grams only from any set that they link to; they meet where they agree without those.
 4. Candidates are verified on whole sets, and links give components.
 
 N-grams are 64-bit hashes; two that collide within a pair of documents count as one
@@ -88,8 +90,12 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 #: A reference to a row in the sieve: 40 bits of its hash, and the matches it asks for, rounded down.
 REF_BITS = 40
 _STEPS = np.unique(np.concatenate([np.arange(1, 40), np.geomspace(40, 1 << 24, 216).astype(np.int64)]))[:255]
-#: Centres of groups that are broadcast, some kilobytes each; with more, sets are shuffled by group.
+#: What stands for all rows of a run that have an n-gram in common.
+MARK = np.uint64((1 << 48) - 1)
+#: Centres of groups that are broadcast, if their n-grams are few enough too; with more, sets are shuffled by group.
 PIVOT_SETS = 5_000
+#: Bits of the filter for each hot n-gram outside the table, and the least and most there may be (32 MB).
+FILTER_BITS, MIN_FILTER, MAX_FILTER = 16, 1 << 10, 1 << 28
 #: Rows of a broadcast table of references or classes, 16 bytes each; beyond it Spark splits the hot keys of a shuffle.
 BROADCAST_REFS = 2_000_000
 
@@ -105,7 +111,12 @@ def _joined(planes: bytes, width: int) -> np.ndarray:
 
 
 def _dealer(join: Join, parts: int):
-    """Prefixes in hash order, each n-gram with a reference to its row, by n-gram."""
+    """Prefixes in hash order, each n-gram with a reference to its row, by n-gram.
+
+    Rows of a run that share an n-gram have met there: they are counted at once (in buckets
+    from ``parts`` on, by row), and one mark goes out for all of them. So an n-gram that a
+    third of all rows share costs one entry a run.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, int]] = []
@@ -116,9 +127,14 @@ def _dealer(join: Join, parts: int):
             refs = np.repeat(np.array([r for _, r in held], np.uint64), [len(g) for g, _ in held])
             part = (grams & np.uint64(0xFFFFF)) % np.uint64(parts)
             order = np.lexsort((grams, part))
-            grams, refs, part = grams[order] >> np.uint64(20), refs[order], part[order]
+            grams, refs, part = grams[order], refs[order], part[order]
+            same = grams[1:] == grams[:-1]
+            first, shared = np.append(True, ~same), np.append(same, False) | np.append(False, same)
+            found = _counted(refs[shared], parts, parts)
+            refs[shared] = MARK
+            grams, refs, part = grams[first] >> np.uint64(20), refs[first], part[first]
             cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
-            found = [(b, runs.pack(grams[lo:hi]), _planes(refs[lo:hi], 6)) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+            found += [(b, runs.pack(grams[lo:hi]), _planes(refs[lo:hi], 6)) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
             return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary())], names=["bucket", "keys", "refs"])
 
         for batch in batches:
@@ -139,14 +155,28 @@ def _dealer(join: Join, parts: int):
     return run
 
 
+def _counted(refs: np.ndarray, parts: int, base: int) -> list[tuple[int, bytes, bytes]]:
+    """(bucket, references, counts) of rows by reference, in buckets from ``base`` on."""
+    ref, n = np.unique(refs, return_counts=True)
+    part = (ref >> np.uint64(8)) % np.uint64(parts)
+    order = np.argsort(part, kind="stable")
+    ref, n = ref[order], n[order]
+    cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64)).tolist()
+    return [(base + b, runs.pack(ref[lo:hi]), runs.pack_counts(n[lo:hi])) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
+
+
 def _met(parts: int):
-    """How many n-grams of this range each row shares with another row, by reference."""
+    """How many n-grams of this range each row shares with another row, by reference; what runs counted goes on as it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, refs = [], []
+        batch_of = lambda found: pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), pa.array([f[2] for f in found], pa.binary())], names=["bucket", "keys", "refs"])
         for batch in batches:
-            keys += [runs.unpack(k) for k in batch.column(1).to_pylist()]
-            refs += [_joined(r, 6) for r in batch.column(2).to_pylist()]
+            own = list(zip(*[c.to_pylist() for c in batch.columns], strict=True))
+            if done := [(b - parts, k, r) for b, k, r in own if b >= parts]:
+                yield batch_of(done)
+            keys += [runs.unpack(k) for b, k, _ in own if b < parts]
+            refs += [_joined(r, 6) for b, _, r in own if b < parts]
         if not keys:
             return
         k, r = np.concatenate(keys), np.concatenate(refs)
@@ -154,13 +184,7 @@ def _met(parts: int):
         order = np.argsort(k, kind="stable")
         k, r = k[order], r[order]
         same = k[1:] == k[:-1]
-        ref, n = np.unique(r[np.append(same, False) | np.append(False, same)], return_counts=True)
-        part = (ref >> np.uint64(8)) % np.uint64(parts)
-        order = np.argsort(part, kind="stable")
-        ref, n = ref[order], n[order]
-        cuts = np.searchsorted(part[order], np.arange(parts + 1, dtype=np.uint64)).tolist()
-        found = [(b, ref[lo:hi], n[lo:hi]) for b, (lo, hi) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if hi > lo]
-        yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int32()), pa.array([runs.pack(f[1]) for f in found], pa.binary()), pa.array([runs.pack_counts(f[2]) for f in found], pa.binary())], names=["bucket", "keys", "refs"])
+        yield batch_of(_counted(r[(np.append(same, False) | np.append(False, same)) & (r != MARK)], parts, 0))
 
     return run
 
@@ -223,17 +247,30 @@ def _counter(join: Join, buckets: int):
     return run
 
 
-def frequent(grams: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of the most frequent n-grams, and the number of sets that have each.
+def frequent(grams: DataFrame, join: Join) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Sorted keys of the most frequent n-grams, the number of sets that have each, and a filter.
 
     All sets are counted. The table has ``table_size`` entries at most, the largest
-    counts first: that bounds what reaches the driver and is broadcast.
+    counts first: that bounds what reaches the driver and is broadcast. If n-grams of more
+    than ``hot`` sets are left out, the filter has their bits, so none of them passes as
+    rare; what passes by chance is only treated with more care.
     """
     parts = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = grams.mapInArrow(_counter(join, 1 << (2 * parts - 1).bit_length()), runs.SCHEMA)
     shared = checkpointed(found.repartition(parts, "bucket").mapInArrow(runs.merger(2), runs.SCHEMA))
-    keys, counts, _ = runs.top(shared, runs.totals(shared), join.table_size, 2)
-    return keys, counts.astype(np.int32)
+    hist = runs.totals(shared)
+    keys, counts, cut = runs.top(shared, hist, join.table_size, 2)
+    left = sum(n for value, n, _ in hist if join.hot < value < cut)
+    bits = None
+    if left:
+
+        def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+            for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                n = runs.unpack_counts(c)
+                yield tokens.mixed(runs.unpack(k)[(n > join.hot) & (n < cut)])
+
+        bits = runs.filter_of(shared, hashes, runs.filter_bytes(left, FILTER_BITS, MIN_FILTER, MAX_FILTER))
+    return keys, counts.astype(np.int32), bits
 
 
 ORDERED = "key long, root {id}, n long, grams array<long>, cold int, first int, prefix int, matches int"
@@ -244,23 +281,23 @@ def _preparer(join: Join, shared):
 
     cold: n-grams that are not hot; first: length of the 1-prefix; prefix: of the prefix
     taken; matches: what it asks for. An n-gram outside the table counts as one of two sets,
-    whether or not the table has all that are shared.
+    or as hot if the filter has it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts = shared.value
+        table, counts, bits = shared.value
         shift = np.uint64(64 - join.key_bits)
         for batch in batches:
             out: dict[str, list] = {c: [] for c in ("n", "grams", "cold", "first", "prefix", "matches")}
             for found in batch.column(2):
                 s = found.values.to_numpy().view(np.uint64)
                 n = len(s)
+                k, df = s >> shift, np.full(n, 2)
+                if bits is not None:
+                    df[runs.passes(bits, tokens.mixed(k))] = join.hot + 1
                 if len(table):
-                    k = s >> shift
                     at = np.minimum(np.searchsorted(table, k), len(table) - 1)
-                    df = np.where(table[at] == k, counts[at], 2)
-                else:
-                    df = np.full(n, 2)
+                    df = np.where(table[at] == k, counts[at], df)
                 need = join.needed(n)
                 order = np.lexsort((s, df))
                 df = df[order]
@@ -285,9 +322,9 @@ def _sized(join: Join, a: str, b: str):
 def cold_candidates(classes: DataFrame, join: Join) -> DataFrame:
     """Pairs (a, b) that share enough n-grams of their prefixes, none of them hot.
 
-    An n-gram that is not hot has at most ``hot`` sets (or fewer than the least count in
-    a full table, if that is more), so a row meets at most so many others. A longer prefix is taken only where it has no hot n-gram; a set whose
-    prefix has some asks for one match.
+    An n-gram that is not hot has at most ``hot`` sets, so a row meets at most so many
+    others. A longer prefix is taken only where it has no hot n-gram; a set whose prefix has
+    some asks for one match.
     """
     end = F.least("prefix", "cold")
     rows = classes.where(end > 0).select("key", "n", "matches", F.explode(F.slice("grams", F.lit(1), end)).alias("gram"))
@@ -312,12 +349,12 @@ def grouped(hot: DataFrame, join: Join) -> DataFrame:
     hub = votes.groupBy("key").agg(F.min_by("hub", F.struct(-F.col("votes"), F.col("hub"))).alias("hub"))
     hub = hub.union(pivot.select("key", F.col("key").alias("hub")).join(hub, "key", "left_anti"))  # a pivot without a centre is its own: no set outside a group has a hub's key
     centre = pivot.select(F.col("key").alias("hub"), F.col("grams").alias("centre"))
-    member = hot.select("key", "n", "grams").join(hub, "key").join(small_side(centre, PIVOT_SETS), "hub")
+    member = hot.select("key", "n", "grams").join(hub, "key").join(small_side(centre, PIVOT_SETS, 8 * F.size("centre")), "hub")
     other = lambda a, b: F.concat(F.array_except(a, b), F.array_except(b, a))
     member = checkpointed(member.select("key", "n", "hub", other(F.col("grams"), F.col("centre")).alias("diff")))
     size = member.groupBy("hub").agg(F.count("*").alias("size"))
     common = member.select("hub", F.explode("diff").alias("gram")).groupBy("hub", "gram").agg(F.count("*").alias("c")).join(small_side(size), "hub").where("2 * c > size").groupBy("hub").agg(F.collect_list("gram").alias("flip"))
-    moved = member.join(small_side(common, PIVOT_SETS), "hub", "left")
+    moved = member.join(small_side(common, PIVOT_SETS, 8 * F.size("flip")), "hub", "left")
     return checkpointed(moved.select("key", "n", "hub", F.when(F.col("flip").isNull(), F.col("diff")).otherwise(other(F.col("diff"), F.col("flip"))).alias("diff")))
 
 
@@ -372,6 +409,38 @@ def cross_candidates(hot: DataFrame, member: DataFrame, join: Join) -> DataFrame
     return pairs.select(F.least("key_a", "key_b").alias("a"), F.greatest("key_a", "key_b").alias("b")).distinct()
 
 
+def few(join: Join) -> int:
+    """The largest size of which a set differs by two n-grams at most from any set that it links to."""
+    p, n = join.percent, 0
+    while (100 - p) * (n + 1 + 100 * (n + 1) // p) < 3 * (100 + p):
+        n += 1
+    return n
+
+
+def small_candidates(hot: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) that connect all linked sets of which the smaller has ``few`` n-grams at most.
+
+    Every set is dealt out whole, without each n-gram, and without each two, as far as a set
+    of the rest's size could link to it. Sets that meet so agree in all else, so all that
+    meet are linked: each is paired with the whole one and with the first of those that lack
+    one. The pairs are as many as the sets dealt out.
+    """
+    p = join.percent
+    rows = hot.where(F.col("n") <= 100 * few(join) // p).select("key", "n", F.transform("grams", lambda g: F.xxhash64(g)).alias("h"))
+    rows = rows.withColumn("whole", F.aggregate("h", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(x)))
+    one = F.transform("h", lambda x: F.col("whole").bitwiseXOR(x))
+    two = F.flatten(F.transform("h", lambda x, i: F.transform(F.slice("h", i + 2, F.size("h")), lambda y: F.col("whole").bitwiseXOR(x).bitwiseXOR(y))))
+    none = F.array().cast("array<bigint>")
+    levels = [F.array("whole"), F.when(100 * (F.col("n") - 1) >= p * F.col("n"), one).otherwise(none), F.when(100 * (F.col("n") - 2) >= p * F.col("n"), two).otherwise(none)]
+    dealt = rows.select("key", "n", F.posexplode(F.array(*levels)).alias("level", "cores")).select("key", "level", (F.col("n") - F.col("level")).alias("m"), F.explode("cores").alias("core"))
+    met = dealt.groupBy("core", "m").agg(F.count("*").alias("c"), F.min(F.when(F.col("level") == 0, F.col("key"))).alias("zero"), F.min(F.when(F.col("level") == 1, F.col("key"))).alias("first")).where("c > 1")
+    both = dealt.join(met, ["core", "m"])
+    near = 100 * F.col("m") >= p * (F.col("m") + 2)
+    ends = F.array(F.when(F.col("level") > 0, F.col("zero")), F.when((F.col("level") == 1) & near, F.col("first")))
+    pairs = both.select("key", F.explode(ends).alias("other")).where("other is not null and other <> key")
+    return pairs.select(F.least("key", "other").alias("a"), F.greatest("key", "other").alias("b")).distinct()
+
+
 def verified(pairs: DataFrame, classes: DataFrame, join: Join) -> DataFrame:
     """The pairs whose whole sets reach the threshold."""
     side = lambda x: classes.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("grams").alias(f"grams_{x}"))
@@ -386,8 +455,9 @@ def linked_documents(df: DataFrame, join: Join = Join(), key: str = "doc_id", te
     component_id is the smallest id that links reach from the row, its own included.
     Texts without words are empty sets and linked with nothing, so each keeps its own
     id. Rows with equal sets are linked; repeated ids are rows of their own; a null id
-    is never the smallest, so a component of such rows alone has none. Other columns
-    are not read. An empty table gives no rows.
+    is never the smallest, so a component of such rows alone has none. Very long texts are
+    sets as others; ties of ids cannot matter. Other columns are not read, and their names
+    cannot clash. An empty table gives no rows.
     """
     docs = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).bitwiseAND((1 << REF_BITS) - 1).alias("ref"))
     share = df.sparkSession.sparkContext.broadcast
@@ -400,8 +470,9 @@ def linked_documents(df: DataFrame, join: Join = Join(), key: str = "doc_id", te
     table = share(frequent(found.select("grams"), join))
     classes = checkpointed(found.mapInArrow(_preparer(join, table), ORDERED.format(id=kind)))
     hot = classes.where(F.col("first") > F.col("cold"))
-    member = grouped(hot, join)
-    candidates = checkpointed(cold_candidates(classes, join).union(cross_candidates(hot, member, join)).distinct())
+    large = hot.where(F.col("n") > few(join))  # of two sets that share hot n-grams only, either both are large or the small way finds them
+    member = grouped(large, join)
+    candidates = checkpointed(cold_candidates(classes, join).union(cross_candidates(large, member, join)).union(small_candidates(hot, join)).distinct())
     edges = verified(candidates, classes, join).union(group_links(member, join))
     parts = connected_components(edges)
     named = parts.join(classes.select(F.col("key").alias("node"), "root"), "node")

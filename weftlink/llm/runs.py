@@ -156,3 +156,51 @@ def top(merged: DataFrame, hist: list[tuple[int, int, int]], size: int, least: i
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), cut
     keys, counts = summed([unpack(r["keys"]) for r in found], [unpack_counts(r["counts"]) for r in found])
     return keys, counts, cut
+
+
+#: Pieces in which a filter of bits travels.
+PIECES = 16
+
+
+def places(h: np.ndarray, size: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two bits for each hash: their bytes and values in a filter of ``size`` bytes, a power of two."""
+    bits = [(h >> np.uint64(s)) & np.uint64(8 * size - 1) for s in (0, 32)]
+    return [((b >> np.uint64(3)).astype(np.int64), np.left_shift(np.uint8(1), (b & np.uint64(7)).astype(np.uint8))) for b in bits]
+
+
+def passes(held: np.ndarray, h: np.ndarray) -> np.ndarray:
+    (a, x), (b, y) = places(h, len(held))
+    return ((held[a] & x) != 0) & ((held[b] & y) != 0)
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, p in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            own = np.frombuffer(p, np.uint8)
+            held[k] = held[k] | own if k in held else own
+    yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([p.tobytes() for p in held.values()], pa.binary())], names=["piece", "bits"])
+
+
+def filter_of(df: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], size: int) -> np.ndarray:
+    """A filter of ``size`` bytes with the bits of all hashes that ``hashes`` takes from a batch; it alone reaches the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size, np.uint8)
+        for batch in batches:
+            for h in hashes(batch):
+                for where, bit in places(h, size):
+                    np.bitwise_or.at(held, where, bit)
+        found = [(k, p.tobytes()) for k, p in enumerate(held.reshape(PIECES, -1)) if p.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([p for _, p in found], pa.binary())], names=["piece", "bits"])
+
+    schema = "piece int, bits binary"
+    out = np.zeros((PIECES, size // PIECES), np.uint8)
+    for r in df.mapInArrow(run, schema).repartition(PIECES, "piece").mapInArrow(_united, schema).collect():
+        out[r["piece"]] = np.frombuffer(r["bits"], np.uint8)
+    return out.reshape(-1)
+
+
+def filter_bytes(n: int, bits: int, least: int, most: int) -> int:
+    """A power of two that gives each of ``n`` hashes so many bits, within bounds in bits."""
+    return min(most, max(least, 1 << (n * bits).bit_length())) // 8

@@ -21,7 +21,11 @@ def sum_of(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x.cast("long"))
 
 
-def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """``df`` written down, and marked for broadcast if it has no more than ``rows`` rows; beyond that a join shuffles."""
+def small_side(df: DataFrame, rows: int = 100_000, size: Column | None = None, most: int = 64 << 20) -> DataFrame:
+    """``df`` written down, and marked for broadcast if it has no more than ``rows`` rows; beyond that a join shuffles.
+
+    ``size``: the bytes of a row, where rows have no small bound; their sum may be ``most``.
+    """
     df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= rows else df
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0)) if size is not None else F.lit(0)).first()
+    return F.broadcast(df) if n <= rows and held <= most else df
