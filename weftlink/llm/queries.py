@@ -37,7 +37,7 @@ def op5_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard(table(spark, sf_dir, "documents"))[0]
+    return sharding.shard(table(spark, sf_dir, "documents"), store=sharding.map_store(spark, sf_dir))[0]
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

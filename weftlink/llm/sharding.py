@@ -8,12 +8,15 @@ holds each slot. Rebalancing edits the map: it moves slots, never single records
 
 from __future__ import annotations
 
+import hashlib
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftlink.session import shared_dir
+
 N_SLOTS = 4096  # three hex digits of the MD5
 
 
@@ -71,18 +74,45 @@ class SlotMap:
                 edits.append((s, k, new))
         return SlotMap(new + 1, tuple(shard_of), self.version + 1, tuple(edits))
 
-    def save(self, spark: SparkSession, path: str) -> None:
-        """Adds this version to the table at ``path``."""
-        spark.range(N_SLOTS).select(F.col("id").cast("int").alias("virtual_slot"), looked_up(self.shard_of, F.col("id").cast("int")).cast("int").alias("shard"), F.lit(self.version).alias("version"), F.lit(self.n_shards).alias("n_shards")).coalesce(1).write.mode("append").parquet(path)
+    def save(self, spark: SparkSession, path: str) -> bool:
+        """Writes this version and its edits below ``path``; false if the version is there already.
+
+        A version is claimed by creating one file, which a file system does for one writer
+        only, and counts from the moment that Spark marks its table as whole.
+        """
+        own = f"{path}/version={self.version:08d}"
+        hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+        claim = hadoop.fs.Path(f"{path}/claims/{self.version:08d}")
+        fs = claim.getFileSystem(conf)
+        fs.mkdirs(claim.getParent())
+        if not fs.createNewFile(claim) and fs.exists(hadoop.fs.Path(own, "_SUCCESS")):
+            return False
+        moved = spark.createDataFrame([*self.edits], "virtual_slot int, moved_from int, to int").drop("to")
+        slots = spark.range(N_SLOTS).select(F.col("id").cast("int").alias("virtual_slot"), looked_up(self.shard_of, F.col("id").cast("int")).cast("int").alias("shard"), F.lit(self.n_shards).alias("n_shards"))
+        slots.join(F.broadcast(moved), "virtual_slot", "left").coalesce(1).write.mode("overwrite").parquet(own)  # N_SLOTS rows at most
+        return True
+
+    @classmethod
+    def versions(cls, spark: SparkSession, path: str) -> list[int]:
+        """The versions at ``path`` that are whole."""
+        hadoop, conf = spark._jvm.org.apache.hadoop, spark._jsc.hadoopConfiguration()
+        root = hadoop.fs.Path(path)
+        fs = root.getFileSystem(conf)
+        if not fs.exists(root):
+            return []
+        names = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("version=")]
+        return sorted(int(n.getName()[8:]) for n in names if fs.exists(hadoop.fs.Path(n, "_SUCCESS")))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
-        """The newest version at ``path``, or the one asked for."""
-        table = spark.read.parquet(path)
-        if version is None:
-            version = table.agg(F.max("version")).first()[0]
-        rows = table.where(F.col("version") == version).orderBy("virtual_slot").collect()
-        return cls(rows[0]["n_shards"], tuple(r["shard"] for r in rows), version)
+        """The newest whole version at ``path``, or the one asked for; raises if there is none."""
+        known = cls.versions(spark, path)
+        if not known or version is not None and version not in known:
+            raise ValueError(f"{path} has no version {'at all' if version is None else version}")
+        version = known[-1] if version is None else version
+        rows = spark.read.parquet(f"{path}/version={version:08d}").orderBy("virtual_slot").collect()
+        edits = tuple((r["virtual_slot"], r["moved_from"], r["shard"]) for r in rows if r["moved_from"] is not None)
+        return cls(rows[0]["n_shards"], tuple(r["shard"] for r in rows), version, edits)
 
 
 def looked_up(values: tuple[int, ...] | list[int], index: Column) -> Column:
@@ -105,19 +135,33 @@ def sized(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     )
 
 
-def shard(df: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", current: SlotMap | None = None) -> tuple[DataFrame, SlotMap]:
+def shard(df: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "text", current: SlotMap | None = None, store: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Every record with its shard and its gapless place in it, and the map used.
 
-    ``current`` is the map in force (version 0 if none); the one returned is its
-    rebalanced next version. The law is ``bytes``. Records with a null id take the
-    slot of their text; equal rows lie in one slot, side by side. The place of a
-    record is the number of rows in earlier slots of its shard plus its rank in its
-    slot, so no task sorts more than one slot. A null text has size 1 and the CRC of
-    an empty text. An empty table gives no rows and moves nothing.
+    ``current`` is the map in force; without one it is the newest version at ``store``, or
+    version 0. It is edited where slots must move to keep bytes even, and the edited map is
+    the next version, which is added to ``store``; if nothing has to move, the version in
+    force stays. The law is ``bytes``.
+
+    A record's slot is the hash of its id, for good. Equal texts of different ids so lie
+    apart: a group of copies may hold a third of all bytes, which no shard could take whole.
+    Records with a null id take the slot of their text; equal rows lie in one slot, side by
+    side. The place of a record is the number of rows in earlier slots of its shard plus its
+    rank in its slot by id, CRC and size, so no task sorts more than one slot. A null text
+    has size 1 and the CRC of an empty text; a very long one is a record as others. Only id
+    and text are read, so other columns cannot clash. An empty table gives no rows and moves
+    nothing.
     """
-    records = sized(df, key, text)
+    spark, records = df.sparkSession, sized(df, key, text)
     sums = {r["virtual_slot"]: (r["b"], r["n"]) for r in records.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect()}  # N_SLOTS rows at most
-    table = (current or SlotMap.initial(n_shards)).rebalanced({s: b for s, (b, _) in sums.items()})
+    if current is None and store is not None and SlotMap.versions(spark, store):
+        current = SlotMap.load(spark, store)
+    known = current or SlotMap.initial(n_shards)
+    table = known.rebalanced({s: b for s, (b, _) in sums.items()})
+    if current is not None and not table.edits:
+        table = known
+    elif store is not None:
+        table.save(spark, store)
     first, filled = [0] * N_SLOTS, [0] * table.n_shards
     for s in range(N_SLOTS):
         first[s] = filled[table.shard_of[s]]
@@ -135,3 +179,8 @@ def shard(df: DataFrame, n_shards: int = 8, key: str = "doc_id", text: str = "te
         F.lit(table.version).alias("map_version"),
     )
     return out, table
+
+
+def map_store(spark: SparkSession, name: str) -> str:
+    """Where the map of a table is kept: in the shared folder, under a digest of the table's name."""
+    return f"{shared_dir(spark).rstrip('/')}/slot-maps/{hashlib.md5(name.encode()).hexdigest()}"
