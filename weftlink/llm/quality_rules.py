@@ -2,7 +2,7 @@
 
 Every document is measured once (one narrow pass over its whole text), its rule
 failures are added up per host, the failure rate of each host is shrunk with a
-beta prior fitted to all hosts by the method of moments, and the verdict on the
+beta prior fitted to all hosts by moments, and the verdict on the
 host is joined back. Measures are kept as a narrow table, so the text is read
 once; the sums per host are partial on the map side, so a host with a third of
 all rows costs a few rows in the shuffle. The join with the verdicts carries no
@@ -84,14 +84,19 @@ def soft_failed(r: Rules) -> Column:
 def host_verdicts(docs: DataFrame, r: Rules, host: str = "host") -> DataFrame:
     """(host, n_docs, n_failed, host_rate, host_rejected) from rows with ``failed``.
 
-    The prior is beta(a, b) with the mean and variance of the hosts' raw rates;
-    where the hosts do not differ, its strength is ``prior_strength``.
+    The prior is beta(a, b) with the mean over all documents and the variance between hosts
+    that is left when the variance of sampling so many documents of each is taken off;
+    hosts count by their documents. Where nothing is left, hosts do not differ, and the
+    prior weighs as much as all documents, or ``prior_strength`` if that is more.
     """
     hosts = checkpointed(docs.groupBy(host).agg(F.count("*").alias("n_docs"), F.sum(F.col("failed").cast("long")).alias("n_failed")))
-    rate = F.col("n_failed") / F.col("n_docs")
-    m, v = hosts.agg(F.avg(rate), F.var_pop(rate)).first()
-    m, v = m or 0.0, v or 0.0
-    strength = m * (1 - m) / v - 1 if v > 1e-12 and m * (1 - m) > v else r.prior_strength
+    n, k = F.col("n_docs").cast("double"), F.col("n_failed").cast("double")
+    hosts_, w, bad, squares, rates = hosts.agg(F.count("*"), F.sum(n), F.sum(k), F.sum(n * n), F.sum(k * k / n)).first()
+    w, bad = w or 0.0, bad or 0.0
+    m = bad / w if w else 0.0
+    free = w - squares / w - (hosts_ - 1) if w else 0.0
+    rho = (rates - w * m * m - m * (1 - m) * (hosts_ - 1)) / (m * (1 - m) * free) if 0 < m < 1 and free > 1e-9 else 0.0
+    strength = max(1 / rho - 1, 1e-6) if rho > 1e-9 else max(w, r.prior_strength)
     shrunk = (F.col("n_failed") + F.lit(m * strength)) / (F.col("n_docs") + F.lit(strength))
     return hosts.withColumn("host_rate", F.round(shrunk, 6)).withColumn("host_rejected", shrunk > r.max_host_rate)
 
@@ -101,15 +106,16 @@ def judge(df: DataFrame, r: Rules = Rules(), text: str = "text", host: str = "so
 
     A row goes if it breaks one of the first two rules, or if its host is rejected
     and it breaks any other rule; clean rows of a rejected host stay. A null host
-    is a host of its own. Repeated rows are judged alike and all returned; an empty
-    table gives no rows. Further columns of ``df`` are not read.
+    is a host of its own. Repeated rows and ties are judged alike and all returned; a very
+    long text is measured whole; an empty table gives no rows. Further columns of ``df``
+    are not read. A column in ``keep`` stands in place of a result of its name.
     """
-    own = df.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("_text"))
+    own = df.select(F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]).alias("_keep"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.col(f"`{text}`").alias("_text"))
     m = measured(own, "_text").drop("_text").withColumn("base_failed", base_failed(r))
     m = checkpointed(m.withColumn("soft_failed", soft_failed(r)).withColumn("failed", F.col("base_failed") | F.col("soft_failed")))
     out = m.join(host_verdicts(m, r), "host")
     out = out.withColumn("kept", ~F.col("base_failed") & ~(F.col("host_rejected") & F.col("soft_failed")))
-    return out.withColumnsRenamed({f"_k_{c}": c for c in keep})
+    return out.select(*[F.col("_keep")[f"c{i}"].alias(c) for i, c in enumerate(keep)], *[c for c in out.columns if c not in keep and c != "_keep"])
 
 
 def kept_documents(df: DataFrame, r: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
@@ -119,7 +125,7 @@ def kept_documents(df: DataFrame, r: Rules = Rules(), text: str = "text", host:
     applied to its row in place, so texts are not shuffled by document.
     """
     columns = df.columns
-    own = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("_row"), F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("_text"))
+    own = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("_row"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.col(f"`{text}`").alias("_text"))
     m = measured(own, "_text").drop("_text").withColumns({"base_failed": base_failed(r), "soft_failed": soft_failed(r), "failed": base_failed(r) | soft_failed(r), "_part": F.spark_partition_id()})
     verdicts = small_side(host_verdicts(m.select("host", "failed"), r).where("host_rejected").select("host", "host_rejected"), BROADCAST_HOSTS)
     # a condition on the partition keeps Spark from moving the filter below the measures, which it would then repeat for every word

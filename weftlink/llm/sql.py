@@ -31,7 +31,8 @@ c AS (SELECT rid, count(DISTINCT i + k) AS n FROM r, unnest([0, 1, 2]) AS v(k) G
 m AS (SELECT w.rid, doc_id, host, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '{BLANKS}', '', 'g'))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls) AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN c USING (rid)),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 100 * n_symbols > 10 * n_words OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words AS soft_failed FROM m),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR soft_failed) AS k FROM f GROUP BY 1),
-p AS (SELECT avg(k / n) AS a, var_pop(k / n) AS v FROM h), q AS (SELECT a, CASE WHEN v > 1e-12 AND a * (1 - a) > v THEN a * (1 - a) / v - 1 ELSE 10 END AS s FROM p),
+p AS (SELECT count(*) AS h, sum(n)::DOUBLE AS w, sum(k) / sum(n) AS a, sum(n::DOUBLE * n) AS sq, sum(k::DOUBLE * k / n) AS rates FROM h), v AS (SELECT *, w - sq / w - (h - 1) AS free FROM p),
+u AS (SELECT *, CASE WHEN a > 0 AND a < 1 AND free > 1e-9 THEN (rates - w * a * a - a * (1 - a) * (h - 1)) / (a * (1 - a) * free) ELSE 0 END AS rho FROM v), q AS (SELECT a, CASE WHEN rho > 1e-9 THEN greatest(1 / rho - 1, 1e-6) ELSE greatest(w, 10) END AS s FROM u),
 z AS (SELECT host, (k + a * s) / (n + s) AS rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (rate > 0.5 AND soft_failed) AS kept, soft_failed, round(rate, 6) AS host_rate, rate > 0.5 AS host_rejected FROM f JOIN z USING (host)"""
 
