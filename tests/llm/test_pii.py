@@ -63,6 +63,50 @@ def test_checksums_and_context():
     assert high > low
 
 
+def test_account_numbers_end_where_the_checksum_holds():
+    part = lambda t: [t[s.start : s.end] for s in pii.find(t) if s.kind == "iban"]
+    assert part("DE89 3704 0044 0532 0130 00 EUR 100") == ["DE89 3704 0044 0532 0130 00"]
+    assert part("DE89370400440532013000 BIC COBADEFF") == ["DE89370400440532013000"]
+    assert part("GB82 WEST 1234 5698 7654 32 AND MORE") == ["GB82 WEST 1234 5698 7654 32"]
+
+
+def test_context_is_words():
+    score = lambda t: pii.find(t)[0].score
+    assert score("shipping 10.0.0.1") < score("ip 10.0.0.1") and score("hotel +49 30 1234567") < score("tel +49 30 1234567")
+    assert score("cards: 4111 1111 1111 1111") > score("discarded 4111 1111 1111 1111")
+
+
+ADDED = {
+    "ssn": r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])",
+    "mac": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{2}:){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:])",
+    "birthdate": r"(?<![0-9])(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9])",
+}
+
+
+def test_added_spans_against_all_pairs():
+    r = random.Random(3)
+    pieces = ["123-45-6789", "ssn", "social", "born", "1987-02-11", "00:1a:2B:3c:4d:5e", "mac", "device", "a@b.cd", "10.0.0.1", "+49 30 1234567", " ", " ", "-", "example", "word", "x", "DE89 3704 0044 0532 0130 00"]
+    some = 0
+    for _ in range(2500):
+        text = "".join(r.choice(pieces) + r.choice([" ", "", "."]) for _ in range(r.randrange(9)))
+        taken = [(s.start, s.end) for s in pii.find(text) if s.kind in (*pii.BASE_KINDS, "iban")]
+        want = []
+        for d in pii.DETECTORS[5:]:
+            own = []
+            for m in re.finditer(ADDED[d.kind], text):
+                a, b = m.span()
+                near = [w for w in re.finditer(r"[^\W_]+", text[:a]) if w.start() >= a - 40] + [w for w in re.finditer(r"[^\W_]+", text[b:]) if w.end() <= 40]
+                hit = lambda known: any(w.group().lower().startswith(k) and len(w.group()) <= len(k) + 3 for w in near for k in known)  # noqa: E731, B023
+                if d.score + 0.3 * hit(d.near) - 0.2 * hit(pii.AGAINST) >= 0.5 and not any(x < b and a < y for x, y in taken):
+                    own.append((a, b))
+            want += [(d.kind, *x) for x in own]
+            taken += own
+        got = [(s.kind, s.start, s.end) for s in pii.find(text) if s.kind in ADDED]
+        assert sorted(got) == sorted(want), text
+        some += len(want)
+    assert some > 100
+
+
 def test_long_runs_stay_linear():
     assert pii.find("a" * 300_000 + "@") == [] and pii.find("1" * 300_000) == []
 
