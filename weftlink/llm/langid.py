@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftlink.llm import tokens
+from weftlink.llm.text import dealt_sample
+from weftlink.session import checkpointed
 
 BUCKETS, SIZE = 1 << 15, 16
 GRAMS = (2, 3, 4)
@@ -29,9 +31,16 @@ _FACTOR = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds and settings of the fit; ``rows`` labelled rows at most are used."""
+    """Bounds and settings of the fit; about ``rows`` labelled rows at most are used.
+
+    They are dealt out to the ``labels`` most frequent languages in equal parts, so a rare
+    language is learned from all its rows; of each text the ``terms`` most frequent n-grams
+    count.
+    """
 
     rows: int = 4000
+    labels: int = 200
+    terms: int = 2048
     epochs: int = 4
     batch: int = 32
     rate: float = 0.3
@@ -150,33 +159,38 @@ def fit(examples: list[tuple[str, np.ndarray, np.ndarray, bool]], t: Training =
     return model
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _examples(t: Training):
     """Features of each sampled text and of a short piece from its middle, as short texts look different."""
-    for batch in batches:
-        out: list[tuple] = []
-        for lang, text, held, h in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            w = text.split()
-            short = " ".join(w[len(w) // 2 : len(w) // 2 + 8])
-            for piece in (text, short):
-                at, v = features(piece)
-                out.append((lang, at, v, held, h))
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.float32())), pa.array([x[3] for x in out], pa.bool_()), pa.array([x[4] for x in out], pa.int64())], names=["lang", "at", "v", "held", "h"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for lang, text, held, h in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                w = text.split()
+                for piece in (text, " ".join(w[len(w) // 2 : len(w) // 2 + 8])):
+                    at, v = features(piece)
+                    if len(at) > t.terms:
+                        most = np.sort(np.argsort(-v, kind="stable")[: t.terms])
+                        at, v = at[most], v[most]
+                    out.append((lang, at, v, held, h))
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.list_(pa.int32())), pa.array([x[2] for x in out], pa.list_(pa.float32())), pa.array([x[3] for x in out], pa.bool_()), pa.array([x[4] for x in out], pa.int64())], names=["lang", "at", "v", "held", "h"])
+
+    return run
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", t: Training = Training()) -> Model | None:
-    """A model from the labelled rows of ``df`` whose crc32(id as text) mod 4 is not 2.
+    """A model from the labelled rows of ``df`` whose crc32(id as text) mod 4 is not 2; None without any.
 
-    The sample is the rows with the least hashes, ``t.rows`` of them; all rows take part
-    in that choice.
+    The sample (``dealt_sample``) is chosen by hashes of id and text; repeated rows take one
+    place in it, very long texts are read whole. Only what ``Training`` bounds reaches the
+    driver.
     """
     rows = df.where(F.col(f"`{lang}`").isNotNull() & F.col(f"`{text}`").isNotNull() & (F.pmod(crc(F.col(f"`{key}`")), F.lit(4)) != 2))
-    rows = rows.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.lit(t.seed), F.col(f"`{key}`"), F.col(f"`{text}`")).alias("h"))
-    least = rows.select("h").orderBy("h").limit(t.rows).agg(F.max("h")).first()[0]
-    if least is None:
-        return None
+    rows = rows.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"), F.shiftrightunsigned(F.xxhash64(F.lit(t.seed), F.col(f"`{key}`"), F.col(f"`{text}`")), 1).alias("h"))
+    chosen = checkpointed(dealt_sample(rows, "lang", "h", t.rows, t.labels))
     held = F.pmod(F.xxhash64("h"), F.lit(1000)) < int(1000 * t.calibration)
-    sample = rows.where(F.col("h") <= least).limit(2 * t.rows)  # equal rows have equal hashes
-    found = sample.select("lang", "text", held.alias("held"), "h").mapInArrow(_examples, "lang string, at array<int>, v array<float>, held boolean, h long").toArrow()
+    sample = rows.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    found = sample.select("lang", "text", held.alias("held"), "h").mapInArrow(_examples(t), "lang string, at array<int>, v array<float>, held boolean, h long").toArrow()
     found = found.sort_by([("h", "ascending"), ("lang", "ascending")]).combine_chunks()
     at, v = (column(found, c) for c in ("at", "v"))
     return fit(list(zip(found["lang"].to_pylist(), at, v, found["held"].to_pylist(), strict=True)), t)
@@ -218,7 +232,9 @@ def identify(df: DataFrame, model: Model | None, key: str = "doc_id", text: str
 
     Only the text is read for a prediction. A null text or one without a letter is
     ``und`` with score 0, as is everything without a model. ``rejected``: the score is
-    below the calibrated threshold. Repeated rows agree; an empty table gives no rows.
+    below the calibrated threshold. Of equally likely languages the first by name is taken.
+    Very long texts are read whole; repeated rows agree; other columns are not read, so
+    their names cannot clash; an empty table gives no rows.
     """
     rows = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()

@@ -19,13 +19,20 @@ from pyspark.sql import functions as F
 
 from weftlink.llm import tokens
 from weftlink.llm.langid import column
+from weftlink.llm.text import dealt_sample
+from weftlink.session import checkpointed
 
 
 @dataclass(frozen=True)
 class Training:
-    """Bounds and settings of the fit; ``rows`` labelled rows at most are used."""
+    """Bounds and settings of the fit; about ``rows`` labelled rows at most are used.
+
+    They are dealt out to the combinations of labels in equal parts, so rare ones are learned
+    from all their rows; of each text the ``distinct`` first words by hash count.
+    """
 
     rows: int = 8000
+    distinct: int = 5000
     words: int = 200
     #: Texts that a word must occur in, and standard errors by which its rates must differ.
     least_texts: int = 3
@@ -161,24 +168,31 @@ def _word_sets(texts: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(h[a:b])
 
 
-def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [s.view(np.int64) for s in _word_sets(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), *batch.columns[1:]], names=["words", *batch.schema.names[1:]])
+def _examples(t: Training):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s[: t.distinct].view(np.int64) for s in _word_sets(batch.column(0))]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), *batch.columns[1:]], names=["words", *batch.schema.names[1:]])
+
+    return run
 
 
 def train(df: DataFrame, labels: DataFrame, categories: Mapping[str, str], key: str = "doc_id", text: str = "text", t: Training = Training()) -> Chain:
     """A chain from the rows of ``df`` that ``labels`` names; ``categories``: an SQL condition on its columns for each.
 
-    The sample is the ``t.rows`` labelled ids with the least hashes, of all of them. Ids
-    without a text, texts without a label and null conditions are left out.
+    The sample (``dealt_sample``) is chosen by hashes of id and text among all labelled rows;
+    repeated rows take one place in it. Ids without a text, texts without a label and null
+    conditions are left out; an id with several labels counts with each.
     """
     names = list(categories)
-    known = labels.where(F.col(key).isNotNull()).select(key, *[F.expr(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories.values())]).dropna()
-    known = known.orderBy(F.xxhash64(F.lit(t.seed), key), *[f"_y{i}" for i in range(len(names))]).limit(t.rows)
-    rows = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")).join(F.broadcast(known), key).where("_text is not null").limit(2 * t.rows)
     y = [f"_y{i}" for i in range(len(names))]
-    found = rows.select("_text", F.xxhash64(key, "_text").alias("id"), *y).mapInArrow(_examples, "words array<long>, id long, " + ", ".join(f"{c} int" for c in y)).toArrow()
+    known = labels.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), *[F.expr(c).cast("int").alias(f"_y{i}") for i, c in enumerate(categories.values())]).dropna().distinct()
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_text")).where("_text is not null").withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(t.seed), "_key", "_text"), 1))
+    marked = checkpointed(rows.select("_key", "h").join(known, "_key").withColumn("label", F.concat_ws(",", *y)))
+    chosen = dealt_sample(marked, "label", "h", t.rows, 1 << min(len(names), 10))
+    sample = checkpointed(marked.join(F.broadcast(chosen), ["label", "h"]).select("_key", "h", *y).distinct())
+    texts = rows.join(F.broadcast(sample), ["_key", "h"]).groupBy("h", *y).agg(F.first("_text").alias("_text"))  # as bounded as the sample
+    found = texts.select("_text", F.col("h").alias("id"), *y).mapInArrow(_examples(t), "words array<long>, id long, " + ", ".join(f"{c} int" for c in y)).toArrow()
     found = found.sort_by([("id", "ascending"), *[(c, "ascending") for c in y]])
     return fit(names, [w.view(np.uint64) for w in column(found, "words")], np.stack([found[c].to_numpy() for c in y], axis=1) if found.num_rows else np.zeros((0, len(names))), t)
 
@@ -204,8 +218,9 @@ def _predictor(shared):
 def predict(df: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, and p_<category> and <category> (over its threshold) for each, for every row of ``df``.
 
-    Null and empty texts have no words and get what the biases give. Repeated rows agree;
-    other columns are not read; an empty table gives no rows.
+    Null and empty texts have no words and get what the biases give; very long texts are
+    read whole. Repeated rows agree, and a probability equal to its threshold counts as over
+    it; other columns are not read, so their names cannot clash; an empty table gives no rows.
     """
     rows = df.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
