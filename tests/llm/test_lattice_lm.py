@@ -73,6 +73,45 @@ def test_scores_against_plain_counts(spark, table_size):
     assert lattice_lm.score(df.limit(0)).count() == 0
 
 
+def test_scores_against_plain_recursion(spark):
+    r = random.Random(6)
+    docs = [(i, " ".join(r.choice(["the", "thing", "Été", "on", "zz"]) for _ in range(r.randrange(1, 9)))) for i in range(30)] + [(99, None)]
+    got = {x.doc_id: x for x in lattice_lm.score(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    prior = Lattice.of_model()
+    train = [tokens_of(t)[:-1] for d, t in docs if not got[d].held_out]
+    # expected pieces by differences of the plain recursion: the log probability's slope by a piece's log weight
+    counts, step = Counter(w for t in train for w in t), 1e-5
+    held = {i: p for i, p in enumerate(prior.pieces) if any(p in (b" " + w.encode()) if not isinstance(p, int) else p in b" " + w.encode() for w in counts)}
+    expected = np.zeros(len(prior.pieces))
+    for i in held:
+        for sign in (1, -1):
+            moved = prior.logp.copy()
+            moved[i] += sign * step
+            own = Lattice(prior.pieces[:0], np.zeros(0), 0.0)
+            own.pieces, own.logp = prior.pieces, moved
+            expected[i] += sign * sum(n * plain_small(own, w, held) for w, n in counts.items()) / (2 * step)
+    model = prior.reweighted(expected, len(train))
+    for d, t in docs:
+        words = tokens_of(t)[:-1]
+        for name, m in (("score", model), ("prior_score", prior)):
+            want = (sum(plain_small(m, w, held) for w in words) + m.end) / math.log(10)
+            assert getattr(got[d], name) == pytest.approx(want, abs=1e-3), (d, name)
+
+
+def plain_small(model, word, held):
+    """The plain recursion with only the pieces that words here contain."""
+    byte = {p: model.logp[i] for i, p in held.items() if isinstance(p, int)}
+    whole = {p: model.logp[i] for i, p in held.items() if not isinstance(p, int)}
+    s = b" " + word.encode()
+    a = [0.0] + [-math.inf] * len(s)
+    for j in range(1, len(s) + 1):
+        terms = [a[i] + whole[s[i:j]] for i in range(j) if s[i:j] in whole]
+        if s[j - 1] in byte:
+            terms.append(a[j - 1] + byte[s[j - 1]])
+        a[j] = np.logaddexp.reduce(terms) if terms else -math.inf
+    return a[-1]
+
+
 def test_training_helps_held_out_text(spark):
     r = random.Random(4)
     vocab = ["".join(r.choice(["tion", "er", "an", "the", "ou"]) for _ in range(r.randrange(1, 4))) for _ in range(200)]

@@ -1,5 +1,6 @@
 """Quality rules, sharding and the secret scan against plain Python."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -46,14 +47,25 @@ def test_host_verdicts(spark):
     assert quality_rules.judge(df.limit(0)).count() == 0 and quality_rules.kept_documents(df.limit(0)).count() == 0
 
 
-def test_shrinkage_follows_the_moments(spark):
-    df = spark.createDataFrame([("a", i < 3) for i in range(10)] + [("b", i < 8) for i in range(10)] + [("c", True)], "host string, failed boolean")
-    rates = [0.3, 0.8, 1.0]
-    m = sum(rates) / 3
-    v = sum((x - m) ** 2 for x in rates) / 3
-    s = m * (1 - m) / v - 1
+def test_shrinkage_takes_the_sampling_variance_off(spark):
+    hosts = [("a", 10, 3), ("b", 10, 5), ("c", 1, 1), ("d", 100, 20)]
+    df = spark.createDataFrame([(h, i < k) for h, n, k in hosts for i in range(n)], "host string, failed boolean")
+    w = sum(n for _, n, _ in hosts)
+    m = sum(k for *_, k in hosts) / w
+    between = sum(n * (k / n - m) ** 2 for _, n, k in hosts) - m * (1 - m) * (len(hosts) - 1)
+    rho = between / (m * (1 - m) * (w - sum(n * n for _, n, _ in hosts) / w - (len(hosts) - 1)))
+    s = 1 / rho - 1
     got = {x.host: x.host_rate for x in quality_rules.host_verdicts(df, quality_rules.Rules()).collect()}
-    assert got == {h: round((f + m * s) / (n + s), 6) for h, f, n in (("a", 3, 10), ("b", 8, 10), ("c", 1, 1))}
+    assert got == {h: round((k + m * s) / (n + s), 6) for h, n, k in hosts}
+    assert got["c"] < 0.4  # one document says little
+    same = spark.createDataFrame([(f"h{i % 4}", i % 8 < 4) for i in range(80)], "host string, failed boolean")
+    assert {x.host_rate for x in quality_rules.host_verdicts(same, quality_rules.Rules()).collect()} == {0.5}
+
+
+def test_kept_columns_may_have_any_name(spark):
+    df = spark.createDataFrame([(1, "a b", "h", "own", 5, 7)], "doc_id int, text string, source string, host string, n_words int, failed int")
+    x = quality_rules.judge(df, keep=("doc_id", "host"))
+    assert x.columns.count("host") == 1 and x.first().host == "own" and x.first().n_words == 2
 
 
 @pytest.mark.parametrize("n", [0, 1, 700])
@@ -88,10 +100,33 @@ def test_slot_maps(spark, tmp_path):
     load = [sum(b for s, b in size.items() if grown.shard_of[s] == k) for k in range(9)]
     assert all(b == 8 for _, _, b in grown.edits) and all(g in (k, 8) for g, k in zip(grown.shard_of, even.shard_of, strict=True))
     assert max(load) - min(load) < 0.05 * sum(load) / 9
-    for x in (first, even, grown):
-        x.save(spark, str(tmp_path / "map"))
-    assert sharding.SlotMap.load(spark, str(tmp_path / "map")).shard_of == grown.shard_of
-    assert sharding.SlotMap.load(spark, str(tmp_path / "map"), 1).shard_of == even.shard_of
+    path = str(tmp_path / "map")
+    assert all(x.save(spark, path) for x in (first, even, grown)) and not even.save(spark, path)
+    (tmp_path / "map" / "version=00000009").mkdir()  # begun and never finished
+    assert sharding.SlotMap.versions(spark, path) == [0, 1, 2]
+    assert sharding.SlotMap.load(spark, path) == dataclasses.replace(grown, edits=tuple(sorted(grown.edits)))
+    assert sharding.SlotMap.load(spark, path, 1).shard_of == even.shard_of
+    with pytest.raises(ValueError, match="no version"):
+        sharding.SlotMap.load(spark, path, 7)
+
+
+def test_stored_map_is_edited_when_data_grow(spark, tmp_path):
+    r, path = random.Random(6), str(tmp_path / "map")
+    rows = [(i, "x" * r.randrange(2000)) for i in range(3000)]
+    one = spark.createDataFrame(rows, "doc_id long, text string")
+    a, first = sharding.shard(one, store=path)
+    b, again = sharding.shard(one, store=path)
+    assert first.version == again.version == 1 and sorted(a.collect()) == sorted(b.collect())
+    more = spark.createDataFrame([*rows, *[(5000 + i, "y" * 3000) for i in range(400)]], "doc_id long, text string")
+    c, second = sharding.shard(more, store=path)
+    assert second.version == 2 and sharding.SlotMap.load(spark, path).shard_of == second.shard_of
+    # a plain placement by the same map
+    place = {}
+    slot = lambda d: int(hashlib.md5(str(d).encode()).hexdigest()[:3], 16)
+    for d, _ in sorted([(x.doc_id, 0) for x in more.collect()], key=lambda x: (slot(x[0]), x[0])):
+        k = second.shard_of[slot(d)]
+        place.setdefault(k, []).append(d)
+    assert {(x.doc_id, x["shard"], x.slot) for x in c.collect()} == {(d, k, i) for k, own in place.items() for i, d in enumerate(own)}
 
 
 def base(text):

@@ -3,7 +3,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tests.llm import test_decontaminate, test_native, test_ngram_join
+from tests.llm import test_decontaminate, test_mixing, test_native, test_ngram_join
 from weftlink.llm import mixing, quality_rules
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, epoch string, n int"
@@ -22,7 +22,7 @@ def documents(r):
                 w[3:3] = ITEMS[g % len(ITEMS)][1].split()
             rows.append((k, " ".join(w), r.choice(["en", "de", None]), r.choice(["src0", "src1", None]), len(w), "kept", 1))
             k += 1
-    return rows + [(900, None, "en", "src0", 0, None, None), (901, "", "en", None, 0, "x", 2), rows[3], rows[3], (None, rows[8][1], "en", "src0", 5, "y", 3), (None, "w " * 60, "en", "src1", 1, "z", 4)]
+    return rows + [(900, None, "en", "src0", 0, None, None), (901, "", "en", None, 0, "x", 2), rows[3], rows[3], (None, next(x[1] for x in rows if x[4] >= 90), "en", "src0", 5, "y", 3), (None, " ".join(f"alone{i}" for i in range(80)), "en", "src0", 5, "y", 3), (None, "w " * 60, "en", "src1", 1, "z", 4)]
 
 
 ITEMS = [(i, " ".join(f"item{i}x{j}" for j in range(20))) for i in range(3)]
@@ -49,10 +49,14 @@ def test_stages_one_by_one(spark, place):
     good = [x for x in rows(docs) if (m := test_native.measures(x[1]))[0] >= r.min_words and 100 * m[4] <= r.max_repeat_percent * m[0]]
     assert kept.columns == docs.columns and rows(kept) == good
 
+    kept.write.mode("overwrite").parquet(f"{place}/kept")
+    kept = spark.read.parquet(f"{place}/kept")
     single = stages["ngram_jaccard_join"](spark, kept, place)
-    first = {(d, n): c for d, n, c in test_ngram_join.brute([(x[0], x[1]) for x in good], 5, 80)}
-    copies = {d for (d, _), c in first.items() if d is not None and d != c}
-    want = [x for x in good if x[0] is None] + list({x for x in good if x[0] is not None and x[0] not in copies})
+    groups = {}
+    for i, _, c in test_ngram_join.brute([(i, x[1]) for i, x in enumerate(good)], 5, 80):
+        groups.setdefault(c, []).append(good[i])
+    want = [min(g, key=lambda x: (x[0] is None, x[0] or 0)) for g in groups.values()]
+    assert any(x[0] is None for x in good) and len(want) < len(good)
     assert single.columns == docs.columns and rows(single) == sorted(want, key=str)
 
     clean = stages["benchmark_decontamination"](spark, single, place)
@@ -67,7 +71,7 @@ def test_stages_one_by_one(spark, place):
     for x in left:
         k = ("src" if x[3] else "", x[2] or "", x[3] or "")
         supply[k] = supply.get(k, 0) + size(x)
-    given = mixing.budgets(supply, mixing.LANGUAGES, 0.5 * sum(supply.values()))
+    given = test_mixing.budgets(supply, mixing.HALF, 0.5 * sum(supply.values()))
     for k, b in given.items():
         used = sum(size(x) for x in rows(mixed) if ("src" if x[3] else "", x[2] or "", x[3] or "") == k)
         assert used <= b and b - used < max(map(size, left)) + 1

@@ -41,6 +41,29 @@ def test_logistic_against_gradient():
     assert np.abs(np.append(x.T @ (p - y) + w[:3], (p - y).sum() + 1e-3 * w[3])).max() < 1e-2
 
 
+def test_prediction_against_a_plain_chain(spark):
+    rows = make(random.Random(5), 300)
+    df = spark.createDataFrame([(a, b) for a, b, _, _ in rows], "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(a, c, d) for a, _, c, d in rows], "doc_id long, toxic int, rude int")
+    chain = toxicity.train(df, labels, {"rude": "rude = 1", "toxic": "toxic = 1"})
+    got = {x.doc_id: x for x in toxicity.predict(df, chain).collect()}
+    for a, text, _, _ in rows:
+        own, odds = set(tokens.hash_list([w.strip(",").lower() for w in text.split()]).tolist()), []
+        for link in chain.links:
+            z = link.bias + sum(w for h, w in zip(link.words.tolist(), link.weights, strict=True) if h in own) + sum(x * y for x, y in zip(odds, link.chained, strict=True))
+            odds.append(z)
+            p = 1 / (1 + np.exp(-z))
+            assert got[a][f"p_{link.name}"] == pytest.approx(p) and got[a][link.name] == (got[a][f"p_{link.name}"] >= link.threshold)
+
+
+def test_repeated_rows_take_one_place(spark):
+    rows = make(random.Random(7), 200) + [(3, "one row many times", 0, 0)] * 400
+    df = spark.createDataFrame([(a, b) for a, b, _, _ in rows], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(list({(a, c, d) for a, _, c, d in rows[:200]}), "doc_id long, toxic int, rude int")
+    chain = toxicity.train(df, labels, {"toxic": "toxic = 1"}, t=toxicity.Training(rows=150))
+    assert len(chain.links[0].words) < 200 and toxicity.predict(df, chain).count() == 600
+
+
 def test_edge_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (2, ""), (None, "idiot")], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")

@@ -34,6 +34,8 @@ END = tokens.mixed(np.array([0x5EED0FE7D], np.uint64))
 #: Distinct words scored at once, and kept scores of one task.
 WORDS, KEPT, HELD = 1 << 16, 1 << 20, 1 << 20
 PIECE_RANGES = 64
+#: Expected counts travel as whole numbers of this fraction, so that sums do not depend on their order.
+FRACTION = 1 << 16
 
 
 @dataclass
@@ -126,6 +128,19 @@ class Lattice:
             begin = np.flatnonzero(first[lo:hi] | (np.arange(hi - lo) == 0))
             value[target[lo:hi][begin]] = np.logaddexp.reduceat(value[source[lo:hi]] + weight[lo:hi], begin)
 
+    def scores(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, weights: list[np.ndarray]) -> list[np.ndarray]:
+        """Log probabilities of words under several weights of the pieces; the lattice is laid out once."""
+        if not len(begin):
+            return [np.zeros(0) for _ in weights]
+        s, e, piece, of = self.edges(flat, begin, size)
+        node, out = begin + np.arange(len(begin)), []
+        for logp in weights:
+            alpha = np.full(len(flat) + len(begin), -np.inf)
+            alpha[node] = 0
+            self._pass(alpha, s, e, logp[piece], e - node[of])
+            out.append(alpha[node + size])
+        return out
+
     def forward(self, flat: np.ndarray, begin: np.ndarray, size: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Log probability of each word; with ``count``, also the expected number of each piece."""
         if not len(begin):
@@ -219,7 +234,7 @@ def _gather(lattice, buckets: int):
             if out is not None:
                 yield out
         if expected.any():
-            parts = np.array_split(expected, PIECE_RANGES)
+            parts = np.array_split(np.rint(expected * FRACTION).astype(np.int64), PIECE_RANGES)
             yield pa.RecordBatch.from_arrays([pa.array([-1 - i for i in range(PIECE_RANGES)], pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array([b""] * PIECE_RANGES, pa.binary())], names=["bucket", "keys", "counts"])
 
     return run
@@ -239,31 +254,31 @@ class WordCounts:
         return np.log10((c + 0.1) / (self.total + 0.1 * (self.distinct + 1)))
 
 
-SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<long>"
+SCORED = "doc_id {id}, held_out boolean, n_tokens long, n_known long, base double, score double, prior_score double, rest array<long>"
 
 
 def _scorer(shared):
     """Scores of whole texts; ``rest`` has the tokens whose counts are not in the broadcast table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, words = shared.value
-        known_h, known_p = np.zeros(0, np.uint64), np.zeros(0)
+        model, prior, prior_end, words = shared.value
+        known_h, known_p = np.zeros(0, np.uint64), np.zeros((0, 2))
         for batch in batches:
-            n_tokens, n_known, base, score, rest = [], [], [], [], []
+            n_tokens, n_known, base, score, first_score, rest = [], [], [], [], [], []
             for _, _, body, offsets in tokens.chunks(batch.column(1)):
                 body = tokens.LOWER[body]
                 h, before, starts, ends = tokens.hashed_words(body, offsets, tokens.NON_BLANK, lower=False)
                 docs = len(before) - 1
                 keys, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-                p = np.full(len(keys), np.nan)
+                p = np.full((len(keys), 2), np.nan)
                 if len(known_h):
                     at = np.minimum(np.searchsorted(known_h, keys), len(known_h) - 1)
                     hit = known_h[at] == keys
                     p[hit] = known_p[at[hit]]
-                new = np.flatnonzero(np.isnan(p))
+                new = np.flatnonzero(np.isnan(p[:, 0]))
                 for block in blocks_of(starts[first[new]], ends[first[new]]):
                     i = new[block]
-                    p[i] = model.forward(*laid_out(body, starts[first[i]], ends[first[i]]))[0]
+                    p[i] = np.stack(model.scores(*laid_out(body, starts[first[i]], ends[first[i]]), [model.logp, prior]), axis=1)
                 if len(new):
                     if len(known_h) + len(new) > KEPT:
                         known_h, known_p = keys, p
@@ -284,23 +299,28 @@ def _scorer(shared):
                 n_tokens += (np.diff(before) + 1).tolist()
                 n_known += (add((c > 0)[:-1].astype(float)) + (c[-1] > 0)).astype(int).tolist()
                 base += (add(value[:-1]) + value[-1]).tolist()
-                score += ((add(p) + model.end) / np.log(10)).tolist()
+                score += ((add(p[:, 0]) + model.end) / np.log(10)).tolist()
+                first_score += ((add(p[:, 1]) + prior_end) / np.log(10)).tolist()
                 mask = later[:-1][inverse]
                 left, lows = h[mask].view(np.int64), np.append(0, np.cumsum(mask))[before]
                 for a, b in zip(lows[:-1].tolist(), lows[1:].tolist(), strict=True):
                     rest.append(left[a:b] if not later[-1] else np.append(left[a:b], END.view(np.int64)))
-            arrays = [batch.column(0), pa.array(held_out_ids(batch.column(0))), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rest, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+            arrays = [batch.column(0), pa.array(held_out_ids(batch.column(0))), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(first_score, pa.float64()), pa.array(rest, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "prior_score", "rest"])
 
     return run
 
 
 def score(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, table_size: int = 3_000_000) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row of ``df``.
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, prior_score) for every row of ``df``.
+
+    ``prior_score`` weighs segmentations by the vocabulary's own scores alone, ``score`` by
+    what one expectation step over the training documents makes of them.
 
     Documents whose crc32(id as text) mod 10 is 0 are held out; a null id counts as
     empty text. Null and empty texts are the end token alone. Repeated rows score alike.
-    Other columns are not read. Of an empty table there are no rows; without training
+    Very long texts are scored whole. Other columns are not read, so their names cannot
+    clash. Of an empty table there are no rows; without training
     documents all counts are 0 and the prior scores.
     """
     spark = df.sparkSession
@@ -309,7 +329,7 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: st
     prior = Lattice.of_model(vocabulary)
     found = docs.mapInArrow(_gather(spark.sparkContext.broadcast(prior), 1 << (2 * parts - 1).bit_length()), runs.SCHEMA)
     merged = checkpointed(found.repartition(parts, "bucket").mapInArrow(runs.merger(1), runs.SCHEMA))
-    expected = {r["bucket"]: np.frombuffer(r["keys"], np.float64) for r in merged.where("bucket < 0").collect()}
+    expected = {r["bucket"]: np.frombuffer(r["keys"], np.int64) / FRACTION for r in merged.where("bucket < 0").collect()}
     hist = runs.totals(merged)
     keys, counts, cut = runs.top(merged, hist, table_size, 1)
     total, distinct = sum(s for _, _, s in hist), sum(n for _, n, _ in hist)
@@ -320,8 +340,8 @@ def score(df: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: st
         ends = float(counts[at]) if at < len(keys) and keys[at] == END[0] else 0.0
         model = prior.reweighted(np.concatenate([expected[-1 - i] for i in range(PIECE_RANGES)]), ends)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    scored = docs.mapInArrow(_scorer(spark.sparkContext.broadcast((model, words))), SCORED.format(id=kind))
-    columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score"]
+    scored = docs.mapInArrow(_scorer(spark.sparkContext.broadcast((model, prior.logp, prior.end, words))), SCORED.format(id=kind))
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score", "prior_score"]
     if cut == 1:
         return scored.select(*columns)
     scored = checkpointed(scored).withColumn("row", F.monotonically_increasing_id())  # of a written table, so it is the same each time

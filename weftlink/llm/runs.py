@@ -77,7 +77,8 @@ class Counter:
 def merger(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """One row for each range, with the keys counted ``least`` times or more.
 
-    Rows with a negative bucket carry vectors of doubles in ``keys``, which are added up.
+    Rows with a negative bucket carry vectors of whole numbers in ``keys``, whose sum is the
+    same in any order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,7 +87,7 @@ def merger(least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
         for batch in batches:
             for b, k, c in zip(*[x.to_pylist() for x in batch.columns], strict=True):
                 if b < 0:
-                    v = np.frombuffer(k, np.float64)
+                    v = np.frombuffer(k, np.int64)
                     vectors[b] = vectors[b] + v if b in vectors else v
                 else:
                     held.setdefault(b, []).append((k, c))
