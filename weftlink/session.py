@@ -86,6 +86,10 @@ def removed(spark: SparkSession, *paths: str) -> None:
         fs.delete(where, True)
 
 
+#: Bytes of a row group of written tables; a writer holds one in memory.
+ROW_GROUP = 16 << 20
+
+
 def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` written to the shared folder as Parquet and read again, which cuts its lineage.
 
@@ -94,7 +98,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = path or scratch_path(spark, "table")
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", str(ROW_GROUP)).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
