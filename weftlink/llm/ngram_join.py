@@ -90,6 +90,8 @@ def shingle_sets(texts: pa.Array, n: int) -> Iterator[np.ndarray]:
 #: A reference to a row in the sieve: 40 bits of its hash, and the matches it asks for, rounded down.
 REF_BITS = 40
 _STEPS = np.unique(np.concatenate([np.arange(1, 40), np.geomspace(40, 1 << 24, 216).astype(np.int64)]))[:255]
+#: N-grams that a task deals out at once, about 120 bytes each while it does.
+DEAL = 1 << 19
 #: What stands for all rows of a run that have an n-gram in common.
 MARK = np.uint64((1 << 48) - 1)
 #: Centres of groups that are broadcast, if their n-grams are few enough too; with more, sets are shuffled by group.
@@ -146,7 +148,7 @@ def _dealer(join: Join, parts: int):
                 code = int(np.searchsorted(_STEPS, matches, "right")) - 1
                 held.append((s[: n - join.needed(n) + matches], (ref << 8) | code))
                 size += len(held[-1][0])
-                if size >= runs.RUN:
+                if size >= DEAL:
                     yield flush()
                     held, size = [], 0
         if size:

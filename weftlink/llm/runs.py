@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-RUN = 1 << 21  # keys sorted at once
+RUN = 1 << 20  # keys sorted at once
 SCHEMA = "bucket int, keys binary, counts binary"
 
 
