@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from weftlink.llm.text import WORD_CHAR, small_side, sum_of, words
 from weftlink.session import checkpointed
 
-SYMBOLS = "#*$%&|<>"
+SYMBOL = r"[#*$%&|<>]"
 #: Rejected hosts up to this number are broadcast, about 10 MB.
 BROADCAST_HOSTS = 100_000
 
@@ -62,8 +62,8 @@ def measured(df: DataFrame, text: str = "text") -> DataFrame:
     return out.withColumns(
         {
             "n_words": F.size("_w").cast("long"),
-            "word_chars": F.length(F.translate(body, " \t\n\x0b\x0c\r", "")).cast("long"),
-            "n_symbols": (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long"),
+            "word_chars": F.length(F.array_join("_w", "")).cast("long"),
+            "n_symbols": F.regexp_count(body, F.lit(SYMBOL)).cast("long"),
             "n_lines": F.size("_l").cast("long"),
             "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
             "n_repeat_words": covered,
@@ -121,13 +121,14 @@ def judge(df: DataFrame, r: Rules = Rules(), text: str = "text", host: str = "so
 def kept_documents(df: DataFrame, r: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``df`` that stay, with the columns of ``df``.
 
-    Only the verdicts on hosts come from a first pass; the rules on a document are
-    applied to its row in place, so texts are not shuffled by document.
+    Texts are measured once: the rows that break neither of the first two rules are written
+    down with their verdicts, from which the sums per host are made, so the disk holds the
+    texts once more and none is shuffled.
     """
     columns = df.columns
     own = df.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("_row"), F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")).alias("host"), F.col(f"`{text}`").alias("_text"))
-    m = measured(own, "_text").drop("_text").withColumns({"base_failed": base_failed(r), "soft_failed": soft_failed(r), "failed": base_failed(r) | soft_failed(r), "_part": F.spark_partition_id()})
+    m = measured(own, "_text").withColumns({"base_failed": base_failed(r), "soft_failed": soft_failed(r)})
+    m = checkpointed(m.select("host", "base_failed", "soft_failed", (F.col("base_failed") | F.col("soft_failed")).alias("failed"), F.when(~F.col("base_failed"), F.col("_row")).alias("_row")))
     verdicts = small_side(host_verdicts(m.select("host", "failed"), r).where("host_rejected").select("host", "host_rejected"), BROADCAST_HOSTS)
-    # a condition on the partition keeps Spark from moving the filter below the measures, which it would then repeat for every word
-    out = m.join(verdicts, "host", "left").where((F.col("_part") >= 0) & ~F.col("base_failed") & ~(F.coalesce("host_rejected", F.lit(False)) & F.col("soft_failed")))
+    out = m.where(~F.col("base_failed")).join(verdicts, "host", "left").where(~(F.coalesce("host_rejected", F.lit(False)) & F.col("soft_failed")))
     return out.select(*[F.col("_row")[f"c{i}"].alias(c) for i, c in enumerate(columns)])
