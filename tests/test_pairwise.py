@@ -41,3 +41,26 @@ def test_cells_have_tasks_of_their_own(spark):
     df = spark.createDataFrame([(n,) for n in numbers], "cell int").repartition(32, "cell")
     assert df.rdd.glom().map(len).collect() == [1] * 32
     assert cells.blocks(40_000, 80_000, 8) == (4, 8)
+
+
+def test_features_of_cells_are_those_of_columns(spark):
+    """Words, repeated and blank, in texts that may be empty, against the column expressions."""
+    from pyspark.sql import functions as F
+
+    from weftlink.operators import features as feat
+
+    rng = random.Random(4)
+    text = lambda: rng.choice(["", " ".join(rng.choice(["ab", "b", "é", "", "cab"]) for _ in range(rng.choice((1, 3, 9)))), " ".join(str(rng.randrange(99)) for _ in range(80))])
+    fields = ("business_name", "business_address", "name_norm", "address_norm", "country_norm", "postal_code", "city", "state", "street_number")
+    rows = [[text() for _ in fields] for _ in range(24)]
+    left, right = ([(f"{s}{i}", *r) for i, r in enumerate(part)] for s, part in (("a", rows[:12]), ("t", rows[8:])))
+    a, t = (spark.createDataFrame(r, ["entity_id", *fields]) for r in (left, right))
+    pairs = a.select(F.col("entity_id").alias("anchor_id")).crossJoin(t.select(F.col("entity_id").alias("target_id")))
+    wanted = feat.text_features() | feat.component_features()
+    expected = {(r[0], r[1]): r[2:] for r in feat.gathered(pairs, a, t).select("anchor_id", "target_id", *[F.round(c, 6).alias(k) for k, c in wanted.items()]).collect()}
+    tables = [pa.table({f: [r[1 + i] for r in rows] for i, f in enumerate(fields)}).append_column("name", pa.array([r[3] for r in rows])) for rows in (left, right)]
+    x, y = _pairs(left, right)
+    got = pairwise.text_features(*tables)(x, y) | pairwise.component_features(*tables)(x, y)
+    assert list(got) == list(wanted)
+    for k, (i, j) in enumerate(zip(x, y, strict=True)):
+        assert tuple(v[k] for v in got.values()) == tuple(expected[f"a{i}", f"t{j}"])

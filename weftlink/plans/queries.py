@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from weftlink.functions import constants as C
 from weftlink.functions import text as X
 from weftlink.functions.fuzzy import similarity
-from weftlink.operators import blocking, decide, keys, metrics, quality, splits
+from weftlink.operators import blocking, decide, keys, metrics, pairwise, quality, splits
 from weftlink.operators import features as feat
 from weftlink.plans import binding as B
 from weftlink.plans import sql as S
@@ -344,7 +344,8 @@ def _sql_text(prefix: str, raw: str) -> str:
 
 @query(f"WITH {S.PAIRS} SELECT anchor_id, target_id, {_sql_text('name', 'business_name')}, {_sql_text('address', 'business_address')} FROM pairs {S.SIDES}")
 def base_features(spark, sf):
-    return _gathered(spark, sf).select("anchor_id", "target_id", *_rounded(feat.text_features()))
+    fields = ("business_name", "business_address", "address_norm")
+    return B.measured(spark, sf, pairwise.text_features, fields, tuple(feat.text_features())).drop("mask")
 
 
 _COMPONENTS = ", ".join(f"(a.{f} <> '' AND a.{f} = t.{f})::DOUBLE AS {n}_match, (a.{f} <> '' AND t.{f} <> '')::DOUBLE AS {n}_both_present" for n, f in (("postal_code", "postal_code"), ("city", "city"), ("state", "state"), ("street_number", "street_number"), ("country", "country_norm")))
@@ -352,7 +353,7 @@ _COMPONENTS = ", ".join(f"(a.{f} <> '' AND a.{f} = t.{f})::DOUBLE AS {n}_match,
 
 @query(f"WITH {S.PAIRS} SELECT anchor_id, target_id, {_COMPONENTS} FROM pairs {S.SIDES}")
 def component_features(spark, sf):
-    return _gathered(spark, sf).select("anchor_id", "target_id", *_rounded(feat.component_features()))
+    return B.measured(spark, sf, pairwise.component_features, tuple(pairwise.COMPONENTS.values()), tuple(feat.component_features())).drop("mask")
 
 
 _FLAGS = ", ".join(f"(mask & {1 << i} <> 0)::DOUBLE AS blocked_by_{r}" for i, r in enumerate(C.RULES))
