@@ -64,3 +64,64 @@ def test_features_of_cells_are_those_of_columns(spark):
     assert list(got) == list(wanted)
     for k, (i, j) in enumerate(zip(x, y, strict=True)):
         assert tuple(v[k] for v in got.values()) == tuple(expected[f"a{i}", f"t{j}"])
+
+
+def test_best_window_is_that_of_all_windows():
+    """Texts beyond a machine word too, against every window."""
+    a, b = _texts(5, 40), _texts(6, 40)
+    b[:10] = [x[3:] + "xy" + x[:7] for x in a[:10]]
+    for x, y, got in zip(a, b, fuzzy.partial(a, b).tolist(), strict=True):
+        s, t = (x, y) if len(x) <= len(y) else (y, x)
+        windows = [t[max(0, k) : k + len(s)] for k in range(1 - len(s), len(t))] if s else []
+        assert got == max((2.0 * fuzzy._by_integer(s, w) / (len(s) + len(w)) for w in windows if w), default=0.0)
+    x, y = np.array([[1, 2, 3]]), np.array([[9, 1, 2, 7, 3]])
+    assert fuzzy._first_starts(x, y).tolist() == [[1, 0, 0, 4, 0]]  # by one pass, not window by window
+
+
+def test_similarities_of_cells_are_those_of_texts():
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice(["ab", "b", "é", "cab", "12", "street"]) + str(rng.randrange(3)) * rng.randrange(2) for _ in range(rng.choice((0, 1, 2, 5, 9, 60))))
+    a, t = [text() for _ in range(30)], [text() for _ in range(30)]
+    x, y = _pairs(a, t)
+    left, right = [a[i] for i in x], [t[i] for i in y]
+    s = pairwise.Similar(pa.chunked_array([a]), pa.chunked_array([t]))
+    ratio, ordered, sets = s.indel(x, y), s.token_sort(x, y), s.token_set(x, y)
+    assert ratio.tolist() == fuzzy.indel(left, right).tolist() and ordered.tolist() == fuzzy.token_sort(left, right).tolist()
+    assert sets.tolist() == fuzzy.token_set(left, right).tolist()
+    assert s.weighted(x, y, ratio, ordered, sets).tolist() == fuzzy.weighted(left, right).tolist()
+
+
+def _records(spark, seed, prefix):
+    rng = random.Random(seed)
+    words = lambda *w: " ".join(rng.choice(w) for _ in range(rng.choice((0, 1, 3, 8))))
+    rows = [(f"{prefix}-{i}", words("foo", "bar", "services", "abcdef", "ltd", "kphnn", "food"), words("007", "12", "street", "0", "12a", "way", "99 b1"), rng.choice(["", "x", "y"])) for i in range(12)]
+    return spark.createDataFrame(rows, "entity_id string, name_norm string, address_norm string, country_norm string")
+
+
+def _compared(spark, made, groups, measure, prepared=lambda g: g):
+    """Measures of a cell and column expressions over the same pairs."""
+    from pyspark.sql import functions as F
+
+    from weftlink.operators import features as feat
+
+    a, t = _records(spark, 8, "S1"), _records(spark, 9, "S3")
+    pairs = a.select(F.col("entity_id").alias("anchor_id")).crossJoin(t.select(F.col("entity_id").alias("target_id"))).withColumn("mask", F.lit(3))
+    wanted = groups()
+    g = prepared(feat.gathered(pairs, a, t))
+    expected = {(r[0], r[1]): r[2:] for r in g.select("anchor_id", "target_id", *[F.round(c.cast("double"), 6).alias(k) for k, c in wanted.items()]).collect()}
+    tables = [made(x).withColumn("name", F.col("name_norm")).toArrow() for x in (a, t)]
+    x, y = _pairs(*(v["entity_id"].to_pylist() for v in tables))
+    got = measure(*tables)(x, y)
+    assert list(got) == list(wanted)
+    for k, (i, j) in enumerate(zip(x, y, strict=True)):
+        assert tuple(v[k] for v in got.values()) == tuple(expected[tables[0]["entity_id"][i].as_py(), tables[1]["entity_id"][j].as_py()])
+
+
+def test_details_of_cells_are_those_of_columns(spark):
+    from pyspark.sql import functions as F
+
+    from weftlink.operators import features as feat
+
+    counts = feat.corpus_stats(_records(spark, 8, "S1").unionByName(_records(spark, 8, "S2")))[0]
+    more = {f"detail_{s}_name_frequency": F.col(f"detail_{s}_name_frequency") for s in ("left", "right")}
+    _compared(spark, lambda x: feat.with_own_frequency(feat.with_details(x), counts), lambda: feat.detail_features() | more, pairwise.detail_features, lambda g: feat.detail_frequencies(g, counts))
