@@ -125,3 +125,10 @@ def test_details_of_cells_are_those_of_columns(spark):
     counts = feat.corpus_stats(_records(spark, 8, "S1").unionByName(_records(spark, 8, "S2")))[0]
     more = {f"detail_{s}_name_frequency": F.col(f"detail_{s}_name_frequency") for s in ("left", "right")}
     _compared(spark, lambda x: feat.with_own_frequency(feat.with_details(x), counts), lambda: feat.detail_features() | more, pairwise.detail_features, lambda g: feat.detail_frequencies(g, counts))
+
+
+def test_coarse_features_of_cells_are_those_of_columns(spark):
+    from weftlink.functions import constants as C
+    from weftlink.operators import features as feat
+
+    _compared(spark, feat.with_runs, lambda: {k: v for k, v in feat.coarse_features().items() if k not in C.RULES}, pairwise.coarse_features)
