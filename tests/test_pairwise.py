@@ -132,3 +132,9 @@ def test_coarse_features_of_cells_are_those_of_columns(spark):
     from weftlink.operators import features as feat
 
     _compared(spark, feat.with_runs, lambda: {k: v for k, v in feat.coarse_features().items() if k not in C.RULES}, pairwise.coarse_features)
+
+
+def test_enhanced_features_of_cells_are_those_of_columns(spark):
+    from weftlink.operators import features as feat
+
+    _compared(spark, feat.with_conflicts, feat.enhanced_features, pairwise.enhanced_features)

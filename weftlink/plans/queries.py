@@ -421,12 +421,13 @@ def coarse_features(spark, sf):
 _INFORMATIVE = lambda c: f"list_filter(list_distinct({S.words(c)}), lambda w: NOT list_contains({S.listed(C.GENERIC_VETO)}, w))"
 _CONFLICT = lambda x, y: f"(len({x}) > 0 AND len({y}) > 0 AND len(list_intersect({x}, {y})) = 0)::DOUBLE"
 _ENHANCED = f"""e AS (SELECT *, trim(aa) = '' AS no_a, trim(ta) = '' AS no_t, {S.indel('an', 'tn')} AS ratio, CASE WHEN trim(aa) = '' OR trim(ta) = '' THEN 0.5 ELSE {S.token_set('aa', 'ta')} END AS place, {S.NUMBERS('aa')} AS na, {S.NUMBERS('ta')} AS nt, {_INFORMATIVE('an')} AS ca, {_INFORMATIVE('tn')} AS ct FROM g)"""
-_grouped_features(
-    "enhanced_features",
-    feat.enhanced_features,
+@query(
     f"""WITH {S.PAIRS}, {_NAMES}, {_ENHANCED} SELECT anchor_id, target_id, no_t::DOUBLE AS is_target_addr_missing, no_a::DOUBLE AS is_anchor_addr_missing, (no_a OR no_t)::DOUBLE AS addr_missing_either, (no_t AND ratio >= 0.75)::DOUBLE AS name_dominant_blank_addr, (no_t AND an = tn)::DOUBLE AS name_exact_blank_addr,
-    CASE WHEN ratio >= 0.85 AND place >= 0.8 THEN 0.0 ELSE {_CONFLICT('na', 'nt')} END AS veto_num_conflict_tempered, CASE WHEN place >= 0.95 THEN 0.0 ELSE {_CONFLICT('ca', 'ct')} END AS veto_name_conflict_tempered, 0.0::DOUBLE AS margin_to_best, 1.0::DOUBLE AS is_top FROM e""",
+    CASE WHEN ratio >= 0.85 AND place >= 0.8 THEN 0.0 ELSE {_CONFLICT('na', 'nt')} END AS veto_num_conflict_tempered, CASE WHEN place >= 0.95 THEN 0.0 ELSE {_CONFLICT('ca', 'ct')} END AS veto_name_conflict_tempered, 0.0::DOUBLE AS margin_to_best, 1.0::DOUBLE AS is_top FROM e"""
 )
+def enhanced_features(spark, sf):
+    names = tuple(feat.enhanced_features())
+    return B.measured(spark, sf, pairwise.enhanced_features, ("address_norm", "numbers", "core"), names, feat.with_conflicts).drop("mask")
 
 
 @query(f"WITH {S.SCORED} SELECT anchor_id, target_id, round(max(p) OVER w - p, 6) AS margin_to_best, (max(p) OVER w - p <= 1e-6)::DOUBLE AS is_top FROM scored WINDOW w AS (PARTITION BY anchor_id, source)")
