@@ -232,7 +232,7 @@ _BITS = " UNION ALL ".join(f"SELECT '{r}' AS rule, label FROM labelled WHERE mas
 
 @query(f"WITH {S.LABELLED} SELECT rule, count(*) AS n_pairs, sum(label)::BIGINT AS n_true FROM ({_BITS} UNION ALL SELECT 'combined', label FROM labelled) GROUP BY rule")
 def blocking_rule_report(spark, sf):
-    return blocking.rule_report(B.pairs(spark, sf), B.truth(spark, sf))
+    return blocking.rule_report(B.found(spark, sf), B.truth(spark, sf))
 
 
 @query(
@@ -287,7 +287,7 @@ def dropped_rank_positions(spark, sf):
 )
 def channel_what_if(spark, sf):
     channels = {"name_word": X.split_words(F.col("name_norm")), "number": keys.digit_runs(F.col("address_norm"))}
-    return blocking.channel_what_if(blocking.missed_pairs(B.pairs(spark, sf), B.truth(spark, sf)), *B.sides(spark, sf), channels)
+    return blocking.channel_what_if(blocking.missed_pairs(B.found(spark, sf), B.truth(spark, sf)), *B.sides(spark, sf), channels)
 
 
 _PLACE = lambda s: f"list_filter({S.words(f'{s}.address_norm')}, lambda w: length(w) >= 3 AND NOT list_contains({S.listed(C.GENERIC_KEY_ADDRESS)}, w) AND NOT regexp_matches(w, '^[0-9]+$'))"
@@ -361,7 +361,7 @@ _FLAGS = ", ".join(f"(mask & {1 << i} <> 0)::DOUBLE AS blocked_by_{r}" for i, r
 
 @query(f"WITH {S.PAIRS} SELECT anchor_id, target_id, {_FLAGS}, bit_count(mask)::DOUBLE AS number_of_blocking_rules, (target_id LIKE 'S3-%')::DOUBLE AS candidate_source3 FROM pairs")
 def blocking_flags(spark, sf):
-    return B.pairs(spark, sf).select("anchor_id", "target_id", *_rounded(feat.rule_features()))
+    return B.found(spark, sf).select("anchor_id", "target_id", *_rounded(feat.rule_features()))
 
 
 _NGRAM = ", ".join(f"round({S.jac(S.ngrams('a.name_norm', n), S.ngrams('t.name_norm', n))}, 6) AS name_char_{n}gram_similarity" for n in (3, 4, 5))
@@ -883,7 +883,7 @@ def candidate_files(spark, sf):
     from weftlink.session import scratch_path
 
     path = scratch_path(spark, "candidates.tsv")
-    tables.write_lists(tables.match_lists(B.pairs(spark, sf), B.anchors(spark, sf), "candidate_entity_ids", by=None), path)
+    tables.write_lists(tables.match_lists(B.found(spark, sf), B.anchors(spark, sf), "candidate_entity_ids", by=None), path)
     return tables.read_candidates(spark, path)
 
 
