@@ -80,6 +80,37 @@ def test_capped_arbitration_is_greedy(spark, seed, cap):
     assert sorted((x.anchor_id, x.target_id) for x in decide.arbitrated(pairs(spark, rows)).collect()) == greedy(rows, 0)
 
 
+@pytest.mark.parametrize(("settled", "cap"), [(0, 1), (0, 3), (25, 1), (25, 2)])
+def test_capped_arbitration_in_rounds_and_in_order(spark, monkeypatch, settled, cap):
+    """Both ways, and one after the other, with many ties."""
+    monkeypatch.setattr(decide, "SETTLED", settled)
+    r = random.Random(settled + cap)
+    rows = [(a, t, r.randrange(4) / 3) for a, t in {(f"a{r.randrange(9)}", f"S{r.choice('23')}-{r.randrange(14)}") for _ in range(90)}]
+    got = sorted((x.anchor_id, x.target_id) for x in decide.arbitrated_capped(pairs(spark, rows), cap).collect())
+    assert got == greedy(rows, cap)
+
+
+def test_capped_arbitration_of_a_chain_takes_no_round_for_each_link(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(decide, "checkpointed", lambda df: stored.append(df) or df.localCheckpoint())
+    rows = [(f"a{(i + 1) // 2:02}", f"S2-{i // 2:02}", 1 - i / 100) for i in range(24)]
+    got = sorted((x.anchor_id, x.target_id) for x in decide.arbitrated_capped(pairs(spark, rows), 1).collect())
+    assert got == greedy(rows, 1) and len(stored) <= 4
+
+
+def test_arbitration_comparison_ranks_no_pairs_below_the_threshold(spark, monkeypatch):
+    seen, capped = [], decide.arbitrated_capped
+    monkeypatch.setattr(decide, "arbitrated_capped", lambda x, cap: seen.append(x.agg({"p": "min"}).first()[0]) or capped(x, cap))
+    r = random.Random(6)
+    rows = [(a, t, r.randrange(10) / 10) for a, t in {(f"a{r.randrange(7)}", f"S{r.choice('23')}-{r.randrange(9)}") for _ in range(60)}]
+    got = {x.policy: (x.n_pairs, x.n_targets) for x in decide.arbitration_comparison(pairs(spark, rows), 0.6).collect()}
+    prob = {x[:2]: x[2] for x in rows}
+    high = lambda x: [y for y in x if prob[y[:2]] >= 0.6]
+    for name, kept in (("none", rows), ("target", greedy(rows, 0)), ("capped", greedy(rows, 1))):
+        assert got[name] == (len(high(kept)), len({y[1] for y in high(kept)}))
+    assert seen and min(seen) >= 0.6
+
+
 def test_ties_and_margins(spark):
     x = pairs(spark, [("a", "S2-1", 0.9), ("b", "S2-1", 0.9), ("a", "S2-2", 0.8), ("a", "S2-3", 0.5), ("b", "S2-3", 0.4)])
     assert sorted((r.anchor_id, r.target_id) for r in decide.unique_owner(x).collect()) == [("a", "S2-2"), ("a", "S2-3")]
