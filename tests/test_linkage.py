@@ -151,3 +151,19 @@ def test_disk_candidates_of_keys_below_the_limit(spark):
     t = preprocess(spark.createDataFrame([(f"S2-{i}", "blue steel", "", "X") for i in range(300)], "entity_id string, business_name string, business_address string, country string"))
     found = linkage.retrieve(a, t, linkage.Settings())
     assert found.count() == 300 and {r.mask for r in found.collect()} == {32}
+
+
+def test_terms_come_from_all_targets(spark, monkeypatch):
+    monkeypatch.setattr(splits, "sample", lambda df, *_: df.limit(1))
+    side = lambda rows: spark.createDataFrame([(i, n, n) for i, n in rows], "entity_id string, name_norm string, address_norm string")
+    idf = linkage.fit_terms(side([("S1-1", "ab")]), side([("S2-1", "cd"), ("S2-2", "ef"), ("S3-1", "gh")]), linkage.Settings())
+    assert {r.term for r in idf["name"].collect()} == {r.term for r in idf["address"].collect()} == {"ab", "cd", "ef", "gh"}
+
+
+def test_ranker_sees_half_of_the_anchors_and_is_measured_on_the_rest(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models, "fit", lambda kind, train, *_, **__: seen.append(train.select("anchor_id").distinct().count()))
+    monkeypatch.setattr(models, "predict", lambda _, df: df.withColumn("p", F.lit(1.0)))
+    pairs = spark.range(6000).select(F.concat(F.lit("S1-"), "id").alias("anchor_id"), F.concat(F.lit("S2-"), "id").alias("target_id"))
+    _, recall = linkage.fit_ranker(pairs, pairs, pairs.select("anchor_id"), linkage.Settings())
+    assert seen == [3000] and {found for _, found, _ in recall} == {3000}
