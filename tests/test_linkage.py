@@ -167,3 +167,23 @@ def test_ranker_sees_half_of_the_anchors_and_is_measured_on_the_rest(spark, monk
     pairs = spark.range(6000).select(F.concat(F.lit("S1-"), "id").alias("anchor_id"), F.concat(F.lit("S2-"), "id").alias("target_id"))
     _, recall = linkage.fit_ranker(pairs, pairs, pairs.select("anchor_id"), linkage.Settings())
     assert seen == [3000] and {found for _, found, _ in recall} == {3000}
+
+
+def test_ranker_features_are_worked_out_once_in_cells(spark, monkeypatch):
+    a, t = queries.B.sides(spark, "/root/testdata/sf0.001")
+    pairs = linkage.retrieve(a, t, linkage.Settings()).cache()
+    key = ("anchor_id", "target_id")
+    want = features.assembled(features.gathered(pairs, a, t), [features.coarse_features()], keep=("mask",))
+    rows = lambda df: {tuple(r[k] for k in key): r for r in df.collect()}
+    got, expected = rows(linkage.coarse(pairs, a, t)), rows(want)
+    assert got.keys() == expected.keys() and len(got) > 100 and linkage.coarse(pairs, a, t).columns == want.columns
+    assert all(list(map(float, got[k][2:])) == pytest.approx(list(map(float, expected[k][2:])), abs=1e-6) for k in got)
+    calls, coarse = [], linkage.coarse
+    monkeypatch.setattr(linkage, "coarse", lambda *x: calls.append(1) or coarse(*x))
+    monkeypatch.setattr(linkage, "fit_ranker", lambda *_: (True, []))
+    monkeypatch.setattr(linkage, "fit_terms", lambda *_: {})
+    monkeypatch.setattr(models, "predict", lambda _, df: df.withColumn("p", F.lit(1.0)))
+    monkeypatch.setattr(linkage, "rich", lambda *_: 1 // 0)  # the selection ends here
+    with pytest.raises(ZeroDivisionError):
+        linkage.select_model(spark, a, t, queries.B.truth(spark, "/root/testdata/sf0.001"))
+    assert calls == [1]
