@@ -187,3 +187,17 @@ def test_ranker_features_are_worked_out_once_in_cells(spark, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         linkage.select_model(spark, a, t, queries.B.truth(spark, "/root/testdata/sf0.001"))
     assert calls == [1]
+
+
+def test_rich_features_are_worked_out_in_cells(spark):
+    a, t = queries.B.sides(spark, "/root/testdata/sf0.001")
+    pairs = linkage.retrieve(a, t, linkage.Settings()).cache()
+    groups = linkage.rich_groups()
+    names = [n for g in groups for n in g if not n.endswith("tfidf_cosine")]
+    got = linkage.rich(pairs, a, t, {}, linkage.Settings(features=names))
+    want = features.assembled(features.gathered(pairs, a, t), groups, names)
+    rows = lambda df: {tuple(r[:2]): list(map(float, r[2:])) for r in df.collect()}
+    x, y = rows(got), rows(want)
+    assert got.columns == want.columns and x.keys() == y.keys() and len(x) > 100
+    assert [(k, n, p, q) for k in x for n, p, q in zip(names, x[k], y[k], strict=True) if abs(p - q) > 1e-6 * max(1, abs(q))] == []
+    assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().toString()
