@@ -201,3 +201,11 @@ def test_rich_features_are_worked_out_in_cells(spark):
     assert got.columns == want.columns and x.keys() == y.keys() and len(x) > 100
     assert [(k, n, p, q) for k in x for n, p, q in zip(names, x[k], y[k], strict=True) if abs(p - q) > 1e-6 * max(1, abs(q))] == []
     assert "FlatMapGroupsInArrow" in got._jdf.queryExecution().toString()
+
+
+def test_class_weights_need_no_scores(spark, monkeypatch):
+    sf = "/root/testdata/sf0.001"
+    x = blocking.labelled(queries.B.scored(spark, sf), queries.B.truth(spark, sf))
+    want = models.weighted(x).groupBy("label", F.round("weight", 6)).count().collect()
+    monkeypatch.setattr(queries.B, "scored", lambda *_: 1 // 0)
+    assert sorted(map(tuple, queries.class_weights(spark, sf).collect())) == sorted(map(tuple, want)) and len(want) == 2

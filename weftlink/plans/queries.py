@@ -696,9 +696,10 @@ def oracle_ceiling(spark, sf):
 
 @query(f"WITH {S.LABELLED}, c AS (SELECT count(*) AS n, greatest(1, sum(label)) AS pos, greatest(1, count(*) - sum(label)) AS neg FROM labelled) SELECT label, round(n / (2 * CASE WHEN label = 1 THEN pos ELSE neg END), 6) AS weight, count(*) AS n_pairs FROM labelled, c GROUP BY ALL")
 def class_weights(spark, sf):
-    from weftlink.operators.models import weighted
-
-    return weighted(_labelled(spark, sf)).groupBy("label", F.round("weight", 6).alias("weight")).agg(F.count("*").alias("n_pairs"))
+    """The weights of ``models.weighted``, which follow from the pairs of each label; they need no p."""
+    per = blocking.labelled(B.found(spark, sf), B.truth(spark, sf)).groupBy("label").agg(F.count("*").alias("n_pairs")).persist()
+    n = per.agg(F.sum("n_pairs")).first()[0] or 0
+    return per.select("label", F.round(F.lit(n) / (2 * F.col("n_pairs")), 6).alias("weight"), "n_pairs")
 
 
 @query(f"WITH {S.SCORED}, l AS (SELECT anchor_id, target_id, ln(least(greatest(p, 1e-6), 1 - 1e-6) / (1 - least(greatest(p, 1e-6), 1 - 1e-6))) AS z FROM scored) SELECT anchor_id, target_id, round(z, 6) AS logit, round(1 / (1 + exp(-z / 1.2)), 6) AS tempered FROM l")
