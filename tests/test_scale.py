@@ -1,8 +1,12 @@
 """Plans and partial results that large tables of pairs rest on."""
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from weftlink.operators import blocking
+from weftlink.operators import blocking, cells
+from weftlink.operators.keys import BIT
 from weftlink.plans import binding as B
 
 
@@ -21,3 +25,21 @@ def test_pairs_that_are_read_once_are_not_stored(spark):
     rows = B.found(spark, sf).agg(F.count("*")).first()[0]
     assert (spark.sparkContext.applicationId, sf, "pairs") not in B._stored
     assert rows == B.pairs(spark, sf).count() == B.found(spark, sf).count()
+
+
+def test_pairs_that_share_nothing_take_no_room():
+    """Records with a key of their own, and two that share one: no table of all anchors and targets is laid out."""
+    n = 3000
+    row = lambda side, i: {"anchor": side, "entity_id": f"{side:d}{i}", "name": "", "grams": 0, "keys": [f"T|{side if i else 2:d}{i}"], "bits": [BIT["country_name"]], "hot": []}
+    schema = pa.schema([("anchor", pa.bool_()), ("entity_id", pa.string()), ("name", pa.string()), ("grams", pa.int32()), ("keys", pa.list_(pa.string())), ("bits", pa.list_(pa.int32())), ("hot", pa.list_(pa.string()))])
+    table = pa.Table.from_pylist([row(side, i) for side in (True, False) for i in range(n)], schema)
+    tracemalloc.start()
+    rows = [tuple(x.values()) for b in cells._cell(2, 3, 0.12, 0.88)(iter(table.to_batches())) for x in b.to_pylist()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == [("10", "00", BIT["country_name"])] and peak < n * n
+
+
+def test_records_of_many_cells_are_copied_a_few_times():
+    a, t = cells.blocks(400_000, 800_000, 8)
+    assert t * 400_000 + a * 800_000 < 10_000_000

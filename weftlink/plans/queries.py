@@ -361,7 +361,7 @@ _FLAGS = ", ".join(f"(mask & {1 << i} <> 0)::DOUBLE AS blocked_by_{r}" for i, r
 
 @query(f"WITH {S.PAIRS} SELECT anchor_id, target_id, {_FLAGS}, bit_count(mask)::DOUBLE AS number_of_blocking_rules, (target_id LIKE 'S3-%')::DOUBLE AS candidate_source3 FROM pairs")
 def blocking_flags(spark, sf):
-    return B.found(spark, sf).select("anchor_id", "target_id", *_rounded(feat.rule_features()))
+    return B.found(spark, sf).select("anchor_id", "target_id", *[c.alias(k) for k, c in feat.rule_features().items()])  # whole numbers
 
 
 _NGRAM = ", ".join(f"round({S.jac(S.ngrams('a.name_norm', n), S.ngrams('t.name_norm', n))}, 6) AS name_char_{n}gram_similarity" for n in (3, 4, 5))
