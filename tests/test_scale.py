@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from weftlink.operators import blocking, cells
 from weftlink.operators.keys import BIT
 from weftlink.plans import binding as B
+from weftlink.plans import queries
 
 
 def test_true_ones_among_pairs(spark):
@@ -43,3 +44,16 @@ def test_pairs_that_share_nothing_take_no_room():
 def test_records_of_many_cells_are_copied_a_few_times():
     a, t = cells.blocks(400_000, 800_000, 8)
     assert t * 400_000 + a * 800_000 < 10_000_000
+
+
+def test_aliases_are_found_without_scores_of_all_pairs(spark):
+    """Pairs that a rule of names finds lead to no new ones, so they need no score."""
+    sf = "/root/testdata/sf0.01"
+    stored = {name: B._stored.pop((spark.sparkContext.applicationId, sf, name), None) for name in ("scored", "scored_by_place")}
+    rows = sorted(tuple(r) for r in queries.QUERIES["alias_expansion"](spark, sf).collect())
+    assert (spark.sparkContext.applicationId, sf, "scored") not in B._stored
+    part = B.scored_by_place(spark, sf).select("anchor_id", "target_id", "mask", "p").collect()
+    whole = B.scored(spark, sf)
+    B._stored |= {(spark.sparkContext.applicationId, sf, k): v for k, v in stored.items() if v}
+    assert rows == sorted(tuple(r) for r in blocking.alias_pairs(whole, B.sides(spark, sf)[1], threshold=0.6).collect()) and rows
+    assert sorted(part) == sorted(B.scored_by_place(spark, sf).select("anchor_id", "target_id", "mask", "p").collect())

@@ -319,7 +319,7 @@ def gap_diagnosis(spark, sf):
     SELECT DISTINCT anchor_id, target_id FROM sure JOIN few USING (name_norm, country_norm) JOIN named USING (name_norm, country_norm) ANTI JOIN scored USING (anchor_id, target_id)"""
 )
 def alias_expansion(spark, sf):
-    return blocking.alias_pairs(B.scored(spark, sf), B.sides(spark, sf)[1], threshold=0.6)
+    return blocking.alias_pairs(B.scored_by_place(spark, sf), B.sides(spark, sf)[1], threshold=0.6)
 
 
 @query("WITH d AS (SELECT doc_id, md5(text) AS h, lang FROM documents) SELECT l.doc_id AS left_id, min(r.doc_id) AS right_id, count(*) AS n_right FROM d l JOIN d r USING (h, lang) WHERE l.doc_id % 2 = 0 AND r.doc_id % 2 = 1 GROUP BY 1")
