@@ -2,6 +2,7 @@
 
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -57,3 +58,16 @@ def test_aliases_are_found_without_scores_of_all_pairs(spark):
     B._stored |= {(spark.sparkContext.applicationId, sf, k): v for k, v in stored.items() if v}
     assert rows == sorted(tuple(r) for r in blocking.alias_pairs(whole, B.sides(spark, sf)[1], threshold=0.6).collect()) and rows
     assert sorted(part) == sorted(B.scored_by_place(spark, sf).select("anchor_id", "target_id", "mask", "p").collect())
+
+
+def test_candidates_come_as_lists(spark, monkeypatch):
+    """Lists hold the pairs that are found, however many a batch has, and no row is shuffled for each pair."""
+    sf = "/root/testdata/sf0.001"
+    lists = B.found_lists(spark, sf)
+    rows = [(r.anchor_id, t) for r in lists.collect() for t in r.targets]
+    assert sorted(rows) == sorted(tuple(r) for r in B.retrieved(spark, sf).select("anchor_id", "target_id").collect())
+    assert lists.count() < len(rows) / 2
+    ids, r, c = [pa.array(["a", "b"]), pa.array(["x", "y", "z"])], np.array([0, 0, 1, 1, 1]), np.array([0, 2, 0, 1, 2])
+    monkeypatch.setattr(cells, "ROWS", 3)
+    got = [tuple(x.values()) for b in cells._lists_of(ids, [r], [c], [], None) for x in b.to_pylist()]
+    assert got == [("a", ["x", "z"]), ("b", ["x"]), ("b", ["y", "z"])]

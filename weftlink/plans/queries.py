@@ -884,7 +884,7 @@ def candidate_files(spark, sf):
     from weftlink.session import scratch_path
 
     path = scratch_path(spark, "candidates.tsv")
-    tables.write_lists(tables.match_lists(B.found(spark, sf), B.anchors(spark, sf), "candidate_entity_ids", by=None), path)
+    tables.write_lists(tables.match_lists(B.found_lists(spark, sf), B.anchors(spark, sf), "candidate_entity_ids", by=None), path)
     return tables.read_candidates(spark, path)
 
 
