@@ -749,7 +749,7 @@ _POLICY = lambda name, x: f"SELECT '{name}' AS policy, coalesce(sum(c), 0)::BIGI
 
 @query(f"WITH {S.SCORED}, {_capped()} {_POLICY('none', 'SELECT * FROM scored')} UNION ALL {_POLICY('target', 'SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY target_id ORDER BY p DESC, anchor_id) AS r FROM scored) WHERE r = 1')} UNION ALL {_POLICY('capped', 'SELECT * FROM capped')}")
 def arbitration_comparison(spark, sf):
-    return decide.arbitration_comparison(B.scored(spark, sf), 0.6)
+    return decide.arbitration_comparison(B.scored_from(spark, sf, 0.6), 0.6)  # what wins needs no lower p
 
 
 @query()
