@@ -6,7 +6,10 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from pyspark.sql import functions as F
+
 from weftlink.operators import cells, decide, pairwise
+from weftlink.operators import features as feat
 from weftlink.plans import binding as B
 from weftlink.plans import queries
 
@@ -36,3 +39,35 @@ def test_comparison_of_arbitrations_stores_no_scores(spark, monkeypatch):
     got = sorted(map(tuple, queries.arbitration_comparison(spark, SF).collect()))
     assert not [k for k in B._stored if k[2] in ("scored", "pairs")]
     assert got == sorted(map(tuple, decide.arbitration_comparison(B.scored(spark, SF), 0.6).collect()))
+
+
+@pytest.mark.parametrize("few, dense", [(64, 1 << 24), (2, 0)])
+def test_evidence_of_cells_is_that_of_joins(few, dense, spark, monkeypatch):
+    monkeypatch.setattr(pairwise, "FEW", few)
+    monkeypatch.setattr(pairwise, "DENSE", dense)
+    rng = random.Random(11)
+    words = ["kilo", "mira", "clinic", "the", "12", "012", "98765", "0"]
+    rows = lambda prefix, n: spark.createDataFrame([(f"{prefix}{i}", *(" ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in "na"), rng.choice(["x", "y", ""])) for i in range(n)], "entity_id string, name_norm string, address_norm string, country_norm string")
+    a, t = rows("S1-", 15).localCheckpoint(), rows("S2-", 25).where("country_norm <> 'z'").localCheckpoint()
+    t = t.unionByName(spark.createDataFrame([("S2-z", "kilo far", "12 mira", "z")], t.schema))
+    stats = feat.corpus_stats(a)
+    names = [*feat.IDF, *feat.evidence_set_features()]
+    sides = [feat.with_evidence(x, stats, own).withColumn("name", F.col("name_norm")).toArrow() for x, own in ((a, True), (t, False))]
+    n, m = (s.num_rows for s in sides)
+    x, y = np.divmod(np.arange(n * m), m)
+    found = pairwise.evidence_features(*sides)(x, y)
+    assert list(found) == names
+    ids = [s["entity_id"].to_pylist() for s in sides]
+    got = {(ids[0][i], ids[1][j]): values for i, j, *values in zip(x, y, *found.values(), strict=True)}
+    pairs = a.select(F.col("entity_id").alias("anchor_id")).crossJoin(t.select(F.col("entity_id").alias("target_id")))
+    g = feat.idf_features(feat.gathered(pairs, a, t, ["name_norm", "address_norm", "country_norm"]), stats)
+    rows = g.select("anchor_id", "target_id", *[F.round(c, 6) for c in feat.IDF], *[F.round(c, 6) for c in feat.evidence_set_features().values()]).collect()
+    assert len(rows) == len(got) == n * m
+    for r in rows:
+        assert got[r[0], r[1]] == pytest.approx(list(r[2:]), abs=1.01e-6)
+
+
+def test_evidence_moves_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(B, "_stored", {})
+    plan = queries.evidence_features(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "Join" not in plan.split("FlatMapGroupsInArrow")[0] and not [k for k in B._stored if k[2] == "pairs"]
