@@ -71,3 +71,28 @@ def test_evidence_moves_no_pair(spark, monkeypatch):
     monkeypatch.setattr(B, "_stored", {})
     plan = queries.evidence_features(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Join" not in plan.split("FlatMapGroupsInArrow")[0] and not [k for k in B._stored if k[2] == "pairs"]
+
+
+def test_context_of_packed_lists_is_that_of_windows(spark, monkeypatch):
+    rng = random.Random(2)
+    rows = [(f"S1-{i}", f"S2-é{j}" * rng.randint(0, 3), round(rng.choice([0.0, 1.0, 0.5, 0.675, rng.random()]), 6)) for i in range(9) for j in range(rng.randint(1, 12))]
+    ids = [pa.array([f"S1-{i}" for i in range(9)]), pa.array([t for _, t, _ in rows])]
+    x, y = np.array([int(a[3:]) for a, _, _ in rows]), np.arange(len(rows))
+    measure = lambda _, c: {"p": np.array([rows[k][2] for k in c])}
+    half = len(rows) // 2 + 1
+    batches = [b for k in (slice(half, None), slice(0, half)) for b in cells._packed(ids, [x[k]], [y[k]], [x[k]], measure)]
+    monkeypatch.setattr(cells, "ROWS", 10)
+    sent = [r for b in cells.unpacked(iter(batches), pairwise.context) for r in zip(*b.to_pydict().values(), strict=True)]
+    df = feat.context_features(spark.createDataFrame(rows, "anchor_id string, target_id string, p double"))
+    expected = sorted(map(tuple, df.select("anchor_id", "target_id", *[F.round(c, 6) for c in pairwise.CONTEXT]).collect()))
+    assert len(sent) == len(expected) == len(rows) and not list(cells.unpacked(iter([]), pairwise.context))
+    for got, e in zip(sorted(sent), expected, strict=True):
+        assert got[:2] == e[:2] and got[2:] == pytest.approx(e[2:], abs=1.01e-6)
+
+
+def test_context_stores_no_scores_and_ranks_no_rows(spark, monkeypatch):
+    monkeypatch.setattr(B, "_stored", {})
+    df = queries.context_features(spark, SF)
+    assert "Window" not in df._jdf.queryExecution().optimizedPlan().toString() and not [k for k in B._stored if k[2] == "scored"]
+    B.scored(spark, SF)
+    assert sorted(map(tuple, df.collect())) == sorted(map(tuple, queries.context_features(spark, SF).collect()))
