@@ -50,3 +50,12 @@ def test_token_sets_build_no_texts(longest, monkeypatch):
     if longest <= 6:
         monkeypatch.setattr(pairwise.Similar, "_rests", _refuse)
     assert similar.token_set(x, y) == pytest.approx([plain.token_set(a[i], t[j]) for i, j in zip(x, y, strict=True)], abs=1e-12)
+
+
+def test_coarse_kernels_build_no_texts(monkeypatch):
+    a, t, ca, ct, x, y = _sides(6)
+    similar = pairwise.Similar(ca, ct)
+    monkeypatch.setattr(pairwise.Similar, "by_text", _refuse)
+    assert similar.plain.jaro_winkler(x, y) == pytest.approx([plain.jaro_winkler(a[i], t[j]) for i, j in zip(x, y, strict=True)], abs=1e-12)
+    found = similar.weighted(x, y, similar.indel(x, y), similar.token_sort(x, y), similar.token_set(x, y))
+    assert found == pytest.approx([plain.weighted(a[i], t[j]) for i, j in zip(x, y, strict=True)], abs=1e-12)
