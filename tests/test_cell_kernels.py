@@ -59,3 +59,10 @@ def test_coarse_kernels_build_no_texts(monkeypatch):
     assert similar.plain.jaro_winkler(x, y) == pytest.approx([plain.jaro_winkler(a[i], t[j]) for i, j in zip(x, y, strict=True)], abs=1e-12)
     found = similar.weighted(x, y, similar.indel(x, y), similar.token_sort(x, y), similar.token_set(x, y))
     assert found == pytest.approx([plain.weighted(a[i], t[j]) for i, j in zip(x, y, strict=True)], abs=1e-12)
+
+
+def test_windows_build_no_texts(monkeypatch):
+    a, t, ca, ct, x, y = _sides(8)
+    similar = pairwise.Similar(ca, ct)
+    monkeypatch.setattr(fuzzy, "partial", _refuse)
+    assert similar.plain.partial(x, y) == pytest.approx([plain.partial(a[i], t[j]) for i, j in zip(x, y, strict=True)], abs=1e-12)
